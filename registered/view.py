@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ratelens.functions.pricing import priced
 from ratelens.functions.meals import with_breakfast
+from ratelens.functions.pricing import priced, publishable
+from ratelens.operators.dedup import deduplicate
 from ratelens.schema import conform
 from ratelens.operators.parity import with_terms
 from ratelens.session import configure, cut_lineage
@@ -180,3 +181,12 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mirror_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_terms(labelled_rates(spark, sf_dir))
+
+
+def published(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Publishable rows, latest per natural key: what the analytics describe."""
+    key = (spark.sparkContext.applicationId, sf_dir + "#published")
+    if key not in _written:
+        d = deduplicate(observations(spark, sf_dir).where(publishable()))
+        _written[key] = cut_lineage(d, "published-" + sf_dir.strip("/").replace("/", "_"))
+    return _written[key]
