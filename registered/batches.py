@@ -112,10 +112,10 @@ def j16(spark, sf):
 
 
 @query("W1_published_rows", sql("""
-SELECT hotel_id, CAST(count(*) AS BIGINT) AS rows, round(sum(nightly), 2) AS nightly_sum FROM published GROUP BY 1""", SQL_PRICED, SQL_DEDUP))
+SELECT hotel_id, CAST(count(*) AS BIGINT) AS rows, round(sum(nightly), 4) AS nightly_sum FROM published GROUP BY 1""", SQL_PRICED, SQL_DEDUP))
 def w1(spark, sf):
     d = published(spark, sf)
-    return d.groupBy("hotel_id").agg(F.count("*").alias("rows"), F.round(F.sum("nightly_adr_twd"), 2).alias("nightly_sum"))
+    return d.groupBy("hotel_id").agg(F.count("*").alias("rows"), F.round(F.sum("nightly_adr_twd"), 4).alias("nightly_sum"))
 
 
 @query("W2_newest_run_per_stream", sql("SELECT s AS source_platform, h AS hotel_id, top_run AS run_id FROM newest", SQL_PRICED, _BATCH.format(src="priced", legacy=_STRICT)))

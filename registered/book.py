@@ -28,6 +28,17 @@ def r(c: str | Column, digits: int = 6) -> Column:
     return F.round((F.col(c) if isinstance(c, str) else c).cast("double"), digits)
 
 
+def tied(c: str | Column, digits: int = 4) -> Column:
+    """Rounding for means. Means of cents fall exactly between two roundings, where
+    the last bit of a sum would decide, so that bit is rounded away first."""
+    d = (F.col(c) if isinstance(c, str) else c).cast("double").cast("decimal(28,8)")
+    return F.round(d, digits).cast("double")
+
+
+def tied_sql(expression: str, digits: int = 4) -> str:
+    return f"CAST(round(CAST({expression} AS DECIMAL(28,8)), {digits}) AS DOUBLE)"
+
+
 def ts(c: str | Column) -> Column:
     return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
 

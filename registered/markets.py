@@ -9,7 +9,7 @@ from ratelens.operators import dedup, market
 from ratelens.operators.parity import with_comparison
 from ratelens.operators.stats import grouped_stats
 from registered.batches import _BATCH, _STRICT
-from registered.book import day, query, r, ts
+from registered.book import day, query, r, tied, tied_sql, ts
 from registered.scalars import KEYED
 from registered.view import SQL_DEDUP, SQL_PRICED, SQL_TERMS, observations, published, sql
 
@@ -152,16 +152,16 @@ def agg6(spark, sf):
     )
 
 
-_ROLL = """
-SELECT {keys} hotel_id, city, CAST(count(nightly) AS BIGINT) AS observations, round(avg(nightly), 4) AS average_twd, round(median(nightly), 4) AS median_twd,
-       round(median(CASE WHEN is_core THEN nightly END), 4) AS core_median_twd, round(median(unit), 6) AS median_per_sqm_twd{extra}
+_ROLL = f"""
+SELECT {{keys}} hotel_id, city, CAST(count(nightly) AS BIGINT) AS observations, {tied_sql('avg(nightly)')} AS average_twd, round(median(nightly), 4) AS median_twd,
+       round(median(CASE WHEN is_core THEN nightly END), 4) AS core_median_twd, round(median(unit), 6) AS median_per_sqm_twd{{extra}}
 FROM published WHERE is_official GROUP BY ALL
 """
 
 
 def _roll(d, *keys):
     return d.select(
-        *keys, "hotel_id", "city", "observations", r("average_twd", 4).alias("average_twd"), r("median_twd", 4).alias("median_twd"),
+        *keys, "hotel_id", "city", "observations", tied("average_twd").alias("average_twd"), r("median_twd", 4).alias("median_twd"),
         r("core_median_twd", 4).alias("core_median_twd"), r("median_per_sqm_twd").alias("median_per_sqm_twd"),
     )
 
