@@ -215,15 +215,17 @@ def write_shards(shards: DataFrame, path: str) -> None:
 MANIFEST_EXCLUDED = ("asset_manifest.json", "site_meta.json")
 
 
+def digest_files(files: DataFrame) -> DataFrame:
+    """Path, short digest and size of files read as ``binaryFile``, with CRLF line
+    ends read as LF so that a checkout's platform does not matter."""
+    # ISO-8859-1 maps bytes to characters one to one, so any content survives.
+    text = F.replace(F.decode("content", "ISO-8859-1"), F.lit("\r\n"), F.lit("\n"))
+    clean = F.encode(text, "ISO-8859-1")
+    return files.select("path", F.substring(F.sha2(clean, 256), 1, 16).alias("sha256"), F.octet_length(clean).alias("bytes"))
+
+
 def asset_manifest(spark: SparkSession, root: str) -> DataFrame:
-    """Path, digest and size of every published JSON file, line ends normalised."""
+    """Manifest of every published JSON file but the manifests themselves."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").load(f"{root}/data")
-    # ISO-8859-1 maps bytes to characters one to one, so any content survives.
-    text = F.replace(F.decode("content", F.lit("ISO-8859-1")), F.lit("\r\n"), F.lit("\n"))
-    clean = F.encode(text, F.lit("ISO-8859-1"))
-    base = root.rstrip("/") + "/"
-    return files.where(~F.element_at(F.split("path", "/"), -1).isin(*MANIFEST_EXCLUDED)).select(
-        F.substring_index("path", base, -1).alias("asset"),
-        F.substring(F.sha2(clean, 256), 1, 16).alias("sha256"),
-        F.octet_length(clean).alias("bytes"),
-    )
+    named = digest_files(files.where(~F.element_at(F.split("path", "/"), -1).isin(*MANIFEST_EXCLUDED)))
+    return named.select(F.substring_index("path", root.rstrip("/") + "/", -1).alias("asset"), "sha256", "bytes")

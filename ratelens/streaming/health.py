@@ -40,23 +40,35 @@ class HealthProcessor(StatefulProcessor):
         return None
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        # The micro-batch of one pair is small next to its history; attempts may
-        # arrive unordered inside it.
-        batch = pd.concat(list(rows)).sort_values(["ts", "seq"])
+        # Rows come in Arrow batches and in any order. Counters add up batch by batch;
+        # of the times, only failures after the newest reset so far are held back.
         n, ok, bad, empty, blocked_n, streak, ms, last_ok = self.state.get() if self.state.exists() else (0, 0, 0, 0, 0, 0, 0.0, None)
-        failed, blocked = batch["is_failure"].to_numpy(), batch["is_blocked"].to_numpy()
-        good = (batch["outcome"] == "success").to_numpy()
-        n, ok, bad = n + len(batch), ok + int(good.sum()), bad + int(failed.sum())
-        empty, blocked_n = empty + int((batch["outcome"] == "empty").sum()), blocked_n + int(blocked.sum())
-        resets = (~failed).nonzero()[0]
-        streak = int(failed[resets[-1] + 1 :].sum()) if len(resets) else streak + int(failed.sum())
-        ms += float(batch["ms"].sum())
-        if good.any():
-            last_ok = batch["ts"][good].iloc[-1].to_pydatetime()
-        at = batch["ts"].iloc[-1]
+        pending, reset, newest = pd.DataFrame({"ts": [], "seq": []}), None, None
+        for pdf in rows:
+            pdf = pdf.sort_values(["ts", "seq"])
+            failed, good = pdf["is_failure"], pdf["outcome"] == "success"
+            n, ok, bad = n + len(pdf), ok + int(good.sum()), bad + int(failed.sum())
+            empty, blocked_n = empty + int((pdf["outcome"] == "empty").sum()), blocked_n + int(pdf["is_blocked"].sum())
+            ms += float(pdf["ms"].sum())
+            if good.any():
+                top = pdf.loc[good, "ts"].iloc[-1].to_pydatetime()
+                last_ok = top if last_ok is None else max(last_ok, top)
+            last = pdf.iloc[-1]
+            if newest is None or (last["ts"], last["seq"]) > (newest["ts"], newest["seq"]):
+                newest = last
+            calm = pdf[~failed]
+            if len(calm):
+                streak, at = 0, (calm["ts"].iloc[-1], calm["seq"].iloc[-1])
+                reset = at if reset is None else max(reset, at)
+            fresh = pdf.loc[failed, ["ts", "seq"]]
+            pending = pd.concat([pending, fresh]) if len(pending) else fresh
+            if reset is not None:
+                pending = pending[(pending["ts"] > reset[0]) | ((pending["ts"] == reset[0]) & (pending["seq"] > reset[1]))]
+        streak += len(pending)
+        at, failed, blocked = newest["ts"], bool(newest["is_failure"]), bool(newest["is_blocked"])
+        status = "blocked" if blocked else "failed" if failed else str(newest["outcome"])
+        wait = self._cooldown(blocked, blocked_n, streak) if failed else None
         self.state.update((n, ok, bad, empty, blocked_n, streak, ms, last_ok))
-        status = "blocked" if blocked[-1] else "failed" if failed[-1] else str(batch["outcome"].iloc[-1])
-        wait = self._cooldown(bool(blocked[-1]), blocked_n, streak) if failed[-1] else None
         yield pd.DataFrame(
             {
                 "adapter": [key[0]], "hotel_id": [key[1]], "attempts": [n], "successes": [ok], "failures": [bad],
