@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ratelens.functions.distinct import null_safe
 from ratelens.functions.pricing import as_col, positive
@@ -27,7 +27,7 @@ BED_TOKENS = (
 )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _fold_unicode(labels: pd.Series) -> pd.Series:
     # NFKC and case folding have no built-in counterpart in Spark.
     def fold(s):

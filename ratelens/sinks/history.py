@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
 from ratelens.functions.pricing import as_col
 from ratelens.operators.dedup import KEY_COLUMNS, dedup_counts, deduplicate, with_natural_key
@@ -18,7 +18,8 @@ def with_day_partitions(df: DataFrame) -> DataFrame:
 
 def read_history(spark: SparkSession, path: str, days: list[str] | None = None) -> DataFrame:
     """History written by ``append_observations``; ``days`` prunes partitions."""
-    h = spark.read.schema(RAW_SCHEMA.add("month", "string").add("day", "string")).json(path)
+    schema = T.StructType([*RAW_SCHEMA.fields, T.StructField("month", T.StringType()), T.StructField("day", T.StringType())])
+    h = spark.read.schema(schema).json(path)
     if days is not None:
         h = h.where(F.col("day").isin(days))
     return conform(h.drop("month", "day"), RATE_SCHEMA)

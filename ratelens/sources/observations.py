@@ -29,26 +29,27 @@ def _raw(spark: SparkSession, path: str) -> DataFrame:
     return reader.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").json(path).where(shard_filter())
 
 
+def _malformed() -> Column:
+    # Spark refuses to read the text of bad lines alone, so another column is named;
+    # no field of a line equals the whole line.
+    text = F.col(CORRUPT)
+    return text.isNotNull() & ~F.coalesce(text == F.col("observation_id"), F.lit(False))
+
+
 def malformed_lines(spark: SparkSession, path: str) -> DataFrame:
     """File and text of every line that is not valid JSON."""
-    return _raw(spark, path).select(
-        F.col("_metadata.file_path").alias("shard"), F.col(CORRUPT).alias("line"), "observation_id"
-    ).where(F.col("line").isNotNull()).select("shard", "line")
+    return _raw(spark, path).where(_malformed()).select(F.col("_metadata.file_path").alias("shard"), F.col(CORRUPT).alias("line"))
 
 
 def read_observations(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     """History under ``path`` with the fixed schema. A malformed line fails the job
     that meets it, naming shard and text; otherwise such lines are left out."""
     raw = _raw(spark, path)
-    bad = F.col(CORRUPT).isNotNull()
     if strict:
-        message = F.concat(
-            F.lit("Invalid JSON in "), F.col("_metadata.file_path"), F.lit(": "), F.col(CORRUPT),
-            F.coalesce("observation_id", F.lit("")),
-        )
-        raw = raw.where(F.when(bad, F.raise_error(message).cast("boolean")).otherwise(F.lit(True)))
+        message = F.concat(F.lit("Invalid JSON in "), F.col("_metadata.file_path"), F.lit(": "), F.col(CORRUPT))
+        raw = raw.where(F.when(_malformed(), F.raise_error(message).cast("boolean")).otherwise(F.lit(True)))
     else:
-        raw = raw.where(~bad | F.col("observation_id").isNotNull())
+        raw = raw.where(~_malformed())
     return conform(raw.drop(CORRUPT))
 
 

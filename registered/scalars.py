@@ -92,7 +92,7 @@ def n6(spark, sf):
 
 
 @query("J6_fx_cpi_enrichment", sql("""
-SELECT observation_id, round(fx_rate_to_twd, 6) AS fx, round(100.0 + month(queried_at), 4) AS cpi_index,
+SELECT observation_id, round(fx_rate_to_twd, 6) AS fx, CAST(100 + month(queried_at) AS DOUBLE) AS cpi_index,
        round(total_price * fx_rate_to_twd, 4) AS twd
 FROM rates"""))
 def j6(spark, sf):
@@ -463,9 +463,9 @@ def n28(spark, sf):
 
 
 @query("N29_size_by_known_name", sql("""
-SELECT observation_id, CASE
+SELECT observation_id, CAST(CASE
     WHEN room_type_name LIKE '%red widget%' THEN 33.0 WHEN room_type_name LIKE '%widget%' THEN 30.0
-    WHEN room_type_name LIKE '%bolt%' THEN 20.0 END AS known_size_sqm
+    WHEN room_type_name LIKE '%bolt%' THEN 20.0 END AS DOUBLE) AS known_size_sqm
 FROM rates"""))
 def n29(spark, sf):
     d = rates(spark, sf)

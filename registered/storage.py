@@ -139,7 +139,7 @@ def src5(spark, sf):
 
 
 @query("SRC6_bulk_quotations", """
-SELECT CASE WHEN l_partkey % 4 = 0 THEN 'Deluxe' ELSE concat('room ', l_partkey % 4) END AS room_type_name, CASE WHEN l_partkey % 4 = 0 THEN 42.0 END AS room_size_sqm,
+SELECT CASE WHEN l_partkey % 4 = 0 THEN 'Deluxe' ELSE concat('room ', l_partkey % 4) END AS room_type_name, CAST(CASE WHEN l_partkey % 4 = 0 THEN 42.0 END AS DOUBLE) AS room_size_sqm,
   concat('flex rate ', l_linenumber) AS rate_plan_name, CAST(count(*) AS BIGINT) AS rows, round(sum(l_extendedprice), 2) AS total
 FROM lineitem WHERE l_linenumber <> 3 AND l_partkey % 6 <> 5 GROUP BY ALL""")
 def src6(spark, sf):
