@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ratelens.functions.cancellation import with_policy_terms
@@ -9,6 +11,7 @@ from ratelens.functions.pricing import occupancy_key, size_band, source_of
 from ratelens.functions.tax import tax_inclusion
 from ratelens.operators.stats import grouped_medians
 from ratelens.schema import UNKNOWN
+from ratelens.session import cut_lineage
 
 # The order in which missing parts are reported.
 MISSING_FIELD_ORDER = (
@@ -58,8 +61,13 @@ def comparison_key(require_stable_room: bool = False) -> Column:
     ok = F.lit(True)
     for cond in missing_parts(require_stable_room).values():
         ok = ok & ~cond
+    return F.when(ok, key_text())
+
+
+def key_text() -> Column:
+    """The serialised form of complete key parts."""
     room = F.when(~_blank("stable_room_type_id"), F.col("stable_room_type_id")).otherwise(F.col("size_band"))
-    text = F.concat_ws(
+    return F.concat_ws(
         "|",
         "hotel_id",
         F.col("check_in").cast("string"),
@@ -71,7 +79,6 @@ def comparison_key(require_stable_room: bool = False) -> Column:
         "cancellation_deadline",
         "tax_inclusion",
     )
-    return F.when(ok, text)
 
 
 def with_comparison(termed: DataFrame, require_stable_room: bool = False) -> DataFrame:
@@ -155,25 +162,50 @@ def newest_valid_pairs(instants: DataFrame, gap_seconds: int) -> DataFrame:
     )
 
 
+def price_instants(keyed: DataFrame) -> DataFrame:
+    """Distinct (comparison_key, source, ts) with the number of prices, the lowest and
+    the highest, and the key's parts.
+
+    The first grouping has fixed-width aggregates only, so it hashes and combines on
+    the map side; products that differ in the size band alone meet in the second."""
+    rows = keyed.where(
+        F.col("comparison_key").isNotNull() & F.col("nightly_adr_twd").isNotNull() & F.col("queried_at").isNotNull()
+    ).select(*KEY_PARTS, source_of().alias("source"), F.col("queried_at").alias("ts"), "nightly_adr_twd")
+    fine = rows.groupBy(*KEY_PARTS, "source", "ts").agg(
+        F.count("*").alias("n"), F.min("nightly_adr_twd").alias("lo"), F.max("nightly_adr_twd").alias("hi")
+    )
+    return (
+        fine.withColumn("comparison_key", key_text())
+        .groupBy("comparison_key", "source", "ts")
+        .agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), *[F.max(c).alias(c) for c in KEY_PARTS])
+    )
+
+
 def rate_parity(keyed: DataFrame, max_query_gap_hours: float = 24) -> DataFrame:
     """Price gap per comparison key and other source, official as the base.
 
-    Only the rows at the two chosen instants are read for their medians."""
-    rows = keyed.where(F.col("comparison_key").isNotNull() & F.col("nightly_adr_twd").isNotNull()).withColumn(
-        "source", source_of()
-    )
-    timed = rows.where("queried_at is not null").withColumnRenamed("queried_at", "ts")
-    instants = timed.select("comparison_key", "source", "ts").distinct()
-    pairs = newest_valid_pairs(instants, int(max_query_gap_hours * 3600))
+    One pass over the rows yields the instants, written as a table because five
+    readers follow. Up to two prices at an instant, their median is the mean of lowest
+    and highest; rows are read again only for chosen instants with more."""
+    run = uuid.uuid4().hex
+    instants = cut_lineage(price_instants(keyed), f"parity-instants-{run}")
+    pairs = newest_valid_pairs(instants.select("comparison_key", "source", "ts"), int(max_query_gap_hours * 3600))
+    pairs = cut_lineage(pairs, f"parity-pairs-{run}")
+    on = ["comparison_key", "source", "ts"]
     wanted = pairs.select("comparison_key", F.col("other_source").alias("source"), F.col("other_ts").alias("ts")).unionByName(
         pairs.select("comparison_key", F.lit("official").alias("source"), F.col("official_ts").alias("ts"))
     ).distinct()
-    on = ["comparison_key", "source", "ts"]
-    chosen = timed.join(wanted, on, "left_semi")
-    medians = grouped_medians(chosen, on, {"median_twd": "nightly_adr_twd"})
-    parts = chosen.groupBy("comparison_key").agg(*[F.any_value(p).alias(p) for p in KEY_PARTS])
-    other = medians.select(
-        "comparison_key", F.col("source").alias("other_source"), F.col("ts").alias("other_ts"), F.col("median_twd").alias("ota_median_twd")
+    chosen = instants.join(wanted, on, "left_semi")
+    medians = chosen.where("n <= 2").select(*on, ((F.col("lo") + F.col("hi")) / 2).alias("median_twd"))
+    crowded = chosen.where("n > 2").select(*on)
+    if not crowded.isEmpty():
+        timed = keyed.where("comparison_key is not null and nightly_adr_twd is not null").select(
+            "comparison_key", source_of().alias("source"), F.col("queried_at").alias("ts"), "nightly_adr_twd"
+        )
+        more = grouped_medians(timed.join(crowded, on, "left_semi"), on, {"median_twd": "nightly_adr_twd"})
+        medians = medians.unionByName(more)
+    other = medians.join(instants.select(*on, *KEY_PARTS), on).withColumnsRenamed(
+        {"source": "other_source", "ts": "other_ts", "median_twd": "ota_median_twd"}
     )
     official = medians.where("source = 'official'").select(
         "comparison_key", F.col("ts").alias("official_ts"), F.col("median_twd").alias("official_median_twd")
@@ -181,7 +213,6 @@ def rate_parity(keyed: DataFrame, max_query_gap_hours: float = 24) -> DataFrame:
     return (
         pairs.join(other, ["comparison_key", "other_source", "other_ts"])
         .join(official, ["comparison_key", "official_ts"])
-        .join(parts, "comparison_key")
         .select(
             "comparison_key",
             *KEY_PARTS,

@@ -2,6 +2,7 @@
 
 import random
 import statistics
+import uuid
 from datetime import datetime, timedelta
 
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ratelens.operators import dedup, health, market, matchquality, parity, planning, quality, rooms, stats
 from ratelens.operators.parity import with_comparison, with_terms
+from ratelens.session import cut_lineage
 
 
 def rows_of(df, *cols):
@@ -114,7 +116,7 @@ def test_daily_digest(make):
         for d, h, v in (("2026-09-23", "a", 10000), ("2026-09-23", "b", 20000), ("2026-09-30", "a", 12000), ("2026-09-30", "b", 18000))
     ]
     rows.append({**rows[2], "source_platform": "booking_com", "total_price": 12300})
-    d = make(*rows, price=True)
+    d = cut_lineage(make(*rows, price=True), "test-daily-digest")
     r = market.daily_digest(d, with_comparison(with_terms(d), require_stable_room=True)).first()
     assert (r.core_adr_change_pct, r.largest_increase_hotel, r.largest_decrease_hotel, r.parity_normal_rate, r.parity_products) == (0.0, "a", "b", 1.0, 1)
 
@@ -128,7 +130,8 @@ def test_rollup_core_median(make):
 
 def _keyed(make, *rows):
     base = {"stable_room_type_id": "rt_1"}
-    return with_comparison(with_terms(make(*[{**base, **r} for r in rows], price=True)), require_stable_room=True)
+    termed = cut_lineage(with_terms(make(*[{**base, **r} for r in rows], price=True)), f"test-{uuid.uuid4().hex}")
+    return with_comparison(termed, require_stable_room=True)
 
 
 OTA = {"source_platform": "booking_com", "total_price": 11000}
@@ -143,16 +146,28 @@ def test_parity_pairs_the_nearest_batch(make):
     assert (r.official_median_twd, r.ota_median_twd, round(r.gap_percent, 9), r.query_time_gap_hours) == (10000.0, 11000.0, 0.1, 11.0)
 
 
-@pytest.mark.parametrize("stamp,pairs", [("2026-10-09T01:00:00Z", 1), ("2026-10-09T01:00:01Z", 0), ("2026-10-07T01:00:00Z", 1), ("2026-10-07T00:59:59Z", 0), (None, 0)])
-def test_parity_bound_is_inclusive(make, stamp, pairs):
-    assert parity.rate_parity(_keyed(make, {}, {**OTA, "queried_at": stamp})).count() == pairs
+# Each case is a hotel of its own, so that one run judges them all.
+BOUND = {"2026-10-09T01:00:00Z": True, "2026-10-09T01:00:01Z": False, "2026-10-07T01:00:00Z": True, "2026-10-07T00:59:59Z": False, None: False}
+CHANGES = (
+    {"check_out": "2026-12-04"}, {"rooms": 2}, {"adults": 1}, {"stable_room_type_id": "rt_2"}, {"breakfast_included": False},
+    {"cancellation_policy": "Non-refundable"}, {"tax_inclusion": "excluded"}, {"stable_room_type_id": None},
+)
 
 
-@pytest.mark.parametrize(
-    "change", [{"check_out": "2026-12-04"}, {"rooms": 2}, {"adults": 1}, {"stable_room_type_id": "rt_2"}, {"breakfast_included": False}, {"cancellation_policy": "Non-refundable"}, {"tax_inclusion": "excluded"}, {"stable_room_type_id": None}]
-)
-def test_different_conditions_are_not_compared(make, change):
-    assert parity.rate_parity(_keyed(make, {}, {**OTA, **change})).count() == 0
+def test_parity_bound_is_inclusive_and_conditions_must_agree(make):
+    rows, want = [], set()
+    for i, (stamp, paired) in enumerate(BOUND.items()):
+        rows += [{"hotel_id": f"t{i}"}, {**OTA, "hotel_id": f"t{i}", "queried_at": stamp}]
+        want |= {f"t{i}"} if paired else set()
+    for i, change in enumerate(CHANGES):
+        rows += [{"hotel_id": f"c{i}"}, {**OTA, "hotel_id": f"c{i}", **change}]
+    # Three prices at one instant take the counted median.
+    rows += [{"hotel_id": "m"}, *({**OTA, "hotel_id": "m", "total_price": p} for p in (20000, 11000, 9000))]
+    rows += [{"hotel_id": "n", "check_out": "2026-12-03", "total_price": 24000}, {**OTA, "hotel_id": "n", "check_out": "2026-12-03", "total_price": 26000}]
+    got = {r.hotel_id: r for r in parity.rate_parity(_keyed(make, *rows)).collect()}
+    assert set(got) == want | {"m", "n"}
+    assert got["m"].ota_median_twd == 11000.0
+    assert (got["n"].official_median_twd, got["n"].ota_median_twd, round(got["n"].gap_percent, 9)) == (12000.0, 13000.0, round(1 / 12, 9))
 
 
 def test_parity_against_brute_force(spark):
