@@ -163,13 +163,15 @@ def priced(df, prefer_nights: str = "interval"):
 
 
 def plausible(nightly="nightly_adr_twd") -> Column:
+    """A filter: unknown prices do not pass."""
     low, high = PLAUSIBLE_NIGHTLY_TWD
-    return F.coalesce(as_col(nightly).between(low, high), F.lit(False))
+    return as_col(nightly).between(low, high)
 
 
 def publishable(status="status", nightly="nightly_adr_twd") -> Column:
-    """Only explicit live rows with a plausible nightly price are published."""
-    return F.coalesce(as_col(status) == "live", F.lit(False)) & plausible(nightly)
+    """Only explicit live rows with a plausible nightly price are published. Plain
+    comparisons, so that the filter reaches the scan of the mirror."""
+    return (as_col(status) == "live") & plausible(nightly)
 
 
 def verified_market(source="source_platform") -> Column:

@@ -66,8 +66,11 @@ def deduplicate(df: DataFrame, keep: str = "latest") -> DataFrame:
         raise ValueError("keep must be 'first' or 'latest'")
     order = ["queried_at", *_tie_break(df)]
     by = [F.col(c).desc_nulls_last() if keep == "latest" else F.col(c).asc_nulls_last() for c in order]
-    w = Window.partitionBy(*KEY_COLUMNS).orderBy(*by)
-    return with_natural_key(df).withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", *KEY_COLUMNS)
+    # The digest leads the sort so that eleven text columns are rarely compared; the
+    # key itself still decides.
+    w = Window.partitionBy("_digest", *KEY_COLUMNS).orderBy(*by)
+    keyed = with_natural_key(df).withColumn("_digest", F.xxhash64(*KEY_COLUMNS))
+    return keyed.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "_digest", *KEY_COLUMNS)
 
 
 def dedup_counts(df: DataFrame, keep: str = "latest") -> DataFrame:

@@ -49,13 +49,12 @@ def price_heatmap(df: DataFrame, days: int = 30) -> DataFrame:
         F.array_join(F.transform(F.array_sort(F.collect_set("lead_days")), lambda x: x.cast("string")), ",").alias("leads"),
     )
     cells = stats.join(variety, cell)
-    span = stats.agg(F.min("p_median").alias("lo"), F.max("p_median").alias("hi"))
-    low = span.select("lo").scalar()
-    high = span.select("hi").scalar()
+    span = stats.agg(F.struct(F.min("p_median").alias("lo"), F.max("p_median").alias("hi")).alias("span")).scalar()
     first = d.select("check_in").distinct().orderBy("check_in").limit(days)
+    low, high = F.col("_span.lo"), F.col("_span.hi")
     ratio = F.when(high == low, F.lit(0.5)).otherwise((F.col("p_median") - low) / (high - low))
     return (
-        cells.join(first, "check_in", "left_semi")
+        cells.withColumn("_span", span).join(first, "check_in", "left_semi")
         .select(
             *cell, F.col("p_median").alias("median"), F.col("p_min").alias("low"), F.col("p_max").alias("high"), "rooms", "leads",
             ratio.alias("ratio"),

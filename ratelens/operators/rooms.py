@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ratelens.functions.distinct import null_safe
@@ -9,6 +11,7 @@ from ratelens.functions.labels import (
     area_spec, bed_type, cjk_count, room_class, stable_room_id, with_normalized_label,
 )
 from ratelens.functions.pricing import positive
+from ratelens.session import cut_lineage
 
 ALIAS = (
     "struct<label:string,language:string,source_type:string,source_platform:string,room_type_code:string,"
@@ -163,8 +166,12 @@ def match_rooms(df: DataFrame, dimension: DataFrame) -> DataFrame:
     area must agree within 1 sqm, and exactly one candidate must remain.
 
     Matching runs once per distinct (hotel, source, code, name, size) and is joined
-    back, so the cost follows the variety of labels and not the number of rows."""
-    labels, codes = label_index(dimension), code_index(dimension)
+    back, so the cost follows the variety of labels and not the number of rows. The
+    distinct subjects and both indexes are written once, because every tier reads
+    them: the rows are scanned twice in all."""
+    run = uuid.uuid4().hex
+    labels = cut_lineage(label_index(dimension), f"room-labels-{run}")
+    codes = cut_lineage(code_index(dimension), f"room-codes-{run}")
     subjects = with_normalized_label(df.select(*SUBJECT).distinct())
     subjects = subjects.withColumns(
         {
@@ -174,6 +181,7 @@ def match_rooms(df: DataFrame, dimension: DataFrame) -> DataFrame:
             "code": _text(F.col("room_type_code")),
         }
     )
+    subjects = cut_lineage(subjects, f"room-subjects-{run}")
     by_code = (
         subjects.where("source <> '' and code <> ''")
         .join(codes, ["hotel_id", "source", "code"])

@@ -56,3 +56,11 @@ def cut_lineage(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Use all cores on a source that has fewer file splits than there are cores, such
+    as one small file with a single row group. Larger sources pass unchanged. Hashing
+    by ``keys`` keeps a retried task's rows where they were."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df

@@ -33,13 +33,14 @@ def with_month(df: DataFrame) -> DataFrame:
 
 
 def write_version(df: DataFrame, root: str, version: str | None = None, block_bytes: int | None = None) -> str:
-    """Write one ZSTD Parquet version partitioned by month and ordered by
-    ``queried_at, observation_id``. Range partitioning splits a large month over
-    many tasks and files."""
+    """Write one ZSTD Parquet version partitioned by month, every file ordered by
+    ``queried_at, observation_id``. Rebalancing groups by day without a sampling pass
+    over the source, splits a large day over tasks and merges small ones."""
     version = version or uuid.uuid4().hex
     path = f"{root}/versions/{version}"
     order = ["month", "queried_at", "observation_id"]
-    w = with_month(df).repartitionByRange(*order).sortWithinPartitions(*order).write.mode("errorifexists")
+    d = with_month(df).withColumn("_day", F.to_date("queried_at")).hint("rebalance", "month", "_day").drop("_day")
+    w = d.sortWithinPartitions(*order).write.mode("errorifexists")
     w = w.option("compression", "zstd")
     if block_bytes:
         w = w.option("parquet.block.size", block_bytes)

@@ -13,7 +13,7 @@ from ratelens.functions.pricing import priced, publishable
 from ratelens.operators.dedup import deduplicate
 from ratelens.schema import conform
 from ratelens.operators.parity import with_terms
-from ratelens.session import configure, cut_lineage
+from ratelens.session import configure, cut_lineage, spread
 
 _VIEW = """
 base AS (
@@ -146,7 +146,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def raw_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The view as it is, before it is conformed to the rate schema."""
     for name in ("lineitem", "orders", "part"):
-        table(spark, sf_dir, name).createOrReplaceTempView(name)
+        d = table(spark, sf_dir, name)
+        (spread(d, "l_orderkey") if name == "lineitem" else d).createOrReplaceTempView(name)
     return spark.sql("WITH " + SPARK_VIEW + " SELECT * FROM rates")
 
 
