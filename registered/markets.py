@@ -196,10 +196,10 @@ def agg8(spark, sf):
 
 
 @query("T4_null_first_ordering", sql("""
-SELECT hotel_id, coalesce(run_id, '') AS run_id, CAST(count(*) AS BIGINT) AS rows FROM priced GROUP BY ALL ORDER BY coalesce(run_id, ''), hotel_id LIMIT 100""", SQL_PRICED))
+SELECT hotel_id, coalesce(run_id, '') AS run_id, CAST(count(*) AS BIGINT) AS rows FROM priced GROUP BY ALL ORDER BY coalesce(run_id, ''), hotel_id""", SQL_PRICED))
 def t4(spark, sf):
     d = observations(spark, sf).groupBy("hotel_id", F.coalesce("run_id", F.lit("")).alias("run_id")).agg(F.count("*").alias("rows"))
-    return d.orderBy("run_id", "hotel_id").limit(100)
+    return d.orderBy("run_id", "hotel_id")
 
 
 @query("U4_hotels_in_both_periods", sql("""
