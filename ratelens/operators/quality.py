@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ratelens.functions.cancellation import cancellation_blocker, cancellation_schedule
 from ratelens.functions.distinct import per_distinct
-from ratelens.functions.pricing import number, positive, verified_market
+from ratelens.functions.pricing import number, verified_market
 from ratelens.operators.dedup import latest_batches
 from ratelens.operators.market import observed_day
 from ratelens.operators.stats import grouped_stats
