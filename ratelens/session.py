@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,29 +33,31 @@ def build_session(app: str = "ratelens", master: str | None = None, **conf: str)
     return configure(builder.getOrCreate())
 
 
-_own_folder: dict[str, str] = {}
-
-
 def shared_folder(spark: SparkSession) -> str:
-    """The shared folder for written intermediates: what the cluster names in
-    ``spark.checkpoint.dir``. One of our own is made only where none is named
-    (local runs and tests)."""
+    """The folder for written intermediates, which driver and executors share: what the
+    cluster names in ``spark.checkpoint.dir``. Where nothing is named, as in tests, it
+    is a folder inside the warehouse, which they share as well; never a machine-local
+    temporary folder."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_folder:
-        _own_folder[app] = tempfile.mkdtemp(prefix="ratelens-")
-    return _own_folder[app]
+    root = named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
+    return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
 def cut_lineage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back. Unlike a
-    cached copy it outlives executors, and scans of it prune and push down."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """Write ``df`` as a table in the shared folder and read it back. Unlike a cached
+    copy it outlives executors, and scans of it prune and push down. Each call writes
+    to a place of its own, so two jobs of one session never meet; ``release`` removes
+    all of them."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Remove every intermediate that this application has written. Call it when the
+    results that read them have been written out."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
