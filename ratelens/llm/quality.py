@@ -18,7 +18,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StringType
 
 from ratelens.llm.tables import keyed, result_schema
 from ratelens.llm.textblocks import BYTE_A, U64, blocks, mix, pieces, prefix_hash, span_hash, text_buffer
@@ -116,7 +116,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 16384, id_col: str =
     return model
 
 
-def _scorer(shared):
+def _scorer(shared, keep_text):
     def job(batches):
         weights = shared.value
         for batch in batches:
@@ -126,15 +126,17 @@ def _scorer(shared):
                 g, r = grams(data, offsets[i : j + 1])
                 total = np.bincount(r, weights[g], j - i) / np.sqrt(np.maximum(1, np.bincount(r, minlength=j - i)))
                 scores[i:j] = 1 / (1 + np.exp(-np.clip(total + weights[0], -35, 35)))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(scores)], ["row", "score"])
+            kept = [batch.column(c) for c in batch.schema.names if c == "row" or keep_text]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(scores)], [*batch.schema.names[: len(kept)], "score"])
 
     return job
 
 
-def score(spark: SparkSession, docs: DataFrame, model: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row, score) for every row of ``docs``: ``row`` has all its columns but the text,
+def score(spark: SparkSession, docs: DataFrame, model: np.ndarray, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
+    """(row, score), or (row, text, score) with ``keep_text``, for every row of ``docs``: ``row`` has all its columns but the text,
     ``score`` lies between 0 and 1, higher where a label of 1 is likelier. Only the text
     counts. A null or empty text has the score of the constant alone; an empty model
     scores all texts 0.5. Repeated rows have equal scores."""
     rows = keyed(docs, id_col, text_col).select("row", "text")
-    return rows.mapInArrow(_scorer(spark.sparkContext.broadcast(model)), result_schema(rows, score=DoubleType()))
+    kept = {"text": StringType()} if keep_text else {}
+    return rows.mapInArrow(_scorer(spark.sparkContext.broadcast(model), keep_text), result_schema(rows, **kept, score=DoubleType()))
