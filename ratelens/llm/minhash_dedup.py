@@ -6,33 +6,36 @@ a signature from two permutations. Bands of ``ROWS`` coordinates are shuffled as
 64-bit value each.
 
 Steps: (1) equal shingle sets become one class, represented by its smallest id;
-(2) in every bucket of a band each class is tried against the bucket's smallest member,
-and the links that hold join components; (3) of what shares a bucket and is still in
+(2) in every bucket of a band each class is tried against the bucket's leader, the member
+that shares most buckets with others, which is the text that copies were made from if
+they were made from one; the links that hold join components; (3) of what shares a bucket and is still in
 different components, each pair is tried once. So a group of thousands of near copies
 costs one test for each copy and bucket at most, no link between different texts is
 lost that the bands can show, and pairs inside a component are never made. A pair at the
 threshold of 0.8 escapes all bands with a probability of 3e-6. Before a pair is tested on
-its full sets, sizes and one bit of each of 128 coordinates must agree well enough; a
-pair at the threshold fails that with a probability of 2e-11.
+its full sets, sizes and one bit of each of 128 coordinates must agree well enough, and
+in step 3 one byte of each of all 512, of which the bands use the first 160; a pair at
+the threshold fails these with probabilities of 2e-11 and 4e-6.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ratelens.llm.components import components
 from ratelens.llm.tables import keyed
 from ratelens.llm.textblocks import U64, as_long, blocks, mix, text_buffer, words
 from ratelens.session import cut_lineage
 
-BANDS, ROWS, SKETCH, MOST_BITS = 32, 5, 128, 42
-HASHES = BANDS * ROWS
+BANDS, ROWS, HASHES = 32, 5, 512
+SKETCH, MOST_BITS = 128, 42
 _WEIGHTS = mix(np.arange(1, 65, dtype=U64)) | U64(1)
-_SIGNATURE = "doc long, size long, f0 long, f1 long, s0 long, s1 long, bands array<long>"
+_SIGNATURE = "doc long, size long, f0 long, f1 long, s0 long, s1 long, bytes array<long>, bands array<long>"
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
@@ -96,11 +99,14 @@ def _signed(k: int):
                     bands[:, band] = h
                 for bit in range(SKETCH):
                     sketch[full, bit // 64] |= (mix(sig[:, bit]) & U64(1)) << U64(bit % 64)
+                low = np.zeros((len(sets), HASHES), np.uint8)
+                low[full] = mix(sig) & U64(255)
+                low = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * (HASHES // 8), pa.int32()), pa.array(low.view(np.int64).ravel()))
                 ends = np.zeros(len(sets) + 1, np.int32)
                 ends[np.array(full, np.int64) + 1] = BANDS
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc").slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), as_long(prints[:, 0]), as_long(prints[:, 1]), as_long(sketch[:, 0]), as_long(sketch[:, 1]), pa.ListArray.from_arrays(pa.array(np.cumsum(ends), pa.int32()), as_long(bands.ravel()))],
-                    ["doc", "size", "f0", "f1", "s0", "s1", "bands"],
+                    [batch.column("doc").slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), as_long(prints[:, 0]), as_long(prints[:, 1]), as_long(sketch[:, 0]), as_long(sketch[:, 1]), low, pa.ListArray.from_arrays(pa.array(np.cumsum(ends), pa.int32()), as_long(bands.ravel()))],
+                    ["doc", "size", "f0", "f1", "s0", "s1", "bytes", "bands"],
                 )
 
     return job
@@ -118,11 +124,23 @@ def _sets(k: int):
     return job
 
 
+def _agreeing(x: str, y: str) -> Column:
+    """In how many coordinates two signatures agree, as far as one byte of each shows."""
+
+    def differing(p: Column, q: Column) -> Column:
+        d = p.bitwiseXOR(q)
+        for n in (1, 2, 4):  # bring the bits of a byte together in its lowest one
+            d = d.bitwiseOR(F.shiftrightunsigned(d, n))
+        return F.bit_count(d.bitwiseAND(F.lit(0x0101010101010101)))
+
+    return HASHES - F.aggregate(F.zip_with(x, y, differing), F.lit(0), lambda t, n: t + n)
+
+
 def _tested(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets overlap enough."""
     pairs = cut_lineage(pairs, "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-    sets = texts.join(wanted, "doc").dropDuplicates(["doc"]).mapInArrow(_sets(k), "doc long, shingles array<long>")
+    sets = texts.hint("merge").join(wanted, "doc").dropDuplicates(["doc"]).mapInArrow(_sets(k), "doc long, shingles array<long>")
     sets = cut_lineage(sets, "sets")
     both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
     common = F.size(F.array_intersect("x", "y"))
@@ -149,29 +167,36 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
     classes = cut_lineage(full.groupBy("f0", "f1").agg(F.min("doc").alias("rep")), "classes")
     reps = full.join(classes.withColumnRenamed("rep", "doc"), ["f0", "f1", "doc"]).dropDuplicates(["doc"])
-    reps = cut_lineage(reps.select("doc", "size", "s0", "s1", "bands"), "representatives")
+    reps = cut_lineage(reps.select("doc", "size", "s0", "s1", "bytes", "bands"), "representatives")
     buckets = reps.select("doc", F.explode("bands").alias("band"))
-    shared = cut_lineage(buckets.groupBy("band").agg(F.min("doc").alias("leader"), F.count("*").alias("n")).where("n > 1").select("band", "leader"), "buckets")
-    shared_members = cut_lineage(buckets.join(shared, "band"), "members")
+    shared = cut_lineage(buckets.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
+    members = cut_lineage(buckets.join(shared, "band"), "members")
+    # what copies were made from shares more buckets with them than they do among themselves
+    known = cut_lineage(members.groupBy("doc").agg(F.sum("n").alias("popularity")), "popularity")
+    members = members.select("band", "doc").join(known, "doc")
+    leaders = cut_lineage(members.groupBy("band").agg(F.max_by("doc", F.struct("popularity", -F.col("doc"))).alias("leader")), "leaders")
+    shared_members = cut_lineage(members.select("band", "doc").join(leaders, "band"), "led")
 
     outline = reps.select("doc", "size", "s0", "s1")
     left, right = outline.toDF("a", "a_size", "a0", "a1"), outline.toDF("b", "b_size", "b0", "b1")
     near = (F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))) + F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))) <= MOST_BITS) & (
         100 * F.least("a_size", "b_size") >= percent * F.greatest("a_size", "b_size")
     )
-    first = shared_members.where("doc > leader").select(F.col("leader").alias("a"), F.col("doc").alias("b")).distinct()
-    first = first.join(left, "a").join(right, "b").where(near).select("a", "b")
+    first = shared_members.where("doc != leader").select(F.least("leader", "doc").alias("a"), F.greatest("leader", "doc").alias("b")).distinct()
+    first = cut_lineage(first.join(left, "a").join(right, "b").where(near).select("a", "b"), "first-pairs")
     links = cut_lineage(_tested(first, texts, k, percent), "tested")
 
     joined = cut_lineage(components(links), "joined")
     placed = shared_members.join(joined.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     placed = cut_lineage(placed, "placed")
     mixed = placed.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("band")
-    open_ = cut_lineage(placed.join(mixed, "band").join(outline, "doc").select("band", "component", "leader", "doc", "size", "s0", "s1"), "open")
-    x = open_.toDF("band", "a_component", "leader", "a", "a_size", "a0", "a1")
-    y = open_.drop("leader").toDF("band", "b_component", "b", "b_size", "b0", "b1")
-    rest = x.join(y, "band").where((F.col("a") < F.col("b")) & (F.col("a_component") != F.col("b_component")) & (F.col("a") != F.col("leader")) & near)
-    links = links.unionByName(_tested(rest.select("a", "b").distinct(), texts, k, percent))
+    open_ = cut_lineage(placed.join(mixed, "band").join(reps, "doc").select("band", "component", "doc", "size", "s0", "s1", "bytes"), "open")
+    p = percent / 100
+    enough = int(HASHES * p - 4.5 * math.sqrt(HASHES * p * (1 - p)))
+    x = open_.toDF("band", "a_component", "a", "a_size", "a0", "a1", "x")
+    y = open_.toDF("band", "b_component", "b", "b_size", "b0", "b1", "y")
+    rest = x.join(y, "band").where((F.col("a") < F.col("b")) & (F.col("a_component") != F.col("b_component")) & near & (_agreeing("x", "y") >= enough))
+    links = links.unionByName(_tested(rest.select("a", "b").distinct().join(first, ["a", "b"], "left_anti"), texts, k, percent))
     joined = cut_lineage(components(links), "joined").withColumnRenamed("node", "rep")
 
     found = classes.join(joined, "rep", "left").select("f0", "f1", F.coalesce("component", "rep").alias("component_id"))
