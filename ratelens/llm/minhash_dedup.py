@@ -190,13 +190,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     placed = shared_members.join(joined.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     placed = cut_lineage(placed, "placed")
     mixed = placed.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("band")
-    open_ = cut_lineage(placed.join(mixed, "band").join(reps, "doc").select("band", "component", "doc", "size", "s0", "s1", "bytes"), "open")
+    open_ = cut_lineage(placed.join(mixed, "band").join(reps, "doc").select("band", "component", "doc", "size", "s0", "s1", "bytes", "bands"), "open")
     p = percent / 100
     enough = int(HASHES * p - 4.5 * math.sqrt(HASHES * p * (1 - p)))
-    x = open_.toDF("band", "a_component", "a", "a_size", "a0", "a1", "x")
-    y = open_.toDF("band", "b_component", "b", "b_size", "b0", "b1", "y")
-    rest = x.join(y, "band").where((F.col("a") < F.col("b")) & (F.col("a_component") != F.col("b_component")) & near & (_agreeing("x", "y") >= enough))
-    links = links.unionByName(_tested(rest.select("a", "b").distinct().join(first, ["a", "b"], "left_anti"), texts, k, percent))
+    x = open_.toDF("band", "a_component", "a", "a_size", "a0", "a1", "x", "x_bands")
+    y = open_.toDF("band", "b_component", "b", "b_size", "b0", "b1", "y", "y_bands")
+    once = F.array_min(F.array_intersect("x_bands", "y_bands")) == F.col("band")  # in one of the buckets that a pair shares
+    rest = x.join(y, "band").where((F.col("a") < F.col("b")) & (F.col("a_component") != F.col("b_component")) & near & once & (_agreeing("x", "y") >= enough))
+    links = links.unionByName(_tested(rest.select("a", "b").join(first, ["a", "b"], "left_anti"), texts, k, percent))
     joined = cut_lineage(components(links), "joined").withColumnRenamed("node", "rep")
 
     found = classes.join(joined, "rep", "left").select("f0", "f1", F.coalesce("component", "rep").alias("component_id"))
