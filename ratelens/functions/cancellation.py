@@ -74,8 +74,9 @@ _U = "(?U)"
 
 
 def squash(c) -> Column:
-    """Collapse runs of white space to one blank and trim."""
-    return F.trim(F.regexp_replace(as_col(c), _U + r"\s+", " "))
+    """Collapse runs of white space to one blank, trim, and make full-width digits and
+    percent signs plain, as the number casts read plain ones only."""
+    return F.trim(F.regexp_replace(F.translate(as_col(c), "０１２３４５６７８９％", "0123456789%"), _U + r"\s+", " "))
 
 
 def _has(text: Column, pattern: str) -> Column:

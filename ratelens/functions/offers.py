@@ -29,8 +29,12 @@ AREA_PATTERNS = {
 PING_PATTERN = _NUM + r"\s*坪"
 
 
+# Full-width digits, which these texts use like the plain ones.
+FULL_WIDTH = ("０１２３４５６７８９", "0123456789")
+
+
 def _first(text: Column, pattern: str) -> Column:
-    return F.regexp_extract(text, "(?U)" + pattern, 1).try_cast("decimal(18,4)")
+    return F.regexp_extract(F.translate(text, *FULL_WIDTH), "(?U)" + pattern, 1).try_cast("decimal(18,4)")
 
 
 def area_from_text(text, style: str = "metric") -> Column:

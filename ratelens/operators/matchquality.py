@@ -86,7 +86,7 @@ def unresolved_candidates(df: DataFrame) -> DataFrame:
         .agg(
             F.count("*").alias("observations"),
             F.max("queried_at").alias("latest_queried_at"),
-            F.max_by("source_url", "queried_at").alias("sample_source_url"),
+            F.max_by("source_url", F.struct("queried_at", "observation_id")).alias("sample_source_url"),
             F.count_if(g == "room_evidence_only").alias("unlockable"),
             F.count_if(g == "room_evidence_and_metadata").alias("blocked"),
             F.count_if(g.isin("room_area_conflict_only", "room_area_conflict_and_metadata")).alias("area_conflict"),
@@ -151,8 +151,8 @@ def strict_gap_hotels(df: DataFrame) -> DataFrame:
     return (
         rows.groupBy("hotel_id")
         .agg(
-            F.max_by("hotel_name", "queried_at").alias("hotel_name"),
-            F.max_by("city", "queried_at").alias("city"),
+            F.max_by("hotel_name", F.struct("queried_at", "observation_id")).alias("hotel_name"),
+            F.max_by("city", F.struct("queried_at", "observation_id")).alias("city"),
             F.count("*").alias("observations"),
             F.count_if("strict_parity_eligible").alias("strict_parity_eligible_observations"),
             F.count_if(~F.col("strict_parity_eligible")).alias("strict_parity_gap_observations"),

@@ -22,6 +22,10 @@ def local_date(moment: Column, zone: Column) -> Column:
     return F.to_date(F.from_utc_timestamp(moment, zone))
 
 
+# What a hotel record that leaves these out means.
+HOTEL_DEFAULTS = {"timezone": "Asia/Taipei", "collection_frequency": "daily", "market_scope": "core"}
+
+
 def _zone_known(zone: Column) -> Column:
     return zone.isin(sorted(zoneinfo.available_timezones()))
 
@@ -32,7 +36,8 @@ def collection_plan(
     """(requests, failures). Disabled hotels are skipped; weekly hotels are due on
     their local Sunday; supplemental hotels take two lead times only; pairs that are
     cooling down and hotels with an unknown time zone become failure rows."""
-    h = hotels.where("enabled").withColumn("started_at", started_at)
+    h = hotels.where("coalesce(enabled, true)").withColumn("started_at", started_at)
+    h = h.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in HOTEL_DEFAULTS.items()})
     bad_zone = h.where(~_zone_known(F.col("timezone")))
     good = h.where(_zone_known(F.col("timezone"))).withColumn("local_date", local_date(F.col("started_at"), F.col("timezone")))
     due = good.where((F.col("collection_frequency") != "weekly") | (F.dayofweek("local_date") == 1))

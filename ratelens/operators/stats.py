@@ -10,10 +10,7 @@ that never bring a group together:
    rows per group, and find the bucket that holds the middle rank;
 3. only the values inside that bucket are ordered, and the middle one or two read.
 
-Count, mean, min and max come out of the same pass.
-
-An input whose files are small enough for one task to hold them all, whatever the
-grouping, takes the built-in aggregates instead: one shuffle rather than five.
+Count, mean, min and max come out of the same pass. Inputs of all sizes go this way.
 """
 
 from __future__ import annotations
@@ -24,41 +21,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 RESOLUTION = 2048
 
 
-# Up to this many bytes of source files (about two million rows of the mirror) even a
-# single group with everything in it fits one task. 0 turns the short way off.
-SMALL_INPUT = "ratelens.stats.smallInputBytes"
-SMALL_INPUT_DEFAULT = 64 * 1024 * 1024
-
-
-def fits_one_task(df: DataFrame) -> bool:
-    """Whether the sources of ``df`` are known to be small. Sources of unknown size,
-    and plans that cannot be inspected, are not."""
-    limit = int(df.sparkSession.conf.get(SMALL_INPUT, str(SMALL_INPUT_DEFAULT)))
-    try:
-        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-        sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
-    except (AttributeError, TypeError):
-        return False
-    return sum(sizes) <= limit
-
-
-def _built_in_stats(df: DataFrame, keys: list[str], names: list[str], cols: list[Column], extra: bool) -> DataFrame:
-    none = F.lit(None).cast("double")
-    values = {f"_v{i}": F.nanvl(c.cast("double"), none) for i, c in enumerate(cols)}
-    flat = df.select(*keys, *[c.alias(n) for n, c in values.items()])
-    aggs = []
-    for v, name in zip(values, names):
-        aggs += [F.count(v).alias(f"{name}_n"), F.median(v).alias(f"{name}_median")]
-        if extra:
-            aggs += [F.avg(v).alias(f"{name}_mean"), F.min(v).alias(f"{name}_min"), F.max(v).alias(f"{name}_max")]
-    out = flat.groupBy(*keys).agg(*aggs)
-    counts = [F.col(f"{n}_n") for n in names]
-    some = F.greatest(*counts) if len(counts) > 1 else counts[0]
-    kept = out.where(some > 0)
-    # As in the other way, a value that a group lacks has no count.
-    return kept.withColumns({f"{n}_n": F.nullif(F.col(f"{n}_n"), F.lit(0)) for n in names})
-
-
 def _bucket(v: Column) -> Column:
     # Monotone in v; log1p is semi-monotone, so equal values share a bucket and
     # order between buckets is the order of values.
@@ -72,8 +34,6 @@ def grouped_stats(df: DataFrame, keys: list[str], values: dict[str, str | Column
     Null values are ignored. Groups in which every value is null do not appear."""
     names = list(values)
     cols = [F.col(v) if isinstance(v, str) else v for v in values.values()]
-    if fits_one_task(df):
-        return _built_in_stats(df, keys, names, cols, extra)
     if len(names) == 1:
         flat = df.select(*keys, F.lit(0).alias("_m"), cols[0].cast("double").alias("_v"))
     else:

@@ -58,11 +58,3 @@ def release(spark: SparkSession) -> None:
     results that read them have been written out."""
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Use all cores on a source that has fewer file splits than there are cores, such
-    as one small file with a single row group. Larger sources pass unchanged. Hashing
-    by ``keys`` keeps a retried task's rows where they were."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df

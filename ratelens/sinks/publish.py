@@ -116,7 +116,7 @@ def partition_index(df: DataFrame) -> DataFrame:
         df.withColumn("month", F.date_format("queried_at", "yyyy-MM"))
         .where("month is not null and hotel_id <> ''")
         .groupBy("month", "hotel_id")
-        .agg(F.max_by("hotel_name", "queried_at").alias("hotel_name"), F.count("*").alias("observations"))
+        .agg(F.max_by("hotel_name", F.struct("queried_at", "observation_id")).alias("hotel_name"), F.count("*").alias("observations"))
         .withColumn("path", F.concat_ws("/", F.lit("rates"), "month", F.concat("hotel_id", F.lit(".json"))))
     )
 

@@ -12,8 +12,9 @@ from ratelens.schema import DEFAULT_METHOD, LEGACY_DEFAULTS, RATE_SCHEMA, confor
 RAW_SCHEMA = T.StructType([T.StructField(f.name, T.StringType()) for f in RATE_SCHEMA.fields])
 CORRUPT = "_malformed"
 
-# A single file, monthly shards, or month folders with daily shards.
-SHARD_PATH = r"/.{4}-.{2}(\.jsonl|/.{4}-.{2}-.{2}\.jsonl)$"
+# Monthly shards, month folders with daily shards, and the day folders that
+# ``append_observations`` writes.
+SHARD_PATH = r"/(.{4}-.{2}(\.jsonl|/.{4}-.{2}-.{2}\.jsonl)|month=.{4}-.{2}/day=.{4}-.{2}-.{2}/[^/]+\.json)$"
 
 
 def shard_filter() -> Column:
@@ -26,7 +27,7 @@ def _raw(spark: SparkSession, path: str) -> DataFrame:
     if path.endswith(".jsonl"):
         return reader.json(path)
     # The predicate is on file metadata, so other files are pruned, not read.
-    return reader.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").json(path).where(shard_filter())
+    return reader.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json*").json(path).where(shard_filter())
 
 
 def _malformed() -> Column:
@@ -45,20 +46,23 @@ def read_observations(spark: SparkSession, path: str, strict: bool = True) -> Da
     """History under ``path`` with the fixed schema. A malformed line fails the job
     that meets it, naming shard and text; otherwise such lines are left out."""
     raw = _raw(spark, path)
-    if strict:
-        message = F.concat(F.lit("Invalid JSON in "), F.col("_metadata.file_path"), F.lit(": "), F.col(CORRUPT))
-        raw = raw.where(F.when(_malformed(), F.raise_error(message).cast("boolean")).otherwise(F.lit(True)))
-    else:
-        raw = raw.where(~_malformed())
-    return conform(raw.drop(CORRUPT))
+    return conform((_strict(raw) if strict else raw.where(~_malformed())).drop(CORRUPT))
+
+
+def _strict(raw: DataFrame) -> DataFrame:
+    message = F.concat(F.lit("Invalid JSON in "), F.col("_metadata.file_path"), F.lit(": "), F.col(CORRUPT))
+    return raw.where(F.when(_malformed(), F.raise_error(message).cast("boolean")).otherwise(F.lit(True)))
 
 
 def stream_observations(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
-    """New JSON shards as they arrive."""
-    reader = spark.readStream.schema(RAW_SCHEMA).option("recursiveFileLookup", "true")
+    """New JSON files as they arrive, whatever their names; files of other kinds are
+    skipped. A malformed line fails the stream, naming file and text."""
+    schema = T.StructType([*RAW_SCHEMA.fields, T.StructField(CORRUPT, T.StringType())])
+    reader = spark.readStream.schema(schema).option("columnNameOfCorruptRecord", CORRUPT)
+    reader = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json*")
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return conform(reader.json(path))
+    return conform(_strict(reader.json(path)).drop(CORRUPT))
 
 
 def month_of(c="queried_at") -> Column:

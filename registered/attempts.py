@@ -89,7 +89,7 @@ def str3(spark, sf):
 
 def drain(spark: SparkSession, stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over everything available and read back what it wrote."""
-    base = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     if mode == "append":
         q = stream.writeStream.format("parquet").option("path", f"{base}/out").outputMode("append")
     else:

@@ -24,7 +24,7 @@ def dq1(spark, sf):
     last = F.col("day") == d.where(verified_market()).agg(F.max("day")).scalar()
     thin = F.col("hotel_id").isin("hotel_4", "hotel_5") & (F.col("lead_days") != 7) & last
     dear = F.col("hotel_id").isin("hotel_8", "hotel_9") & last
-    d = d.where(~thin).withColumn("nightly_adr_twd", F.when(dear, F.col("nightly_adr_twd") * 3).otherwise(F.col("nightly_adr_twd")))
+    d = d.withColumn("source_platform", F.when(thin, "other").otherwise(F.col("source_platform"))).withColumn("nightly_adr_twd", F.when(dear, F.col("nightly_adr_twd") * 3).otherwise(F.col("nightly_adr_twd")))
     return quality.volume_warnings(d.drop("day")).select(
         "hotel_id", "code", "current_count", r("baseline_count", 4).alias("baseline_count"), r("change_pct").alias("change_pct")
     )
@@ -37,7 +37,8 @@ SELECT hotel_id, strftime(day, '%Y-%m-%d') AS day, CAST(n AS BIGINT) AS n, round
 FROM hd WINDOW w7 AS (PARTITION BY hotel_id ORDER BY day RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING)""", SQL_PRICED))
 def w3(spark, sf):
     gap = (F.col("lead_days") > 7) & (F.dayofmonth("queried_at") % 3 == 0) & (F.col("hotel_id") == "hotel_1")
-    d = quality.daily_volume(observations(spark, sf).where(~gap))
+    d = observations(spark, sf)
+    d = quality.daily_volume(d.withColumn("source_platform", F.when(gap, "other").otherwise(F.col("source_platform"))))
     return d.select("hotel_id", day("day").alias("day"), "n", r("baseline_count").alias("baseline_count"), r("yesterday_adr", 4).alias("yesterday_adr"))
 
 

@@ -109,7 +109,7 @@ def agg14(spark, sf):
 
 
 _FRESH = """
-f AS (SELECT hotel_id, max(queried_at) AS last_success FROM rates WHERE lead_days <> 1 GROUP BY 1),
+f AS (SELECT hotel_id, max(queried_at) AS last_success FROM rates GROUP BY 1),
 g AS (SELECT hotel_id, epoch(TIMESTAMP '2026-10-02 12:00:00' - last_success) / 3600 AS age FROM f)
 """
 
@@ -117,7 +117,7 @@ g AS (SELECT hotel_id, epoch(TIMESTAMP '2026-10-02 12:00:00' - last_success) / 3
 @query("AGG15_freshness", sql("""
 SELECT hotel_id, round(age, 4) AS age_hours, CASE WHEN age <= 36 THEN 'fresh' WHEN age <= 72 THEN 'aging' ELSE 'stale' END AS state FROM g""", _FRESH))
 def agg15(spark, sf):
-    d = facets.freshness(observations(spark, sf).where("lead_days <> 1"), F.lit("2026-10-02 12:00:00").cast("timestamp"))
+    d = facets.freshness(observations(spark, sf), F.lit("2026-10-02 12:00:00").cast("timestamp"))
     return d.select("hotel_id", r("age_hours", 4).alias("age_hours"), "state")
 
 
@@ -126,7 +126,7 @@ def agg15(spark, sf):
 SELECT CAST(count_if(age <= 36) AS BIGINT) AS fresh, CAST(count(*) AS BIGINT) AS scheduled, round(count_if(age <= 36) * 1.0 / count(*), 6) AS ratio
 FROM s LEFT JOIN g USING (hotel_id)""", _FRESH))
 def agg15b(spark, sf):
-    fresh = facets.freshness(observations(spark, sf).where("lead_days <> 1"), F.lit("2026-10-02 12:00:00").cast("timestamp"))
+    fresh = facets.freshness(observations(spark, sf), F.lit("2026-10-02 12:00:00").cast("timestamp"))
     hotels = table(spark, sf, "supplier").select(F.concat(F.lit("hotel_"), F.col("s_suppkey") % 31).alias("hotel_id")).distinct()
     return facets.scheduled_fresh(fresh, hotels.withColumn("enabled", F.lit(True))).select("fresh", "scheduled", r("ratio").alias("ratio"))
 

@@ -24,7 +24,7 @@ from registered.view import SQL_DEDUP, SQL_PRICED, _written, mirror_rows, observ
 
 
 def fresh_path(spark, name: str) -> str:
-    return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def _json_history(spark, sf) -> str:
@@ -34,7 +34,7 @@ def _json_history(spark, sf) -> str:
         path = fresh_path(spark, "history")
         d = history.with_day_partitions(rates(spark, sf).select(*raw_rates(spark, sf).columns))
         # One folder per month, one text file set per day, named like the shards.
-        d.select("month", "day", F.to_json(F.struct(*[c for c in d.columns if c not in ("month", "day")])).alias("value")).write.partitionBy("month", "day").text(path)
+        d.write.option("ignoreNullFields", "false").partitionBy("month", "day").json(path)
         _written[key] = path
     return _written[key]
 
@@ -42,7 +42,7 @@ def _json_history(spark, sf) -> str:
 @query("SRC1_SRC2_read_history", sql("""
 SELECT observation_id, hotel_id, strftime(queried_at, '%Y-%m-%d %H:%M:%S') AS queried_at, round(total_price, 4) AS total_price, room_size_sqm FROM rates"""))
 def src1(spark, sf):
-    d = conform(spark.read.schema(src.RAW_SCHEMA).json(_json_history(spark, sf)))
+    d = src.read_observations(spark, _json_history(spark, sf))
     return d.select("observation_id", "hotel_id", ts("queried_at").alias("queried_at"), r("total_price", 4).alias("total_price"), F.col("room_size_sqm").cast("double").alias("room_size_sqm"))
 
 
@@ -176,7 +176,7 @@ def snk1(spark, sf):
     history.append_observations(d.where("lead_days <= 14"), path)
     history.append_observations(d, path)
     history.append_observations(d, path)
-    return history.read_history(spark, path).groupBy(day("queried_at").alias("day")).agg(F.count("*").alias("rows"))
+    return src.read_observations(spark, path).groupBy(day("queried_at").alias("day")).agg(F.count("*").alias("rows"))
 
 
 def _mirror_root(spark, sf) -> str:
@@ -302,7 +302,7 @@ def snk11(spark, sf):
 def snk12(spark, sf):
     path = fresh_path(spark, "daily")
     history.to_daily_partitions(rates(spark, sf), path)
-    return history.read_history(spark, path).groupBy(day("queried_at").alias("day")).agg(F.count("*").alias("rows"))
+    return src.read_observations(spark, path).groupBy(day("queried_at").alias("day")).agg(F.count("*").alias("rows"))
 
 
 @query("U3_multiset_difference", sql("SELECT CAST(count(*) AS BIGINT) AS digests, CAST(-count(*) AS BIGINT) AS surplus FROM rates WHERE lead_days = 7"))

@@ -220,3 +220,9 @@ def test_mirror_rules_see_url_and_method(make):
 def test_dates_are_dates(make):
     r = make({}).first()
     assert r.check_in == date(2026, 12, 1)
+
+
+def test_full_width_digits(make):
+    d = make({"cancellation_policy": "入住前至少 ３ 天取消", "check_in": "2026-12-10"})
+    got = d.select(cancellation.cancellation_deadline().alias("x")).first().x
+    assert got == "2026-12-07"

@@ -54,6 +54,8 @@ def test_append_is_idempotent(spark, make, tmp_path):
     back = history.read_history(spark, path)
     assert back.count() == 3 and int(back.where("hotel_id = 'h1' and to_date(queried_at) = '2026-10-08'").first().total_price) == 1
     assert sorted(p.name for p in (tmp_path / "h" / "month=2026-10").iterdir()) == ["day=2026-10-08", "day=2026-10-09"]
+    again = src.read_observations(spark, path)
+    assert sorted(map(str, again.collect())) == sorted(map(str, back.collect()))
 
 
 def test_mirror_is_verified_and_published(spark, make, tmp_path):
@@ -238,3 +240,27 @@ def test_health_stream_equals_batch_over_micro_batches(spark, tmp_path):
 
 def test_shared_folder_is_the_sessions_own(spark):
     assert shared_folder(spark) == shared_folder(spark)
+
+
+def test_stream_fails_on_a_malformed_line_and_skips_other_files(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "junk.txt").write_text("not a shard")
+    (tmp_path / "in" / "a.jsonl").write_text('{"observation_id": "o1"}\n')
+
+    def drain(name):
+        q = src.stream_observations(spark, str(tmp_path / "in")).writeStream.format("memory").queryName(name).trigger(availableNow=True).start()
+        q.awaitTermination()
+        return [r.observation_id for r in spark.table(name).collect()]
+
+    assert drain("good_lines") == ["o1"]
+    (tmp_path / "in" / "b.jsonl").write_text("NOT JSON\n")
+    with pytest.raises(Exception, match="Invalid JSON"):
+        drain("bad_lines")
+
+
+def test_intermediates_of_two_calls_do_not_meet(spark):
+    from ratelens.session import cut_lineage, release
+
+    one, two = cut_lineage(spark.range(3), "same-name"), cut_lineage(spark.range(5), "same-name")
+    assert (one.count(), two.count()) == (3, 5)
+    assert callable(release)
