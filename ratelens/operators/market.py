@@ -45,23 +45,28 @@ def market_summary(priced: DataFrame) -> DataFrame:
     return beside(totals, levels)
 
 
+def _priced_hotels(df: DataFrame) -> DataFrame:
+    return df.where((F.col("hotel_id") != "") & F.col("nightly_adr_twd").isNotNull())
+
+
+def period_medians(df: DataFrame, period: str) -> DataFrame:
+    """Per (period, hotel): median and count of nightly prices."""
+    stats = grouped_stats(_priced_hotels(df), [period, "hotel_id"], {"adr": "nightly_adr_twd"}, extra=False)
+    return stats.select(period, "hotel_id", F.col("adr_median").alias("median_twd"), F.col("adr_n").alias("observations"))
+
+
 def hotel_period_medians(df: DataFrame, period: str) -> DataFrame:
-    """Per (period, hotel): median, mean and count of nightly prices, and the name
-    last seen."""
-    rows = df.where((F.col("hotel_id") != "") & F.col("nightly_adr_twd").isNotNull())
-    stats = grouped_stats(rows, [period, "hotel_id"], {"adr": "nightly_adr_twd"})
-    names = rows.groupBy(period, "hotel_id").agg(
+    """``period_medians`` with the name last seen in the period."""
+    names = _priced_hotels(df).groupBy(period, "hotel_id").agg(
         F.max_by("hotel_name", F.struct("queried_at", "observation_id")).alias("hotel_name")
     )
-    return stats.join(names, [period, "hotel_id"]).select(
-        period, "hotel_id", "hotel_name",
-        F.col("adr_median").alias("median_twd"), F.col("adr_n").alias("observations"),
+    return period_medians(df, period).join(names, [period, "hotel_id"]).select(
+        period, "hotel_id", "hotel_name", "median_twd", "observations"
     )
 
 
-def period_market(df: DataFrame, period: str) -> DataFrame:
-    """One row per period, each hotel weighing the same."""
-    return hotel_period_medians(df, period).groupBy(period).agg(
+def _equal_weights(medians: DataFrame, period: str) -> DataFrame:
+    return medians.groupBy(period).agg(
         F.median("median_twd").alias("market_median_twd"),
         F.avg("median_twd").alias("market_average_twd"),
         F.count("*").alias("hotels"),
@@ -69,18 +74,25 @@ def period_market(df: DataFrame, period: str) -> DataFrame:
     )
 
 
+def period_market(df: DataFrame, period: str) -> DataFrame:
+    """One row per period, each hotel weighing the same."""
+    return _equal_weights(period_medians(df, period), period)
+
+
 def _latest_day(df: DataFrame):
     """The newest observation day as a scalar subquery: it is evaluated once and
     its value is pushed into the scans that filter on it."""
     return df.agg(F.max("day").alias("latest_day")).scalar()
 
 
+def _dated(priced: DataFrame) -> DataFrame:
+    return observed_day(priced.where(verified_market())).where(F.col("day").isNotNull() & (F.col("nightly_adr_twd") > 0))
+
+
 def weekly_rows(priced: DataFrame) -> DataFrame:
     """Official, priced rows of the latest seven days ('current') and the seven
     before ('previous')."""
-    dated = observed_day(priced.where(verified_market())).where(
-        F.col("day").isNotNull() & (F.col("nightly_adr_twd") > 0)
-    )
+    dated = _dated(priced)
     top = _latest_day(dated)
     period = F.when(F.col("day") > F.date_sub(top, 7), F.lit("current")).when(
         F.col("day") > F.date_sub(top, 14), F.lit("previous")
@@ -89,12 +101,11 @@ def weekly_rows(priced: DataFrame) -> DataFrame:
 
 
 def weekly_digest(priced: DataFrame) -> DataFrame:
-    """One row with both periods and the change; an empty history yields
-    ``available = false``. A missing previous period leaves the change null."""
-    dated = observed_day(priced.where(verified_market())).where(
-        F.col("day").isNotNull() & (F.col("nightly_adr_twd") > 0)
-    )
-    market = period_market(weekly_rows(priced), "period")
+    """One row with both periods, the change, and the number of hotels that have a
+    price in both; an empty history yields ``available = false``. A missing previous
+    period leaves the change null."""
+    medians = period_medians(weekly_rows(priced), "period")
+    market = _equal_weights(medians, "period")
 
     def side(name, col):
         return F.max(F.when(F.col("period") == name, F.col(col)))
@@ -106,17 +117,21 @@ def weekly_digest(priced: DataFrame) -> DataFrame:
             for c in ("market_median_twd", "market_average_twd", "hotels", "observations")
         ]
     )
-    latest = dated.agg(F.max("day").alias("current_end"))
+    per_hotel = medians.groupBy("hotel_id").agg(side("current", "median_twd").alias("now"), side("previous", "median_twd").alias("past"))
+    comparable = per_hotel.agg(F.count_if(F.col("now").isNotNull() & (F.col("past") != 0)).alias("comparable_hotels"))
+    # the same subquery as in weekly_rows, so it is evaluated once
+    latest = both.withColumn("current_end", _latest_day(_dated(priced)))
     change = F.try_divide(
         F.col("current_market_median_twd") - F.col("previous_market_median_twd"), F.col("previous_market_median_twd")
     )
-    return beside(latest, both).select(
+    return beside(latest, comparable).select(
         F.col("current_market_median_twd").isNotNull().alias("available"),
         F.date_sub("current_end", 6).alias("current_start"),
         "current_end",
         F.date_sub("current_end", 13).alias("previous_start"),
         F.date_sub("current_end", 7).alias("previous_end"),
         *both.columns,
+        "comparable_hotels",
         change.alias("change_pct"),
         F.when(F.col("current_market_median_twd").isNull(), F.lit("no_history")).alias("reason"),
     )

@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ratelens.functions.distinct import null_safe
 from ratelens.functions.labels import (
     area_spec, bed_type, cjk_count, room_class, stable_room_id, with_normalized_label,
 )
@@ -158,6 +155,11 @@ def _contained_labels(subjects: DataFrame, labels: DataFrame) -> DataFrame:
     return hits.withColumn("_rk", F.rank().over(w)).where("_rk = 1").select("subject", *_ROOM_COLUMNS)
 
 
+def _subject():
+    # JSON leaves nulls out by name, so a missing value differs from every text.
+    return F.md5(F.to_json(F.struct(*SUBJECT)))
+
+
 def match_rooms(df: DataFrame, dimension: DataFrame) -> DataFrame:
     """Resolve every observation to at most one evidenced room.
 
@@ -166,22 +168,21 @@ def match_rooms(df: DataFrame, dimension: DataFrame) -> DataFrame:
     area must agree within 1 sqm, and exactly one candidate must remain.
 
     Matching runs once per distinct (hotel, source, code, name, size) and is joined
-    back, so the cost follows the variety of labels and not the number of rows. The
+    back by a 128-bit digest of these, taken in the pass over the rows, so the cost follows the variety of labels and not the number of rows. The
     distinct subjects and both indexes are written once, because every tier reads
     them: the rows are scanned twice in all."""
-    run = uuid.uuid4().hex
-    labels = cut_lineage(label_index(dimension), f"room-labels-{run}")
-    codes = cut_lineage(code_index(dimension), f"room-codes-{run}")
+    labels = cut_lineage(label_index(dimension), "room-labels")
+    codes = cut_lineage(code_index(dimension), "room-codes")
     subjects = with_normalized_label(df.select(*SUBJECT).distinct())
     subjects = subjects.withColumns(
         {
             "area": positive("room_size_sqm"),
-            "subject": F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in SUBJECT]),
+            "subject": _subject(),
             "source": _text(F.col("source_platform")),
             "code": _text(F.col("room_type_code")),
         }
     )
-    subjects = cut_lineage(subjects, f"room-subjects-{run}")
+    subjects = cut_lineage(subjects, "room-subjects")
     by_code = (
         subjects.where("source <> '' and code <> ''")
         .join(codes, ["hotel_id", "source", "code"])
@@ -221,12 +222,12 @@ def match_rooms(df: DataFrame, dimension: DataFrame) -> DataFrame:
         .otherwise(F.lit("matched_evidenced_label_with_descriptors"))
     )
     found = subjects.join(verdict, "subject", "left").select(
-        *SUBJECT,
+        F.col("subject").alias("_subject"),
         status.alias("room_match_status"),
         *[F.when(one, F.col(c)).alias(c) for c in ("stable_room_type_id", "normalized_room_family", "room_class")],
     )
     clean = df.drop("room_match_status", "stable_room_type_id", "normalized_room_family", "room_class")
-    return null_safe(clean, found, SUBJECT)
+    return clean.withColumn("_subject", _subject()).join(found, "_subject", "left").drop("_subject")
 
 
 def source_code_conflicts(dimension: DataFrame) -> DataFrame:

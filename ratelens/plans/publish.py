@@ -16,7 +16,7 @@ from ratelens.operators import facets, health, market, matchquality, quality, ro
 from ratelens.operators.dedup import deduplicate, latest_batches
 from ratelens.operators.parity import rate_parity, with_comparison, with_terms
 from ratelens.session import cut_lineage
-from ratelens.sinks.publish import bounded_shards, checked_ids, dashboard_rows, heatmap_rows, partition_index, shard_index, write_details, write_shards
+from ratelens.sinks.publish import GROUP, bounded_shards, checked_ids, dashboard_rows, file_index, heatmap_rows, partition_index, write_details, write_shards
 from ratelens.sources.observations import with_source
 from ratelens.sources.snapshots import validate_snapshots
 
@@ -87,13 +87,15 @@ def publish(
 
 def write_published(p: Published, root: str, max_shard_bytes: int | None = None) -> DataFrame:
     """Write the tables, the detail partitions and the bounded shards; return the
-    shard index."""
+    shard index. Both indexes list the files that were written."""
+    spark = p.rows.sparkSession
     for name, df in p.tables.items():
         df.write.mode("overwrite").json(f"{root}/{name}")
     rows = dashboard_rows(checked_ids(p.rows)).withColumn("observation_id", F.xxhash64("*").cast("string"))
     write_details(rows.drop("observation_id"), f"{root}/rates")
+    file_index(spark, root, "rates", GROUP[:2]).write.mode("overwrite").json(f"{root}/rates_index")
     shards = bounded_shards(rows, max_shard_bytes) if max_shard_bytes else bounded_shards(rows)
     write_shards(shards, f"{root}/shards")
-    index = shard_index(shards)
+    index = file_index(spark, root, "shards", [*GROUP, "shard"])
     index.write.mode("overwrite").json(f"{root}/shard_index")
     return index

@@ -111,13 +111,12 @@ def checked_ids(df: DataFrame) -> DataFrame:
 
 
 def partition_index(df: DataFrame) -> DataFrame:
-    """Month, hotel, observations and path, months newest first when listed."""
+    """Month, hotel, name and observations. Where the rows lie is in ``file_index``."""
     return (
         df.withColumn("month", F.date_format("queried_at", "yyyy-MM"))
         .where("month is not null and hotel_id <> ''")
         .groupBy("month", "hotel_id")
         .agg(F.max_by("hotel_name", F.struct("queried_at", "observation_id")).alias("hotel_name"), F.count("*").alias("observations"))
-        .withColumn("path", F.concat_ws("/", F.lit("rates"), "month", F.concat("hotel_id", F.lit(".json"))))
     )
 
 
@@ -125,12 +124,27 @@ def write_details(df: DataFrame, path: str) -> None:
     """Month and hotel partitions, newest rows first within a file."""
     d = checked_ids(df).withColumn("month", F.date_format("queried_at", "yyyy-MM")).where("month is not null")
     order = [F.col("month"), F.col("hotel_id"), F.col("queried_at").desc()]
-    d.hint("rebalance", "month", "hotel_id").sortWithinPartitions(*order).write.mode("overwrite").option("ignoreNullFields", "false").partitionBy(
-        "month", "hotel_id"
-    ).json(path)
+    d.hint("rebalance", "month", "hotel_id").sortWithinPartitions(*order).write.mode("overwrite").option("ignoreNullFields", "false").option(
+        "partitionOverwriteMode", "static"
+    ).partitionBy("month", "hotel_id").json(path)
 
 
 GROUP = ["month", "hotel_id", "day"]
+PARTITION_TYPES = {"month": "string", "hotel_id": "string", "day": "string", "shard": "int"}
+
+
+def file_index(spark: SparkSession, root: str, folder: str, by: list[str]) -> DataFrame:
+    """One row for each file written below ``root/folder``, partitioned ``by``: its path
+    from ``root`` on, rows and bytes. It lists what is there, so no path is made up, and
+    a hotel of any size has as many rows here as files."""
+    schema = ", ".join(["value string", *(f"{c} {PARTITION_TYPES[c]}" for c in by)])
+    lines = spark.read.schema(schema).text(f"{root}/{folder}")
+    at = F.substring_index("_metadata.file_path", f"/{folder}/", -1)
+    return (
+        lines.select(*by, F.concat(F.lit(f"{folder}/"), at).alias("path"), F.col("_metadata.file_size").alias("bytes"))
+        .groupBy(*by, "path", "bytes")
+        .agg(F.count("*").alias("observations"))
+    )
 
 
 def _sized(df: DataFrame) -> DataFrame:
@@ -196,12 +210,8 @@ def bounded_shards(df: DataFrame, max_bytes: int = MAX_SHARD_BYTES) -> DataFrame
 
 
 def shard_index(shards: DataFrame) -> DataFrame:
-    """Path, observations and bytes of every shard."""
-    return (
-        shards.groupBy(*GROUP, "shard")
-        .agg(F.count("*").alias("observations"), F.sum("bytes").alias("bytes"))
-        .withColumn("path", F.format_string("rates/%s/%s/%s-%02d.json", "month", "hotel_id", "day", "shard"))
-    )
+    """Observations and bytes of every shard."""
+    return shards.groupBy(*GROUP, "shard").agg(F.count("*").alias("observations"), F.sum("bytes").alias("bytes"))
 
 
 def write_shards(shards: DataFrame, path: str) -> None:
@@ -209,7 +219,7 @@ def write_shards(shards: DataFrame, path: str) -> None:
     # A shard is bounded, so one task can always hold it.
     shards.repartition(*GROUP, "shard").sortWithinPartitions(*order).select(*GROUP, "shard", F.col("body").alias("value")).write.mode(
         "overwrite"
-    ).partitionBy(*GROUP, "shard").text(path)
+    ).option("partitionOverwriteMode", "static").partitionBy(*GROUP, "shard").text(path)
 
 
 # Files that never list themselves.

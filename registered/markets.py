@@ -54,7 +54,7 @@ SELECT true AS available, strftime(c.top - 6, '%Y-%m-%d') AS current_start, strf
        strftime(c.top - 13, '%Y-%m-%d') AS previous_start, strftime(c.top - 7, '%Y-%m-%d') AS previous_end,
        round(a.med, 4) AS current_median, round(a.mean, 4) AS current_mean, CAST(a.hotels AS BIGINT) AS current_hotels, CAST(a.obs AS BIGINT) AS current_observations,
        round(b.med, 4) AS previous_median, round(b.mean, 4) AS previous_mean, CAST(b.hotels AS BIGINT) AS previous_hotels, CAST(b.obs AS BIGINT) AS previous_observations,
-       round((a.med - b.med) / b.med, 6) AS change_pct
+       round((a.med - b.med) / b.med, 6) AS change_pct, (SELECT CAST(count(*) AS BIGINT) FROM movers WHERE prev <> 0) AS comparable_hotels
 FROM (SELECT max(top) AS top FROM dated) c, wp a, wp b WHERE a.period = 'current' AND b.period = 'previous'""", SQL_PRICED, SQL_DEDUP, _WEEK))
 def agg3(spark, sf):
     d = market.weekly_digest(published(spark, sf))
@@ -63,7 +63,7 @@ def agg3(spark, sf):
         *[x for p in ("current", "previous") for x in (
             r(f"{p}_market_median_twd", 4).alias(f"{p}_median"), r(f"{p}_market_average_twd", 4).alias(f"{p}_mean"),
             F.col(f"{p}_hotels"), F.col(f"{p}_observations"))],
-        r("change_pct").alias("change_pct"),
+        r("change_pct").alias("change_pct"), "comparable_hotels",
     )
 
 

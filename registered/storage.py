@@ -255,9 +255,15 @@ def snk7(spark, sf):
 
 @query("SNK8_partition_index", sql("""
 SELECT strftime(queried_at, '%Y-%m') AS month, hotel_id, concat('Hotel ', substr(hotel_id, 7)) AS hotel_name, CAST(count(*) AS BIGINT) AS observations,
-   concat('rates/', strftime(queried_at, '%Y-%m'), '/', hotel_id, '.json') AS path FROM published GROUP BY ALL""", SQL_PRICED, SQL_DEDUP))
+   CAST(count(*) AS BIGINT) AS listed FROM published GROUP BY ALL""", SQL_PRICED, SQL_DEDUP))
 def snk8(spark, sf):
-    return publish.partition_index(published(spark, sf))
+    """The catalog next to the rows that the listed files hold."""
+    root = fresh_path(spark, "indexed")
+    rows = with_comparison(published(spark, sf))
+    publish.write_details(publish.dashboard_rows(rows), f"{root}/rates")
+    files = publish.file_index(spark, root, "rates", ["month", "hotel_id"])
+    listed = files.groupBy("month", "hotel_id").agg(F.sum("observations").alias("listed"))
+    return publish.partition_index(rows).join(listed, ["month", "hotel_id"], "full")
 
 
 @query("SNK9_asset_manifest", sql("""

@@ -99,6 +99,7 @@ def _weeks(make):
 def test_weekly_digest(make):
     r = market.weekly_digest(_weeks(make)).first()
     assert (r.available, r.current_market_median_twd, r.previous_market_median_twd, r.change_pct) == (True, 18000.0, 15000.0, 0.2)
+    assert (r.comparable_hotels, r.current_hotels, r.current_observations, r.previous_observations) == (2, 2, 3, 3)
     assert rows_of(market.weekly_movers(_weeks(make)), "hotel_id", "change_pct") == [("a", 0.2), ("b", 0.2)]
     assert rows_of(market.lead_time_curve(_weeks(make)), "lead_days") == [(7,), (30,)]
 
@@ -106,11 +107,12 @@ def test_weekly_digest(make):
 def test_weekly_digest_without_history(make):
     r = market.weekly_digest(_weeks(make).where("false")).first()
     assert (r.available, r.reason, r.change_pct) == (False, "no_history", None)
+    assert (r.current_end, r.comparable_hotels) == (None, 0)
 
 
 def test_weekly_change_is_unknown_without_a_previous_week(make):
     r = market.weekly_digest(_weeks(make).where("queried_at > '2026-09-15'")).first()
-    assert (r.available, r.change_pct) == (True, None)
+    assert (r.available, r.change_pct, r.comparable_hotels) == (True, None, 0)
 
 
 def test_daily_digest(make):

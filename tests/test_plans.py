@@ -29,7 +29,11 @@ def test_publish(spark, make, tmp_path):
     assert p.tables["latest_summary"].first().record_count == 3
     index = publish.write_published(publish.Published(p.rows, p.latest, {k: p.tables[k] for k in ("weekly_digest", "top_candidates")}), str(tmp_path))
     assert index.agg(F.sum("observations")).first()[0] == 4
-    assert sorted(x.name for x in tmp_path.iterdir()) == ["rates", "shard_index", "shards", "top_candidates", "weekly_digest"]
+    assert sorted(x.name for x in tmp_path.iterdir()) == ["rates", "rates_index", "shard_index", "shards", "top_candidates", "weekly_digest"]
+    for name in ("rates_index", "shard_index"):  # every listed path opens and holds what the index says
+        for f in spark.read.json(str(tmp_path / name)).collect():
+            body = (tmp_path / f.path).read_bytes()
+            assert (body.count(b"\n"), len(body)) == (f.observations, f.bytes)
 
 
 def test_a_bad_snapshot_stops_the_job(spark, make):
