@@ -1,11 +1,15 @@
 """Approximate nearest neighbours by inner product, with cross-polytope hashing.
 
-Vectors are scaled by the longest norm and given one more coordinate that makes them
+Vectors fall into bands by their norms, each from half its longest norm up. Within a
+band they are scaled by the longest norm and given one more coordinate that makes them
 unit vectors, queries are scaled to unit length; the largest inner product then is the
-smallest angle. A fast pseudo-rotation (three rounds of random signs and a Hadamard
+smallest angle. One band for all would not do: beside a much longer vector all others
+nearly coincide with the added axis, in buckets that say nothing about a query. A fast pseudo-rotation (three rounds of random signs and a Hadamard
 transform) is drawn for each table, and a vector's bucket is the signed axis it is
-nearest to. A query probes its ``probes`` nearest signed axes in each table. What it
-meets there is scored in double precision on the original vectors.
+nearest to. A query probes its ``probes`` nearest signed axes in each table of each band.
+Bands of up to ``part`` vectors, such as a few long ones, are not hashed: every query
+meets all of them. What a query meets is scored in double precision on the original
+vectors.
 
 Buckets are split into parts of about ``part`` vectors by a hash of the id, and the
 queries that probe a bucket go to each of its parts, so that a bucket that holds a third
@@ -21,6 +25,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ratelens.session import cut_lineage
 
 AXES = 64
+WHOLE = -1
 
 
 def _hadamard(x: np.ndarray) -> np.ndarray:
@@ -50,26 +55,43 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def _hashed(tables: int, probes: int, longest: float):
-    """(id, v) to (id, v, bucket) rows; probes is 0 for the vectors themselves."""
+def _hashed(tables: int, probes: int, bands: dict[int, tuple[int, float]]):
+    """(id, v, band, length) to (id, v, bucket) rows; probes is 0 for the vectors themselves,
+    otherwise for queries. ``bands``: the number and the longest length (a binary logarithm)
+    of each hashed band; the vectors of all others share the bucket ``WHOLE``."""
 
     def job(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
             x = _matrix(batch.column("v"))
-            if probes:
-                x, more = x / np.linalg.norm(x, axis=1, keepdims=True), np.zeros(len(x))
-            else:
-                x = x / longest
-                more = np.sqrt(np.maximum(0, 1 - (x * x).sum(1)))
-            x = np.concatenate((x, more[:, None]), axis=1).astype(np.float32)
+            x = x / np.abs(x).max(axis=1, keepdims=True)
+            x, more, first = x / np.linalg.norm(x, axis=1, keepdims=True), np.zeros(len(x)), np.zeros((len(x), 1), np.int64)
+            hashed, firsts = np.ones(len(x), bool), [n * tables * 2 * AXES for n, _ in bands.values()]
+            if not probes:
+                own = [bands.get(b, (-1, 0.0)) for b in batch.column("band").to_pylist()]
+                number, longest = (np.array(c) for c in zip(*own, strict=True))
+                hashed, first = number >= 0, (number * tables * 2 * AXES)[:, None]
+                part = np.exp2(np.minimum(0, batch.column("length").to_numpy() - longest))
+                x, more = x * part[:, None], np.sqrt(np.maximum(0, 1 - part * part))
+
+            def found(rows, bucket):
+                rows = pa.array(rows)
+                return pa.RecordBatch.from_arrays([batch.column("id").take(rows), batch.column("v").take(rows), pa.array(bucket, pa.int32())], ["id", "v", "bucket"])
+
+            rows = np.arange(len(x)) if probes else np.flatnonzero(~hashed)
+            yield found(rows, np.full(len(rows), WHOLE))
+            hashed = np.flatnonzero(hashed)
+            if not bands or not len(hashed):
+                continue
+            x = np.concatenate((x, more[:, None]), axis=1).astype(np.float32)[hashed]
             for table in range(tables):
                 y = _axes(x, table)
                 many = min(probes, y.shape[1])
                 near = np.argpartition(-y, many - 1, axis=1)[:, :many] if probes else y.argmax(1)[:, None]
-                rows = np.repeat(np.arange(len(x)), near.shape[1])
-                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(rows)), batch.column("v").take(pa.array(rows)), pa.array((near + table * 2 * AXES).ravel(), pa.int32())], ["id", "v", "bucket"])
+                near = near + table * 2 * AXES
+                for start in firsts if probes else [first[hashed]]:
+                    yield found(np.repeat(hashed, near.shape[1]), (near + start).ravel())
 
     return job
 
@@ -132,17 +154,24 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int
         v = F.transform(F.col(f"`{vector_col}`"), lambda c: c.cast("double"))
         df = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), v.alias("v")).where("id is not null and size(v) > 0")
         df = df.where(F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists("v", lambda c: c != 0))
-        return df.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda t, c: t + c * c))).withColumn("size", F.size("v"))
+        most = F.array_max(F.transform("v", F.abs))  # scaled by it, squares neither overflow nor vanish
+        df = df.withColumn("most", most).withColumn("sum", F.aggregate("v", F.lit(0.0), lambda t, c: t + (c / F.col("most")) * (c / F.col("most"))))
+        return df.select("id", "v", (F.log2("most") + F.log2("sum") / 2).alias("length"), F.size("v").alias("size"))
 
     all_vectors, all_queries = usable(vectors), usable(queries)
-    shape = all_vectors.groupBy("size").agg(F.count("*").alias("n"), F.max("norm").alias("longest")).orderBy(F.desc("n"), F.desc("size")).first()
-    size, longest = (shape["size"], shape["longest"]) if shape else (0, 1.0)
-    all_vectors, all_queries = (d.where(F.col("size") == size).select("id", "v") for d in (all_vectors, all_queries))
+    shape = all_vectors.groupBy("size").agg(F.count("*").alias("n"), F.max("length").alias("longest")).orderBy(F.desc("n"), F.desc("size")).first()
+    size, longest = (shape["size"], shape["longest"]) if shape else (0, 0.0)
+    band = F.floor(longest - F.col("length")).cast("int").alias("band")  # doubles have about 2,100
+    all_vectors, all_queries = (d.where(F.col("size") == size).select("id", "v", band, "length") for d in (all_vectors, all_queries))
+    large = all_vectors.groupBy("band").agg(F.count("*").alias("n"), F.max("length").alias("longest")).where(F.col("n") > part).collect()
+    bands = {r["band"]: (n, r["longest"]) for n, r in enumerate(sorted(large))}
     schema = "id long, v array<double>, bucket int"
-    stored = cut_lineage(all_vectors.mapInArrow(_hashed(tables, 0, longest), schema), "buckets")
-    parts = stored.groupBy("bucket").agg(F.ceil(F.count("*") / part).cast("int").alias("parts"))
-    probing = all_queries.mapInArrow(_hashed(tables, probes, longest), schema)
-    parts = F.broadcast(cut_lineage(parts, "parts"))  # one row for each of the tables' axes
+    stored = cut_lineage(all_vectors.mapInArrow(_hashed(tables, 0, bands), schema), "buckets")
+    # the bucket that every query probes is cut finer: it may be the only one
+    at_most = F.when(F.col("bucket") == WHOLE, max(1, part // 16)).otherwise(part)
+    parts = stored.groupBy("bucket").agg(F.count("*").alias("n")).select("bucket", F.ceil(F.col("n") / at_most).cast("int").alias("parts"))
+    probing = all_queries.mapInArrow(_hashed(tables, probes, bands), schema)
+    parts = F.broadcast(cut_lineage(parts, "parts"))  # one row for each of the bands' and tables' axes
     right = stored.join(parts, "bucket").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts").cast("long"))).drop("parts")
     left = probing.join(parts, "bucket").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1))).drop("parts")
     keys = ("bucket", "part")

@@ -193,6 +193,28 @@ def test_neighbours_recall_and_order(spark):
     assert hit >= 0.9 * 20 * len(got)
 
 
+def recall(found, x, queries, k=20):
+    """The share of the true neighbours by brute force; row numbers are ids."""
+    got = collections.defaultdict(set)
+    for r in found.collect():
+        got[r.query_id].add(r.vec_id)
+    s = x[queries] @ x.T
+    s[np.arange(len(queries)), queries] = -np.inf
+    return np.mean([len(got[q] & set(np.argsort(-row)[:k].tolist())) / k for q, row in zip(queries, s, strict=True)])
+
+
+@pytest.mark.parametrize("times", [5, 100, 1e200])
+def test_recall_beside_a_long_vector(spark, times):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(2000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[77] *= times
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    queries = list(range(0, 2000, 20))
+    found = recall(neighbours(df, df.where("vec_id % 20 = 0"), part=500), x, queries)
+    assert found >= 0.97, found
+
+
 def test_few_neighbours(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0]), (20, [0.5, 0.5])], "vec_id long, embedding array<double>")
     got = neighbours(df, df.where("vec_id = 20"), tables=16, probes=64).collect()
