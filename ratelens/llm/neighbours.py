@@ -13,11 +13,14 @@ vectors.
 
 Buckets are split into parts of about ``part`` vectors by a hash of the id, and the
 queries that probe a bucket go to each of its parts, so that a bucket that holds a third
-of all vectors is many tasks. A part returns each query's best ``k`` only.
+of all vectors is many tasks. A part returns each query's best ``k`` only. Queries that
+met fewer than ``k`` others are scored against the whole table, part by part.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
@@ -142,7 +145,8 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int
     """For each row of ``queries`` the ``k`` rows of ``vectors`` found with the largest
     inner product, but for the row of the same id: (query_id, rank from 1, vec_id, score),
     ties to the smaller vec_id. ``score`` is the product of the original vectors in double
-    precision. More ``tables`` or ``probes`` find more of the true neighbours.
+    precision. More ``tables`` or ``probes`` find more of the true neighbours. A query has
+    fewer rows only where there are fewer candidates, and then has all of them.
 
     Vectors that are null, empty, zero or hold a null or non-finite component take no
     part, nor do rows without an id and vectors whose length is not the most frequent one
@@ -175,7 +179,21 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int
     right = stored.join(parts, "bucket").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts").cast("long"))).drop("parts")
     left = probing.join(parts, "bucket").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1))).drop("parts")
     keys = ("bucket", "part")
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_best(k), "query_id long, vec_id long, score double")
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+
+    def met(left, right):
+        found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_best(k), "query_id long, vec_id long, score double")
+        return found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+
+    found = cut_lineage(met(left, right), "met")
+    total = all_vectors.agg(F.count("*").alias("rows"), F.count_distinct("id").alias("ids")).first()
+    counts = found.groupBy("query_id").agg(F.count("*").alias("met"))
+    short = all_queries.select(F.col("id").alias("query_id")).distinct().join(counts, "query_id", "left")
+    short = cut_lineage(short.where(F.coalesce("met", F.lit(0)) < min(k, total["ids"])).select("query_id"), "short")
+    if total["ids"] and not short.isEmpty():
+        many = math.ceil(total["rows"] / part)
+        again = all_queries.join(short, F.col("id") == F.col("query_id"), "left_semi")
+        left = again.select("id", "v", F.lit(WHOLE).alias("bucket"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(many - 1).cast("long"))).alias("part"))
+        right = all_vectors.select("id", "v", F.lit(WHOLE).alias("bucket"), F.pmod(F.xxhash64("id"), F.lit(many).cast("long")).alias("part"))
+        found = found.join(short, "query_id", "left_anti").unionByName(met(left, right))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -222,6 +222,23 @@ def test_few_neighbours(spark):
     assert neighbours(df.limit(0), df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [15, 21, 6000])
+def test_no_query_comes_back_short(spark, n):
+    """Small tables, and a large one in which all vectors point away from the queries."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(n, 64))
+    if n > 21:
+        x = x * 1e-3 + np.eye(64)[0]
+        x[::1000] = -np.eye(64)[0] + x[::1000] * 1e-3
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    queries = list(range(0, n, 1000 if n > 21 else 1))
+    got = neighbours(df, df.where(F.col("vec_id").isin(queries)))
+    k = min(20, n - 1)
+    assert collections.Counter(r.query_id for r in got.collect()) == dict.fromkeys(queries, k)
+    assert recall(got, x, queries, k) == 1
+
+
 URLS = ["http://www.example.org/es/12?x", "https://EXAMPLE.org/en/1", "http://example.org/en/2#a", "http://org", "org/", "ftp://a.com/fr/x", "x://com/de/", "http://xcom/de/", "http://a.b.example.org/es", None, "", "://", "http://a.com?x=/fr/", "http://ex.org:80/es/", "http://É.org/a\nb"]
 
 
