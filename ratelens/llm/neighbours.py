@@ -108,7 +108,7 @@ def _products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def _best(k: int):
-    """Each query's best k of the vectors in one part of a bucket."""
+    """Each query's best k ids but its own of the distinct (id, v) in one part of a bucket."""
 
     def job(left: pa.Table, right: pa.Table) -> pa.Table:
         out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
@@ -116,20 +116,34 @@ def _best(k: int):
             ids, q_ids = right.column("id").to_numpy(), left.column("id").to_numpy()
             order = np.argsort(ids, kind="stable")
             ids, x, q = ids[order], _matrix(right.column("v"))[order], _matrix(left.column("v"))
+            single, starts = np.unique(ids, return_index=True)
             distinct, of = np.unique(x, axis=0, return_inverse=True)  # equal vectors are scored once
-            by_vector = np.argsort(of.ravel(), kind="stable")
-            bounds = np.searchsorted(of.ravel()[by_vector], np.arange(len(distinct) + 1))
+            of = of.ravel()
+            by_vector = np.argsort(of, kind="stable")
+            bounds = np.searchsorted(of[by_vector], np.arange(len(distinct) + 1))
             for at in range(0, len(q), 256):
                 s = q[at : at + 256] @ distinct.T
-                # one place more, as the query itself may stand among them
-                least = np.partition(s, max(0, s.shape[1] - k - 1), axis=1)[:, max(0, s.shape[1] - k - 1)]
+                if len(starts) == len(ids):
+                    # one place more, as the query itself may stand among them
+                    least = np.partition(s, max(0, s.shape[1] - k - 1), axis=1)[:, max(0, s.shape[1] - k - 1)]
+                else:  # the best k ids, of which each may have many vectors
+                    each = np.maximum.reduceat(s[:, of], starts, axis=1)
+                    own = np.searchsorted(single, q_ids[at : at + 256]).clip(max=len(single) - 1)
+                    held = np.flatnonzero(single[own] == q_ids[at : at + 256])
+                    each[held, own[held]] = -np.inf
+                    least = np.partition(each, max(0, each.shape[1] - k), axis=1)[:, max(0, each.shape[1] - k)]
                 row, col = np.nonzero(s >= (least - 1e-9 * (1 + np.abs(least)))[:, None])
                 score = _products(q[at + row], distinct[col])
-                many = np.minimum(bounds[col + 1] - bounds[col], k + 1)
+                many = np.minimum(bounds[col + 1] - bounds[col], k + 1)  # an id stands once among equal vectors
                 member = by_vector[np.repeat(bounds[col] - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum())]
                 row, score, found = np.repeat(row, many), np.repeat(score, many), ids[member]
                 own = found != q_ids[at + row]
                 row, score, found = row[own], score[own], found[own]
+                order = np.lexsort((-score, found, row))
+                row, score, found = row[order], score[order], found[order]
+                best = np.ones(len(row), bool)
+                best[1:] = (row[1:] != row[:-1]) | (found[1:] != found[:-1])
+                row, score, found = row[best], score[best], found[best]
                 order = np.lexsort((found, -score, row))
                 row, score, found = row[order], score[order], found[order]
                 first = np.searchsorted(row, row)
@@ -166,7 +180,7 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int
     shape = all_vectors.groupBy("size").agg(F.count("*").alias("n"), F.max("length").alias("longest")).orderBy(F.desc("n"), F.desc("size")).first()
     size, longest = (shape["size"], shape["longest"]) if shape else (0, 0.0)
     band = F.floor(longest - F.col("length")).cast("int").alias("band")  # doubles have about 2,100
-    all_vectors, all_queries = (d.where(F.col("size") == size).select("id", "v", band, "length") for d in (all_vectors, all_queries))
+    all_vectors, all_queries = (d.where(F.col("size") == size).select("id", "v", band, "length").dropDuplicates(["id", "v"]) for d in (all_vectors, all_queries))
     large = all_vectors.groupBy("band").agg(F.count("*").alias("n"), F.max("length").alias("longest")).where(F.col("n") > part).collect()
     bands = {r["band"]: (n, r["longest"]) for n, r in enumerate(sorted(large))}
     schema = "id long, v array<double>, bucket int"

@@ -239,6 +239,24 @@ def test_no_query_comes_back_short(spark, n):
     assert recall(got, x, queries, k) == 1
 
 
+def test_neighbours_of_repeated_ids(spark):
+    """Ids on twenty rows, with near and with equal vectors; one on many equal rows."""
+    rng = np.random.default_rng(13)
+    centre = rng.normal(size=(60, 24))
+    rows = [(i, (centre[i] + 1e-3 * rng.normal(size=24)).tolist()) for i in range(60) for _ in range(20)]
+    rows += [(0, rows[0][1])] * 30 + [(100, rows[0][1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    got = collections.defaultdict(list)
+    for r in sorted(neighbours(df, df.where("vec_id % 7 = 0")).collect(), key=lambda r: r["rank"]):
+        got[r.query_id].append(r.vec_id)
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
+    for q in range(0, 60, 7):
+        s = (x[ids == q] @ x.T).max(0)
+        best = {int(i): s[ids == i].max() for i in set(ids) - {q}}
+        assert got[q] == sorted(best, key=lambda i: (-best[i], i))[:20], q
+    assert 100 in got[0]
+
+
 URLS = ["http://www.example.org/es/12?x", "https://EXAMPLE.org/en/1", "http://example.org/en/2#a", "http://org", "org/", "ftp://a.com/fr/x", "x://com/de/", "http://xcom/de/", "http://a.b.example.org/es", None, "", "://", "http://a.com?x=/fr/", "http://ex.org:80/es/", "http://É.org/a\nb"]
 
 
