@@ -100,12 +100,14 @@ def _learn(table: pa.Table) -> pa.Table:
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 16384, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> np.ndarray:
     """The model: ``SIZE`` weights. Labels are rows (id, 1 for good or 0), of which those
-    without an id or a label teach nothing; neither do labels without a document. The
+    without an id or a label teach nothing and use up none of ``max_rows``; neither do labels
+    without a document. The
     bound ``max_rows`` on the labelled rows that are used also bounds what is broadcast:
     ids of these rows and, for scoring, the weights. Without labels all weights are 0."""
     known = labels.select(F.col(f"`{id_col}`").cast("long").alias("doc"), (F.col(f"`{label_col}`") == 1).cast("double").alias("good")).dropna()
-    known = known.orderBy(F.xxhash64("doc"), "doc", "good").limit(max_rows)
-    rows = keyed(docs, id_col, text_col).select("doc", "text").join(F.broadcast(known), "doc")
+    rows = keyed(docs, id_col, text_col).select("doc", "text")
+    known = known.join(rows.select("doc"), "doc", "left_semi").orderBy(F.xxhash64("doc"), "doc", "good").limit(max_rows)
+    rows = rows.join(F.broadcast(known), "doc")
     turn = F.xxhash64("doc")
     rows = rows.select("text", "good", turn.alias("turn"), F.pmod(turn, F.lit(SHARDS)).cast("int").alias("shard"))
     features = rows.mapInArrow(_features, "shard int, turn long, good double, numbers array<int>, values array<float>")

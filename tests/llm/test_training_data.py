@@ -292,6 +292,13 @@ def test_quality_is_learnt(spark):
     assert np.count_nonzero(quality.fit(docs, labels.limit(0))) == 0
 
 
+def test_labels_without_a_document_take_no_place(spark):
+    docs = spark.createDataFrame([(i, "good words" if i % 2 else "&&& bad &&&") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1000)], "doc_id long, quality int")
+    model = quality.fit(docs, labels, max_rows=40)
+    assert np.array_equal(model, quality.fit(docs, labels.where("doc_id < 40"), max_rows=40)) and np.count_nonzero(model)
+
+
 def test_tokens_add_up(docs, corpus):
     tokens = token_counts.encoder(token_counts.RANKS, token_counts.PATTERN)
     got = collections.defaultdict(list)
