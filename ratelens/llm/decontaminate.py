@@ -7,7 +7,8 @@ partition an item is indexed by its MinHash sketch, the smallest hashes of its s
 as many as an item of the partition's largest size may miss at the threshold, and one
 more. A document that contains enough of an item therefore meets its sketch for certain,
 and candidates are found by one equality join on single hashes. Each candidate is then
-verified on the shingles themselves.
+verified on the shingles themselves. Items too short for a shingle are looked up whole,
+among the documents' runs of as many words; where there are none, no run is made.
 
 Everything is column expressions. The sketches are joined by Catalyst's own choice: a
 benchmark below the broadcast limit is never shuffled against, a larger one is a shuffle
@@ -54,8 +55,8 @@ def contained(docs: DataFrame, items: DataFrame, k: int = 5, percent: int = 80,
     n_found, containment). Words are runs of letters and digits in lower case, so case,
     punctuation and spacing make no difference.
 
-    Items of fewer than k words have no shingles and match nothing, nor do null or empty
-    texts. Rows without an id, on either side, take no part. Rows that repeat an id
+    An item of fewer than k words is one shingle, of all its words. Items without words
+    match nothing, nor do null or empty texts. Rows without an id, on either side, take no part. Rows that repeat an id
     count once; where their texts differ, the best of them counts.
     """
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), words(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("w")).where("doc_id is not null")
@@ -65,6 +66,12 @@ def contained(docs: DataFrame, items: DataFrame, k: int = 5, percent: int = 80,
     shingles = items.select("item_id", F.array_distinct(shingle_texts(F.col("w"), k)).alias("item_shingles"))
     pairs = docs.join(candidates, "doc_id").join(shingles, "item_id")
     pairs = pairs.select("doc_id", "item_id", F.size("item_shingles").alias("n_shingles"), F.size(F.array_intersect("item_shingles", shingle_texts(F.col("w"), k))).alias("n_found"))
+    few = items.where(F.size("w").between(1, k - 1)).select("item_id", F.size("w").alias("n"), F.concat_ws(" ", "w").alias("phrase"))
+    lengths = sorted(r["n"] for r in few.select("n").distinct().collect())
+    if lengths:
+        held = F.concat(*(F.array_distinct(shingle_texts(F.col("w"), n)) for n in lengths))
+        whole = docs.select("doc_id", F.explode(held).alias("phrase")).join(few, "phrase")
+        pairs = pairs.unionByName(whole.select("doc_id", "item_id", F.lit(1).alias("n_shingles"), F.lit(1).alias("n_found")))
     best = pairs.where(F.col("n_found") * 100 >= F.col("n_shingles") * percent).groupBy("doc_id", "item_id")
     best = best.agg(F.max_by("n_shingles", F.col("n_found") / F.col("n_shingles")).alias("n_shingles"), F.max_by("n_found", F.col("n_found") / F.col("n_shingles")).alias("n_found"))
     return best.withColumn("containment", F.col("n_found") / F.col("n_shingles"))

@@ -150,6 +150,16 @@ def test_contained_items(spark, corpus):
     assert collections.Counter(r.doc_id for r in kept.collect()) == collections.Counter(d for d, _ in [*corpus, *held] if d not in {x for x, _ in want})
 
 
+def test_items_of_a_few_words(spark):
+    docs = [(1, "It says: Blue, whale. End"), (2, "bluewhale blue"), (3, "a whale blue"), (4, "blue"), (5, None), (None, "blue whale"), (6, "one two three four five"), (6, "blue whale")]
+    items = [(1, "blue whale!"), (2, "BLUE"), (3, "one two three four"), (4, "two four"), (5, ""), (6, None), (None, "blue"), (7, "one two three four five")]
+    docs, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = sorted(tuple(r) for r in decontaminate.contained(docs, items).collect())
+    want = [(1, 1), (1, 2), (2, 2), (3, 2), (4, 2), (6, 1), (6, 2), (6, 3), (6, 7)]
+    assert got == [(d, i, 1, 1, 1.0) for d, i in want]
+    assert [r.doc_id for r in decontaminate.decontaminated(docs, items).collect() if r.doc_id] == [5]
+
+
 def test_mix_keeps_to_the_weights(spark):
     shares = {"a": 5, "b": 3, "c": 1, "": 2}
     rows = [(i, "x" * (40 + i % 30), s or None) for i, s in enumerate(s for s in shares for _ in range(600))]
