@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ratelens.llm import decontaminate, line_dedup, minhash_dedup, mixing, neighbours, quality, substring_dedup, suffix_dedup, token_counts, url_filter
+from ratelens.llm import decontaminate, exact_dedup, lexical_search, line_dedup, minhash_dedup, mixing, neighbours, quality, spelling, substring_dedup, suffix_dedup, token_counts, url_filter
 from ratelens.llm.tables import table
 
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -61,10 +61,28 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), "component_id", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_mixing, op3_neighbours, op4_suffix_dedup, op5_url_filter, op6_quality, op7_substring_dedup, op8_line_dedup, op9_token_counts, op10_minhash_dedup)}
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exact_dedup.exact_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("row.doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(spelling.vocabulary(table(spark, sf_dir, "documents")))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_ALL = (
+    op1_decontamination, op2_mixing, op3_neighbours, op4_suffix_dedup, op5_url_filter, op6_quality, op7_substring_dedup,
+    op8_line_dedup, op9_token_counts, op10_minhash_dedup, op11_exact_dedup, op12_spelling_variants, op13_lexical_search,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 _ABC = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_TERMS = rf"regexp_extract_all(translate(coalesce(text, ''), {_ABC}), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
 
 # What the three deduplications share: symbols (doc_id, j, s) and windows (doc_id, j, h).
 _COVER = """
@@ -148,4 +166,43 @@ links AS (SELECT a, b FROM pairs JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id =
 reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
 m AS (SELECT a, min(b) AS component_id FROM reach GROUP BY 1)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, component_id = d.doc_id AS kept FROM d LEFT JOIN n USING (doc_id) JOIN m ON m.a = d.doc_id""",
+    "op11_exact_dedup": f"""
+WITH d AS (SELECT doc_id, translate(coalesce(text, ''), {_ABC}) AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256 FROM d WINDOW w AS (PARTITION BY t)""",
+    "op12_spelling_variants": f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_ABC}), '[a-zÀ-ÿ]+') AS w FROM documents),
+runs AS (SELECT concat(doc_id, ':', run) AS s, run, n FROM (SELECT doc_id, run, count(*) AS n FROM (SELECT doc_id, unnest(w) AS run FROM d) GROUP BY 1, 2)),
+bits AS (
+  SELECT CAST(range AS BIGINT) AS i, CAST(range AS BIGINT) AS c, 0 AS k FROM range(256)
+  UNION ALL SELECT i, xor(c >> 1, CASE WHEN c % 2 = 1 THEN 3988292384 ELSE 0 END), k + 1 FROM bits WHERE k < 8),
+steps AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
+bytes AS (
+  SELECT run, n, [CAST(4294967295 AS BIGINT)] || list_transform(range(1, length(x), 2), lambda p: CAST(16 * (strpos('0123456789ABCDEF', substring(x, p, 1)) - 1) + strpos('0123456789ABCDEF', substring(x, p + 1, 1)) - 1 AS BIGINT)) AS b
+  FROM (SELECT run, n, hex(encode(s)) AS x FROM runs)),
+h AS (SELECT run, n, xor(list_reduce(b, lambda c, y: xor(c >> 8, t[(xor(c, y) & 255) + 1])), 4294967295) AS h FROM bytes, steps),
+edited AS (SELECT CASE WHEN h % 97 = 0 THEN concat(substring(run, 1, CAST(h % length(run) AS BIGINT)), substring(run, CAST(h % length(run) AS BIGINT) + 2)) ELSE run END AS word, n FROM h),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM edited WHERE length(word) >= 5 GROUP BY 1 HAVING sum(n) >= 3),
+cut AS (SELECT word, substring(word, 1, i - 1) AS a, substring(word, i + 1) AS b FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM v)),
+gone AS (SELECT DISTINCT cut.word AS x, v.word AS y FROM cut JOIN v ON v.word = concat(a, b)),
+near AS (
+  SELECT p.word AS x, q.word AS y FROM cut p JOIN cut q ON p.a = q.a AND p.b = q.b AND p.word <> q.word
+  UNION SELECT x, y FROM gone UNION SELECT y, x FROM gone),
+best AS (
+  SELECT x, y, v.n AS y_n, count(*) OVER (PARTITION BY x) AS n_near, row_number() OVER (PARTITION BY x ORDER BY v.n DESC, y) AS r FROM near JOIN v ON v.word = y),
+forms AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN y_n >= 2 * v.n THEN y END AS form, CASE WHEN y_n >= 2 * v.n THEN y_n END AS form_n FROM v LEFT JOIN best ON x = v.word AND r = 1),
+chain AS (SELECT word, word AS root, 0 AS k FROM forms UNION ALL SELECT chain.word, form, k + 1 FROM chain JOIN forms ON forms.word = chain.root WHERE form IS NOT NULL),
+ends AS (SELECT word, arg_max(root, k) AS root FROM chain GROUP BY 1)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN ends USING (word)""",
+    "op13_lexical_search": f"""
+WITH d AS (SELECT doc_id, {_TERMS} AS w FROM documents WHERE doc_id IS NOT NULL),
+n AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n FROM d WHERE len(w) > 0),
+c AS (SELECT CAST(count(*) AS BIGINT) AS big_n, CAST(sum(n) AS BIGINT) AS big_l FROM n),
+p AS (SELECT doc_id, t, CAST(count(*) AS BIGINT) AS tf FROM (SELECT doc_id, unnest(w) AS t FROM d) GROUP BY 1, 2),
+f AS (SELECT t, CAST(count(*) AS BIGINT) AS df FROM p GROUP BY 1),
+q AS (SELECT item_id, t, CAST(count(*) AS BIGINT) AS times FROM (SELECT item_id, unnest({_TERMS}) AS t FROM benchmark WHERE item_id IS NOT NULL) GROUP BY 1, 2),
+v AS (SELECT t, df, CAST(floor(1000 * ln((2 * big_n + 2) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS weight FROM f, c),
+i AS (SELECT p.doc_id, p.t, weight * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * big_n) // big_l))) AS score FROM p JOIN n USING (doc_id) JOIN v USING (t), c),
+s AS (SELECT item_id, doc_id, CAST(sum(score * times) AS BIGINT) AS score FROM q JOIN i USING (t) GROUP BY 1, 2),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10""",
 }
