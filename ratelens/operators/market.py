@@ -9,10 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ratelens.functions.distinct import null_safe
 from ratelens.functions.pricing import core_room, positive, source_of, verified_market
 from ratelens.operators.parity import rate_parity
-from ratelens.operators.stats import beside, grouped_stats
+from ratelens.operators.stats import beside, by_grains, count_cube, cube_stats, grouped_stats
 
 IDENTITY = ["hotel_id", "hotel_name", "city", "district"]
 
@@ -241,46 +240,59 @@ def daily_digest(priced: DataFrame, keyed: DataFrame, normal_gap: float = 0.05)
 
 
 GRAINS = {"daily": ["day"], "hotel": [], "lead": ["lead_days"]}
+MEASURES = ["adr", "core", "unit", "days"]
 
 
-def history_rollup(priced: DataFrame, grain: str) -> DataFrame:
-    """Count, mean, median, core median and unit median at one of three grains:
-    day x hotel, hotel (with the number of days), hotel x lead time."""
+def history_cube(priced: DataFrame, keys: list[str]) -> DataFrame:
+    """The count cube of the official, priced history by hotel and ``keys`` (of day and
+    lead time): nightly prices, those of core rooms, prices per square metre, and the
+    day as a number. It can be written and kept; cubes of later days add up with it."""
     rows = observed_day(priced.where(verified_market())).where(
         F.col("queried_at").isNotNull() & (F.col("nightly_adr_twd") > 0)
     )
-    if grain == "lead":
-        rows = rows.where("lead_days is not null")
-    keys = [*GRAINS[grain], *IDENTITY]
-    stats = grouped_stats(
-        rows,
-        keys,
-        {
-            "adr": "nightly_adr_twd",
-            "core": F.when(core_room(), F.col("nightly_adr_twd")),
-            "unit": positive("price_per_sqm"),
-        },
-    ).select(
+    measures = {
+        "adr": "nightly_adr_twd",
+        "core": F.when(core_room(), F.col("nightly_adr_twd")),
+        "unit": positive("price_per_sqm"),
+        "days": F.datediff("day", F.lit("1970-01-01").cast("date")),
+    }
+    return count_cube(rows, [*keys, *IDENTITY], measures)
+
+
+def _rollup(cube: DataFrame, keys: list[str]) -> DataFrame:
+    return cube_stats(cube, keys, MEASURES).select(
         *keys,
         F.col("adr_n").alias("observations"),
         F.col("adr_mean").alias("average_twd"),
         F.col("adr_median").alias("median_twd"),
         F.col("core_median").alias("core_median_twd"),
         F.col("unit_median").alias("median_per_sqm_twd"),
+        F.col("days_distinct").alias("days"),
     )
-    if grain != "hotel":
-        return stats
-    days = rows.groupBy(*IDENTITY).agg(F.countDistinct("day").alias("days"))
-    return null_safe(stats, days, IDENTITY)
+
+
+def history_rollup(priced: DataFrame, grain: str) -> DataFrame:
+    """Count, mean, median, core median and unit median at one of three grains:
+    day x hotel, hotel (with the number of days), hotel x lead time."""
+    keys = GRAINS[grain]
+    cube = history_cube(priced, keys)
+    if grain == "lead":
+        cube = cube.where("lead_days is not null")
+    out = _rollup(cube, [*keys, *IDENTITY])
+    return out if grain == "hotel" else out.drop("days")
+
+
+def rollups_of_cube(cube: DataFrame) -> DataFrame:
+    """All three grains from a cube by day and lead time, as one table marked by
+    ``grain``: keys that a grain lacks are null, and ``days`` is that of ``hotel``."""
+    grained = by_grains(cube, GRAINS, ["day", "lead_days"]).where("grain <> 'lead' or lead_days is not null")
+    out = _rollup(grained, ["grain", "day", "lead_days", *IDENTITY])
+    return out.withColumn("days", F.when(F.col("grain") == "hotel", F.col("days")))
 
 
 def history_rollups(priced: DataFrame) -> DataFrame:
-    """All three grains as one table, marked by ``grain``."""
-    out = None
-    for grain in GRAINS:
-        part = history_rollup(priced, grain).withColumn("grain", F.lit(grain))
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    return out
+    """All three grains in one pass over the rows."""
+    return rollups_of_cube(history_cube(priced, ["day", "lead_days"]))
 
 
 def latest_rows_of_history(history: DataFrame, latest: DataFrame, keyed: bool = False) -> DataFrame:

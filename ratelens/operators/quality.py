@@ -211,6 +211,24 @@ def assert_manifest_rows(df: DataFrame, manifest_rows: int) -> int:
     return n
 
 
+def manifest_gate(df: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Per month of the mirror or of its manifest: rows stated, rows found, and whether
+    they agree. Both have a column ``month``; the manifest also ``rows``."""
+    found = df.groupBy("month").agg(F.count("*").alias("found_rows"))
+    both = manifest.select("month", F.col("rows").alias("stated_rows")).join(found, "month", "full")
+    stated, here = F.coalesce("stated_rows", F.lit(0)), F.coalesce("found_rows", F.lit(0))
+    return both.select("month", stated.alias("stated_rows"), here.alias("found_rows"), (stated == here).alias("agrees"))
+
+
+def assert_manifest(df: DataFrame, manifest: DataFrame) -> int:
+    """Gate: every month of the mirror must hold exactly what its manifest says."""
+    months = manifest_gate(df, manifest).orderBy("month").collect()  # one row a month
+    bad = [f"{r.month}: manifest={r.stated_rows}, parquet={r.found_rows}" for r in months if not r.agrees]
+    if bad:
+        raise ValueError(f"Warehouse analysis row mismatch: {'; '.join(bad)}")
+    return sum(r.found_rows for r in months)
+
+
 def daily_volume(priced: DataFrame) -> DataFrame:
     """Per (hotel, day): priced official rows and their median, with yesterday's
     median and the mean count over those of the prior seven days that have rows.

@@ -8,6 +8,7 @@ from ratelens.functions.labels import (
     area_spec, bed_type, cjk_count, room_class, stable_room_id, with_normalized_label,
 )
 from ratelens.functions.pricing import positive
+from ratelens.operators.containment import contained_labels
 from ratelens.session import cut_lineage
 
 ALIAS = (
@@ -128,29 +129,11 @@ SUBJECT = ["hotel_id", "source_platform", "room_type_code", "room_type_name", "r
 
 def _contained_labels(subjects: DataFrame, labels: DataFrame) -> DataFrame:
     """Rooms whose label is literally contained in the observed one, longest label
-    first, ties kept.
-
-    Every fragment of an observed label that has the length of some label of the
-    same hotel is looked up by equality, so the work is an equi-join on
-    (hotel, fragment): labels of a hotel are never paired with all its rooms."""
-    lengths = labels.groupBy("hotel_id").agg(F.collect_set(F.length("norm")).alias("lengths"))
-    fragments = (
-        subjects.join(lengths, "hotel_id")
-        .withColumn("len", F.explode(F.filter("lengths", lambda n: n <= F.length("norm_label"))))
-        .withColumn(
-            "fragment",
-            F.explode(
-                F.array_distinct(
-                    F.transform(
-                        F.sequence(F.lit(1), F.length("norm_label") - F.col("len") + 1),
-                        lambda i: F.substring(F.col("norm_label"), i, F.col("len")),
-                    )
-                )
-            ),
-        )
-    )
+    first, ties kept. Labels and observed ones meet over a q-gram index: labels of a
+    hotel are never paired with all its rooms, and the work follows their lengths."""
     specific = (F.length("norm") >= 5) | (F.col("area").isNotNull() & (cjk_count("norm") >= 4))
-    hits = fragments.join(labels.withColumnRenamed("norm", "fragment"), ["hotel_id", "fragment"]).withColumnRenamed("fragment", "norm").where(specific)
+    held = contained_labels(subjects, labels, ["hotel_id"], "norm_label", "norm")
+    hits = subjects.select("subject", "hotel_id", "norm_label", "area").join(held, ["hotel_id", "norm_label"]).where(specific).join(labels, ["hotel_id", "norm"])
     w = Window.partitionBy("subject").orderBy(F.length("norm").desc())
     return hits.withColumn("_rk", F.rank().over(w)).where("_rk = 1").select("subject", *_ROOM_COLUMNS)
 

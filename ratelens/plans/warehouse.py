@@ -7,18 +7,23 @@ from pyspark.sql import DataFrame, SparkSession
 from ratelens.operators import quality
 from ratelens.operators.parity import with_comparison, with_terms
 from ratelens.session import cut_lineage
-from ratelens.sinks.mirror import build_mirror, current_version, read_mirror
+from ratelens.sinks.mirror import build_mirror, current_manifest, read_mirror, update_mirror
 
 
 def build(source: DataFrame, root: str) -> str:
     return build_mirror(source, root)
 
 
+def update(spark: SparkSession, history: str, root: str) -> dict[str, str]:
+    """Bring the mirror of a JSON history up to date; only changed months are read."""
+    return update_mirror(spark, history, root)
+
+
 def profile(spark: SparkSession, root: str, reviews: DataFrame | None = None) -> dict[str, DataFrame]:
     """Quality tables of the published mirror. Fails when the mirror does not hold
     the rows that its manifest states."""
     rows = read_mirror(spark, root)
-    quality.assert_manifest_rows(rows, current_version(spark, root).rows)
+    quality.assert_manifest(rows, current_manifest(spark, root))
     keyed = with_comparison(cut_lineage(with_terms(rows), "profile-terms"))
     per_grain = quality.completeness(keyed)
     gaps, latest = quality.metadata_gaps(keyed), quality.latest_metadata_gaps(keyed)

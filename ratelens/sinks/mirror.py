@@ -1,21 +1,27 @@
 """The columnar mirror: versioned write, verification, manifest, publication.
 
-A version is written once and verified where it lies; publishing only moves the
-manifest to it. Nothing is copied, readers never see half a version, and months that
-the source no longer has are simply absent from the new version.
+A version is written once and verified where it lies. The rows are fingerprinted on their
+way into the writer, so the source is read once; the fingerprint of what was written comes
+from the scan that counts its keys. Only if the two differ are keys compared one by one.
+Publishing adds a manifest, which counts from the moment its ``_SUCCESS`` is there.
+Nothing is copied and readers never see half a version.
+
+A manifest names for each month the version that holds it, and the digest of the source
+files that it was made from. ``update_mirror`` reads only the months whose digest changed.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, Row, SparkSession, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession, functions as F
 
 from ratelens.functions.meals import with_breakfast
 from ratelens.functions.pricing import mirror_nightly_adr_twd, stay_nights
 from ratelens.functions.tax import mirror_tax_inclusion
 from ratelens.operators.dedup import KEY_COLUMNS, with_natural_key
-from ratelens.sources.observations import month_of
+from ratelens.sources.observations import SHARD_PATH, month_of, read_months
 
 
 def mirror_columns(df: DataFrame) -> DataFrame:
@@ -29,33 +35,58 @@ def mirror_columns(df: DataFrame) -> DataFrame:
 
 
 def with_month(df: DataFrame) -> DataFrame:
-    return df.withColumn("month", month_of())
+    """Rows without a time are a month of their own, so that none is lost."""
+    return df.withColumn("month", F.coalesce(month_of(), F.lit("undated")))
+
+
+# Fixed value: rows in a row group.
+ROW_GROUP = 10_000
+#: Rows in a file, so that the digest of a file never needs more than some hundred MB.
+FILE_ROWS = 2_000_000
 
 
-def write_version(df: DataFrame, root: str, version: str | None = None, block_bytes: int | None = None) -> str:
+def write_version(df: DataFrame, root: str, version: str | None = None, row_group: int = ROW_GROUP, file_rows: int = FILE_ROWS) -> str:
     """Write one ZSTD Parquet version partitioned by month, every file ordered by
     ``queried_at, observation_id``. Rebalancing groups by day without a sampling pass
     over the source, splits a large day over tasks and merges small ones."""
-    version = version or uuid.uuid4().hex
-    path = f"{root}/versions/{version}"
+    path = f"{root}/versions/version={version or uuid.uuid4().hex}"
     order = ["month", "queried_at", "observation_id"]
     d = with_month(df).withColumn("_day", F.to_date("queried_at")).hint("rebalance", "month", "_day").drop("_day")
-    w = d.sortWithinPartitions(*order).write.mode("errorifexists")
-    w = w.option("compression", "zstd")
-    if block_bytes:
-        w = w.option("parquet.block.size", block_bytes)
+    w = d.sortWithinPartitions(*order).write.mode("errorifexists").option("compression", "zstd")
+    w = w.option("parquet.block.row.count.limit", row_group).option("maxRecordsPerFile", file_rows)
     w.partitionBy("month").parquet(path)
     return path
 
 
-def compare(source: DataFrame, target: DataFrame) -> DataFrame:
-    """Per month: rows on both sides and natural keys that only one side has. One
-    shuffle on the key; copies of a key are counted before it."""
-    both = (
-        with_month(with_natural_key(source)).select("month", *KEY_COLUMNS, F.lit(1).alias("s"), F.lit(0).alias("t"))
-        .unionByName(with_month(with_natural_key(target)).select("month", *KEY_COLUMNS, F.lit(0).alias("s"), F.lit(1).alias("t")))
-    )
-    per_key = both.groupBy("month", *KEY_COLUMNS).agg(F.sum("s").alias("s"), F.sum("t").alias("t"))
+def key_digest(df: DataFrame) -> DataFrame:
+    """``df`` with the natural key as 128 bits, in two longs."""
+    return with_natural_key(df).withColumns({"key_hi": F.xxhash64(*KEY_COLUMNS), "key_lo": F.xxhash64(F.lit("low"), *KEY_COLUMNS)}).drop(*KEY_COLUMNS)
+
+
+def _total(c: str) -> Column:
+    return F.sum(F.col(c).cast("decimal(20,0)")).cast("decimal(38,0)").cast("string")
+
+
+def _print() -> list[Column]:
+    """Rows and the sums of both halves of their key digests: equal for the same rows in
+    any order, and additive."""
+    return [F.count("*").alias("rows"), F.coalesce(_total("key_hi"), F.lit("0")).alias("key_hi"), F.coalesce(_total("key_lo"), F.lit("0")).alias("key_lo")]
+
+
+def fingerprints(df: DataFrame) -> DataFrame:
+    """Per month: rows and the fingerprint of their natural keys."""
+    return with_month(key_digest(df)).groupBy("month").agg(*_print())
+
+
+def compare(source: DataFrame, target: DataFrame, months: list[str] | None = None) -> DataFrame:
+    """Per month: rows on both sides and natural keys that only one side has, keys being
+    compared by 128 bits. One shuffle; copies of a key are counted before it."""
+
+    def side(df: DataFrame, s: int, t: int) -> DataFrame:
+        d = with_month(key_digest(df)).select("month", "key_hi", "key_lo", F.lit(s).alias("s"), F.lit(t).alias("t"))
+        return d if months is None else d.where(F.col("month").isin(months))
+
+    per_key = side(source, 1, 0).unionByName(side(target, 0, 1)).groupBy("month", "key_hi", "key_lo").agg(F.sum("s").alias("s"), F.sum("t").alias("t"))
     return per_key.groupBy("month").agg(
         F.sum("s").alias("source_rows"),
         F.sum("t").alias("target_rows"),
@@ -64,35 +95,94 @@ def compare(source: DataFrame, target: DataFrame) -> DataFrame:
     )
 
 
+def differing_months(source: DataFrame, target: DataFrame) -> DataFrame:
+    """Months (month) whose rows or natural keys differ, by their fingerprints."""
+    names = ["rows", "key_hi", "key_lo"]
+    both = fingerprints(source).join(fingerprints(target).toDF("month", *[f"t_{c}" for c in names]), "month", "full")
+    same = F.lit(True)
+    for c in names:
+        same = same & F.col(c).eqNullSafe(F.col(f"t_{c}"))
+    return both.where(~same).select("month")
+
+
+def comparison(source: DataFrame, target: DataFrame) -> DataFrame:
+    """``compare`` for the months whose fingerprints differ; no rows if none does."""
+    months = [r.month for r in differing_months(source, target).collect()]  # one value a month
+    return compare(source, target, months)
+
+
 def verify(source: DataFrame, target: DataFrame) -> None:
     """Abort unless every month has the same row count and the same key set."""
-    bad = compare(source, target).where(
-        "source_rows <> target_rows or missing_keys > 0 or extra_keys > 0"
-    ).orderBy("month").take(5)
+    bad = comparison(source, target).orderBy("month").take(5)
     if bad:
         raise ValueError(f"Mirror verification failed: {bad}")
 
 
-def manifest(spark: SparkSession, version_path: str, source_shards: DataFrame | None = None) -> DataFrame:
-    """Per month: rows, natural keys, bytes and a digest. A month may have many
-    files, so its digest is that of the sorted list of file digests."""
-    rows = with_natural_key(spark.read.parquet(version_path))
-    counts = rows.groupBy("month", *KEY_COLUMNS).agg(F.count("*").alias("n")).groupBy("month").agg(
-        F.sum("n").alias("rows"), F.count("*").alias("natural_keys")
-    )
+def merkle(leaves: DataFrame, by: list[str], leaf: str, levels: tuple[int, ...] = (4, 2, 0)) -> DataFrame:
+    """(by, digest): one digest over the hexadecimal ``leaf`` digests of a group, in any
+    order. Leaves with the same first digits are one node, whose digest is that of its
+    sorted leaves; nodes are joined in the same way by fewer digits, the root by none. So
+    a node holds a small share of a large group."""
+    d = leaves.select(*by, F.col(leaf).alias("node"), F.col(leaf).alias("digest"))
+    for n in levels:
+        joined = F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat("node", F.lit(":"), "digest"))), "\n"), 256)
+        d = d.groupBy(*by, F.substring("node", 1, n).alias("_up")).agg(joined.alias("digest")).withColumnRenamed("_up", "node")
+    return d.select(*by, "digest")
+
+
+def layout(spark: SparkSession, path: str) -> DataFrame:
+    """Per file of a version (month, codec, rows, row groups, largest group, rows that
+    aren't before their predecessor), read from the file itself in the tasks."""
+
+    def job(batches):
+        import io
+
+        import pyarrow.compute as pc
+        import pyarrow.parquet as pq
+
+        for batch in batches:
+            out = []
+            for month, content in zip(batch.column("month").to_pylist(), batch.column("content"), strict=True):
+                f = pq.ParquetFile(io.BytesIO(content.as_buffer()))
+                groups = [f.metadata.row_group(i) for i in range(f.num_row_groups)]
+                codecs = {g.column(c).compression for g in groups for c in range(g.num_columns)}
+                at, name = (f.read([c]).column(0).combine_chunks() for c in ("queried_at", "observation_id"))
+                n = len(at)
+                a, b = at.slice(0, max(0, n - 1)), at.slice(min(1, n))
+                later = pc.or_(pc.less(a, b), pc.and_(pc.equal(a, b), pc.less_equal(name.slice(0, max(0, n - 1)), name.slice(min(1, n)))))
+                out.append((month, ",".join(sorted(codecs)), n, len(groups), max((g.num_rows for g in groups), default=0), (pc.sum(later).as_py() or 0) + min(1, n)))
+            columns = zip(*out, strict=True) if out else [[]] * 6
+            kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["month", "codec", "rows", "groups", "largest_group", "in_order"])
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
+    files = files.select(F.regexp_extract("path", r"month=([^/]+)/", 1).alias("month"), "content")
+    return files.mapInArrow(job, "month string, codec string, rows long, groups long, largest_group long, in_order long")
+
+
+def content_digest(df: DataFrame) -> DataFrame:
+    """(month, digest) of the distinct natural keys: the same for the same keys, however
+    they are written, ordered or repeated."""
+    key = F.concat_ws("|", *KEY_COLUMNS)
+    keys = with_month(with_natural_key(df)).select("month", F.sha2(key, 256).alias("leaf")).distinct()
+    return merkle(keys, ["month"], "leaf")
+
+
+def manifest(spark: SparkSession, version_path: str, source_digests: DataFrame | None = None) -> DataFrame:
+    """Per month of a version: rows, natural keys, their fingerprint, files, bytes and
+    the digest over the digests of its files."""
+    rows = spark.read.parquet(version_path)
+    per_key = key_digest(rows.withColumn("month", F.col("month").cast("string"))).groupBy("month", "key_hi", "key_lo").agg(F.count("*").alias("n"))
+    whole = [F.sum(F.col(c).cast("decimal(20,0)") * F.col("n")).cast("decimal(38,0)").cast("string").alias(c) for c in ("key_hi", "key_lo")]
+    counts = per_key.groupBy("month").agg(F.sum("n").alias("rows"), F.count("*").alias("natural_keys"), *whole)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(version_path)
-    digests = files.select(
-        F.regexp_extract("path", r"month=([^/]+)/", 1).alias("month"), "length", F.sha2("content", 256).alias("sha")
-    ).groupBy("month").agg(
-        F.sum("length").alias("bytes"),
-        F.count("*").alias("files"),
-        # One short digest per file of a month.
-        F.sha2(F.array_join(F.array_sort(F.collect_list("sha")), "\n"), 256).alias("sha256"),
-    )
-    out = counts.withColumn("month", F.col("month").cast("string")).join(digests, "month")
-    if source_shards is not None:
-        return out.join(source_shards, "month", "left")
-    return out
+    files = files.select(F.regexp_extract("path", r"month=([^/]+)/", 1).alias("month"), "length", F.sha2("content", 256).alias("sha"))
+    sizes = files.groupBy("month").agg(F.sum("length").alias("bytes"), F.count("*").alias("files"))
+    digests = merkle(files, ["month"], "sha").withColumnRenamed("digest", "sha256")
+    out = counts.join(sizes, "month").join(digests, "month").withColumn("version", F.lit(version_path.rstrip("/").rsplit("/", 1)[-1].removeprefix("version=")))
+    if source_digests is None:
+        return out.withColumn("source_digest", F.lit(None).cast("string"))
+    return out.join(source_digests.select("month", F.col("digest").alias("source_digest")), "month", "left")
 
 
 def manifest_totals(m: DataFrame) -> DataFrame:
@@ -100,24 +190,111 @@ def manifest_totals(m: DataFrame) -> DataFrame:
     return m.agg(F.sum("rows").alias("rows"), F.sum("natural_keys").alias("natural_keys"), F.count("*").alias("partitions"))
 
 
-def publish(spark: SparkSession, root: str, version_path: str, m: DataFrame) -> None:
-    m.withColumn("version_path", F.lit(version_path)).coalesce(1).write.mode("overwrite").json(f"{root}/manifest")
+MANIFEST = (
+    "month string, rows long, natural_keys long, key_hi string, key_lo string, bytes long, files long, sha256 string, version string, source_digest string"
+)
+
+
+def _manifests(spark: SparkSession, root: str) -> list[str]:
+    """Manifests in order; one without ``_SUCCESS`` was never finished and counts for
+    nothing."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/manifests")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    found = [f.getPath() for f in fs.listStatus(path)]
+    done = [p.getName() for p in found if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return sorted(done)
+
+
+def publish(spark: SparkSession, root: str, m: DataFrame) -> str:
+    """Make ``m`` the current manifest; a reader sees the old one or all of the new one."""
+    last = _manifests(spark, root)
+    path = f"{root}/manifests/{int(last[-1].split('-')[0]) + 1 if last else 0:010d}-{uuid.uuid4().hex}"
+    m.select(*[c.split()[0] for c in MANIFEST.split(", ")]).coalesce(1).write.json(path)
+    return path
+
+
+def current_manifest(spark: SparkSession, root: str) -> DataFrame | None:
+    done = _manifests(spark, root)
+    return spark.read.schema(MANIFEST).json(f"{root}/manifests/{done[-1]}") if done else None
 
 
 def current_version(spark: SparkSession, root: str) -> Row:
-    return spark.read.json(f"{root}/manifest").agg(
-        F.first("version_path").alias("path"), F.sum("rows").alias("rows")
-    ).first()
+    """Rows, bytes and the folders of the current months."""
+    months = current_manifest(spark, root).collect()  # one row a month
+    paths = [f"{root}/versions/version={m.version}/month={m.month}" for m in months]
+    return Row(paths=paths, rows=sum(m.rows for m in months), bytes=sum(m.bytes for m in months))
 
 
 def read_mirror(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(current_version(spark, root).path)
+    """The current months. A mirror that holds none has no columns to show and fails."""
+    paths = current_version(spark, root).paths
+    if not paths:
+        raise ValueError(f"The mirror at {root} holds no month")
+    d = spark.read.option("basePath", f"{root}/versions").option("mergeSchema", "true").parquet(*paths)
+    return d.withColumn("month", F.col("month").cast("string")).drop("version")
 
 
-def build_mirror(source: DataFrame, root: str) -> str:
-    """Write, verify against the source, then publish."""
+def _written(source: DataFrame, root: str, digests: DataFrame | None = None, kept: DataFrame | None = None) -> str:
+    """Write ``source``, verify, and publish it beside the months ``kept``."""
     spark = source.sparkSession
-    path = write_version(mirror_columns(source), root)
-    verify(source, spark.read.parquet(path))
-    publish(spark, root, path, manifest(spark, path))
+    seen = Observation("mirror-" + uuid.uuid4().hex)
+    watched = key_digest(source).observe(seen, *_print()).drop("key_hi", "key_lo")
+    path = write_version(mirror_columns(watched), root)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/month=*")
+    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(folder):
+        made = manifest(spark, path, digests).collect()  # one row a month
+        sums = {c: sum(int(m[c]) for m in made) for c in ("rows", "key_hi", "key_lo")}
+        if any(sums[c] != int(seen.get[c]) for c in sums):
+            bad = comparison(source, spark.read.parquet(path)).orderBy("month").take(5)
+            raise ValueError(f"Mirror verification failed: {bad or sums}")
+    elif source.isEmpty():  # Spark reports no metrics of an empty table
+        made = []
+    else:
+        raise ValueError("Mirror verification failed: nothing was written")
+    m = spark.createDataFrame([tuple(r[c.split()[0]] for c in MANIFEST.split(", ")) for r in made], MANIFEST)
+    publish(spark, root, m if kept is None else m.unionByName(kept))
     return path
+
+
+def build_mirror(source: DataFrame, root: str) -> str:
+    """Write, verify against the source, then publish. The source is read once."""
+    return _written(source, root)
+
+
+def source_ledger(spark: SparkSession, source_path: str) -> DataFrame:
+    """Per month (month, files, bytes, digest) of a history: which files it has, by path,
+    size and time of change. No file is opened."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json*").load(source_path)
+    name = F.substring_index("path", source_path.rstrip("/") + "/", -1)
+    leaf = F.sha2(F.concat_ws("|", name, F.col("length"), F.unix_millis("modificationTime")), 256)
+    found = files.where(F.col("path").rlike(SHARD_PATH)).select(F.regexp_extract(name, r"(\d{4}-\d{2})", 1).alias("month"), "length", leaf.alias("leaf"))
+    totals = found.groupBy("month").agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
+    return totals.join(merkle(found, ["month"], "leaf"), "month")
+
+
+def months_to_do(ledger: DataFrame, current: DataFrame | None) -> DataFrame:
+    """(month, action): ``rebuild`` where the source files are new or changed, ``keep``
+    where they are those of the manifest, ``drop`` where the source has none left."""
+    if current is None:
+        return ledger.select("month", F.lit("rebuild").alias("action"))
+    both = ledger.select("month", "digest").join(current.select("month", "source_digest"), "month", "full")
+    action = F.when(F.col("digest").isNull(), "drop").when(F.col("digest") == F.col("source_digest"), "keep").otherwise("rebuild")
+    return both.select("month", action.alias("action"))
+
+
+def update_mirror(spark: SparkSession, source_path: str, root: str) -> dict[str, str]:
+    """Bring the mirror of a JSON history up to date and return what was done to each
+    month. Files of months that did not change are not opened, and their part of the
+    mirror stays where it is."""
+    ledger, current = source_ledger(spark, source_path).collect(), current_manifest(spark, root)  # one row a month
+    ledger = spark.createDataFrame(ledger, "month string, files long, bytes long, digest string")
+    todo = {r.month: r.action for r in months_to_do(ledger, current).collect()}
+    changed = sorted(m for m, action in todo.items() if action == "rebuild")
+    kept = None if current is None else current.where(F.col("month").isin([m for m, action in todo.items() if action == "keep"]))
+    if changed:
+        _written(read_months(spark, source_path, changed), root, ledger, kept)
+    elif "drop" in todo.values():
+        publish(spark, root, kept)
+    return todo

@@ -2,16 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ratelens.functions.pricing import display_amount
 from ratelens.operators.parity import comparison_group_id
-from ratelens.session import cut_lineage
+from ratelens.sinks.packing import with_shards
 
 # Fixed value: no published shard is larger, unless a single row is.
 MAX_SHARD_BYTES = 3_000_000
@@ -98,8 +93,12 @@ def spreadsheet_safe(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    spreadsheet_safe(df).write.mode("overwrite").option("header", "true").option("quoteAll", "true").option("escape", '"').option(
+def write_csv(df: DataFrame, path: str, ordered: bool = False) -> None:
+    """Rows are rebalanced first, so that no empty partition leaves a file of headers
+    only. ``ordered`` says that ``df`` is sorted: then its own partitions, of which the
+    sort leaves no empty ones, are written as they are."""
+    safe = spreadsheet_safe(df)
+    (safe if ordered else safe.hint("rebalance")).write.mode("overwrite").option("header", "true").option("quoteAll", "true").option("escape", '"').option(
         "lineSep", "\r\n"
     ).option("nullValue", "").option("emptyValue", "").csv(path)
 
@@ -153,60 +152,21 @@ def _sized(df: DataFrame) -> DataFrame:
     return d.select(*GROUP, "queried_at", "observation_id", body.alias("body")).withColumn("bytes", F.octet_length("body") + 1)
 
 
-def _pack(batches: Iterator[pd.DataFrame], limit: int) -> Iterator[pd.DataFrame]:
-    """Greedy packing of the rows of one task, in order, state carried over batches."""
-    part = TaskContext.get().partitionId()
-    group, used, number = None, 0, 0
-    for pdf in batches:
-        keys = pd.MultiIndex.from_frame(pdf[GROUP])
-        sizes = pdf["bytes"].to_numpy()
-        chunk = np.empty(len(pdf), dtype=np.int64)
-        starts = np.flatnonzero(np.r_[True, (pdf[GROUP].to_numpy()[1:] != pdf[GROUP].to_numpy()[:-1]).any(axis=1)]) if len(pdf) else []
-        for i, s in enumerate(starts):
-            e = starts[i + 1] if i + 1 < len(starts) else len(pdf)
-            if keys[s] != group:
-                group, used, number = keys[s], 0, 0
-            upto = np.cumsum(sizes[s:e])
-            at, base = 0, -used
-            while at < e - s:
-                # Rows that still fit behind what the open chunk holds.
-                fit = int(np.searchsorted(upto, limit + base, side="right"))
-                if fit <= at:
-                    if used == 0:
-                        fit = at + 1
-                    else:
-                        number, used = number + 1, 0
-                        base = int(upto[at - 1]) if at else 0
-                        continue
-                chunk[s + at : s + fit] = number
-                used = int(upto[fit - 1]) - base
-                at = fit
-        yield pdf.assign(part=part, local=chunk)
-
-
-def bounded_shards(df: DataFrame, max_bytes: int = MAX_SHARD_BYTES) -> DataFrame:
-    """Rows with the number of the shard they go to: order kept, nothing lost, no
-    shard above ``max_bytes`` but for a single oversized row.
-
-    A (month, hotel, day) that fits is one shard and is never ordered. Larger ones
-    are range-partitioned by their order and packed greedily per task, so a huge day
-    is spread over tasks; a new shard begins where a task does."""
-    rows = _sized(df)
+def bounded_shards(df: DataFrame, max_bytes: int = MAX_SHARD_BYTES, span: int = 64) -> DataFrame:
+    """Rows with the number of the shard they go to: newest first, nothing lost, no shard
+    above ``max_bytes`` but for a single oversized row. Rows without a time or hotel
+    belong to no shard and are left out.
+
+    A (month, hotel, day) that fits is one shard and is never ordered. Larger ones are
+    packed greedily in blocks of ``span`` shards (see ``packing``); neither the number of
+    tasks nor ``span`` changes the result."""
+    rows = _sized(df).where("day is not null and hotel_id is not null")
     totals = rows.groupBy(*GROUP).agg(F.sum("bytes").alias("_total"))
     d = rows.join(totals, GROUP)
     small = d.where(F.col("_total") <= max_bytes).select(*GROUP, "queried_at", "observation_id", "body", "bytes", F.lit(1).alias("shard"))
-    order = [*[F.col(c) for c in GROUP], F.col("queried_at").desc(), F.col("observation_id").desc()]
-    big = d.where(F.col("_total") > max_bytes).drop("_total").repartitionByRange(*order).sortWithinPartitions(*order)
-    packed = big.mapInPandas(
-        lambda it: _pack(it, max_bytes),
-        "month string, hotel_id string, day string, queried_at timestamp, observation_id string, body string, bytes int, part int, local long",
-    )
-    packed = cut_lineage(packed, f"shards-{max_bytes}-{abs(hash(df.semanticHash())):x}")
-    chunk = [*GROUP, "part", "local"]
-    numbers = packed.select(*chunk).distinct().withColumn(
-        "shard", F.row_number().over(Window.partitionBy(*GROUP).orderBy("part", "local"))
-    )
-    return small.unionByName(packed.join(numbers, chunk).select(*small.columns))
+    big = d.where(F.col("_total") > max_bytes).drop("_total")
+    packed = with_shards(big, GROUP, [F.col("queried_at").desc(), F.col("observation_id").desc(), F.col("body")], max_bytes, span)
+    return small.unionByName(packed.select(*small.columns))
 
 
 def shard_index(shards: DataFrame) -> DataFrame:

@@ -49,6 +49,12 @@ def read_observations(spark: SparkSession, path: str, strict: bool = True) -> Da
     return conform((_strict(raw) if strict else raw.where(~_malformed())).drop(CORRUPT))
 
 
+def read_months(spark: SparkSession, path: str, months: list[str]) -> DataFrame:
+    """``read_observations`` of the shards of some months (yyyy-MM); no other is opened."""
+    raw = _raw(spark, path).where(F.regexp_extract(F.substring_index("_metadata.file_path", path.rstrip("/") + "/", -1), r"(\d{4}-\d{2})", 1).isin(months))
+    return conform(_strict(raw).drop(CORRUPT))
+
+
 def _strict(raw: DataFrame) -> DataFrame:
     message = F.concat(F.lit("Invalid JSON in "), F.col("_metadata.file_path"), F.lit(": "), F.col(CORRUPT))
     return raw.where(F.when(_malformed(), F.raise_error(message).cast("boolean")).otherwise(F.lit(True)))

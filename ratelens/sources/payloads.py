@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ratelens.functions.offers import area_from_unit
+from ratelens.operators.containment import contained_labels
 from ratelens.schema import MONEY, conform
 
 # Objects whose shape varies by version are kept as JSON text and read by path.
@@ -147,20 +148,10 @@ def quotation_observations(quotes: DataFrame, rooms: DataFrame) -> DataFrame:
 def size_by_known_name(df: DataFrame, known: DataFrame, name: str = "room_type_name") -> DataFrame:
     """Room size from the name: exact, else the longest known name it contains.
 
-    ``known``: hotel_id, known_name, size_sqm. Fragments of each distinct name are
-    looked up by equality (see ``rooms``), so names are never paired with all sizes."""
-    subjects = df.select("hotel_id", name).distinct().where(F.col(name) != "")
-    lengths = known.groupBy("hotel_id").agg(F.collect_set(F.length("known_name")).alias("lengths"))
-    fragments = (
-        subjects.join(lengths, "hotel_id")
-        .withColumn("n", F.explode(F.filter("lengths", lambda k: (k >= 1) & (k <= F.length(name)))))
-        .withColumn(
-            "known_name",
-            F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(name) - F.col("n") + 1), lambda i: F.substring(F.col(name), i, F.col("n"))))),
-        )
-    )
-    hits = fragments.join(known, ["hotel_id", "known_name"])
-    best = hits.groupBy("hotel_id", name).agg(
+    ``known``: hotel_id, known_name, size_sqm. Distinct names and known names meet over a
+    q-gram index (see ``containment``), so names are never paired with all sizes."""
+    held = contained_labels(df.select("hotel_id", name), known, ["hotel_id"], name, "known_name")
+    best = held.join(known, ["hotel_id", "known_name"]).groupBy("hotel_id", name).agg(
         F.max_by("size_sqm", F.struct(F.length("known_name"), "known_name")).alias("known_size_sqm")
     )
     return df.join(best, ["hotel_id", name], "left")

@@ -190,6 +190,23 @@ def agg7c(spark, sf):
     return _roll(market.history_rollup(published(spark, sf), "lead"), "lead_days")
 
 
+_GRAIN = f"""
+SELECT '{{grain}}' AS grain, {{day}} AS queried_date, {{lead}} AS lead_days, hotel_id, city, CAST(count(nightly) AS BIGINT) AS observations, {tied_sql('avg(nightly)')} AS average_twd,
+       round(median(nightly), 4) AS median_twd, round(median(CASE WHEN is_core THEN nightly END), 4) AS core_median_twd, round(median(unit), 6) AS median_per_sqm_twd, {{days}} AS days
+FROM published WHERE is_official GROUP BY ALL
+"""
+_NO_DAY, _NO_LEAD, _NO_DAYS = "CAST(NULL AS VARCHAR)", "CAST(NULL AS INTEGER)", "CAST(NULL AS BIGINT)"
+
+
+@query("AGG7_history_rollups", sql("UNION ALL".join([
+    _GRAIN.format(grain="daily", day="strftime(day, '%Y-%m-%d')", lead=_NO_LEAD, days=_NO_DAYS),
+    _GRAIN.format(grain="hotel", day=_NO_DAY, lead=_NO_LEAD, days="CAST(count(DISTINCT day) AS BIGINT)"),
+    _GRAIN.format(grain="lead", day=_NO_DAY, lead="lead_days", days=_NO_DAYS),
+]), SQL_PRICED, SQL_DEDUP))
+def agg7d(spark, sf):
+    return _roll(market.history_rollups(published(spark, sf)), "grain", day("day").alias("queried_date"), "lead_days", "days")
+
+
 @query("AGG8_latest_summary", sql(f"""
 , official_latest AS (SELECT * FROM published WHERE is_official AND queried_at IN (SELECT queried_at FROM batch)),
 ph AS (SELECT hotel_id, avg(nightly) AS a, median(nightly) AS m, median(unit) AS u, median({_CPI_SQL}) AS c FROM official_latest GROUP BY 1)

@@ -10,6 +10,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ratelens.operators import quality
 from ratelens.operators.parity import with_comparison
 from ratelens.schema import conform
 from ratelens.session import shared_folder
@@ -210,6 +211,16 @@ def snk2b(spark, sf):
     return d.select("observation_id", r("nightly_adr_twd").alias("nightly"), flag.alias("breakfast"))
 
 
+@query("SNK2_mirror_layout", sql("""
+SELECT strftime(queried_at, '%Y-%m') AS month, 'ZSTD' AS codec, CAST(count(*) AS BIGINT) AS rows, CAST(count(*) AS BIGINT) AS rows_in_order, CAST(count(*) AS BIGINT) AS rows_in_bounded_groups FROM rates GROUP BY 1"""))
+def snk2c(spark, sf):
+    """What the files themselves say: codec, rows not before their predecessor, and rows
+    in files whose row groups all keep the bound."""
+    files = mirror.layout(spark, mirror.current_version(spark, _mirror_root(spark, sf)).paths[0])
+    bounded = F.sum(F.when(F.col("largest_group") <= mirror.ROW_GROUP, F.col("rows")).otherwise(0))
+    return files.groupBy("month", "codec").agg(F.sum("rows").alias("rows"), F.sum("in_order").alias("rows_in_order"), bounded.alias("rows_in_bounded_groups"))
+
+
 @query("SNK3_U2_mirror_comparison", sql("""
 SELECT strftime(queried_at, '%Y-%m') AS month, CAST(count(*) AS BIGINT) AS source_rows, CAST(count(*) - count_if(lead_days = 90) AS BIGINT) AS target_rows,
   CAST(count(DISTINCT natural_key) - count(DISTINCT natural_key) FILTER (lead_days <> 90) AS BIGINT) AS missing_keys, CAST(0 AS BIGINT) AS extra_keys
@@ -219,19 +230,86 @@ def snk3(spark, sf):
     return mirror.compare(d, mirror.read_mirror(spark, _mirror_root(spark, sf)).where("lead_days <> 90"))
 
 
+# Three months: the time of observation moves on by none, one or two of them.
+_MOVED = """
+moved AS (SELECT * REPLACE (queried_at + to_months(CAST(lead_days % 3 AS INTEGER)) AS queried_at) FROM rates),
+mk AS (
+  SELECT *, strftime(queried_at, '%Y-%m') AS month, concat_ws('|', hotel_id, source_platform, CAST(check_in AS VARCHAR), CAST(check_out AS VARCHAR), rooms, adults, children,
+         room_type_code, rate_plan_code, currency, strftime(queried_at, '%Y-%m-%d')) AS natural_key
+  FROM moved)
+"""
+
+
+def _moved(spark, sf):
+    return rates(spark, sf).withColumn("queried_at", F.expr("queried_at + make_ym_interval(0, lead_days % 3)"))
+
+
+@query("SNK3_differing_months", sql("""
+SELECT month, CAST(count(*) AS BIGINT) AS source_rows, CAST(count_if(hotel_id <> 'hotel_3') AS BIGINT) AS target_rows,
+  CAST(count(DISTINCT natural_key) FILTER (hotel_id = 'hotel_3') AS BIGINT) AS missing_keys, CAST(count(DISTINCT natural_key) FILTER (hotel_id = 'hotel_4') AS BIGINT) AS extra_keys
+FROM mk WHERE month = '2026-10' GROUP BY 1""", _MOVED).replace("count_if(hotel_id <> 'hotel_3')", "count_if(hotel_id <> 'hotel_3') + count_if(hotel_id = 'hotel_4')"))
+def snk3b(spark, sf):
+    """One month loses a hotel and gains a made-up one; only that month is compared."""
+    d = _moved(spark, sf)
+    october = F.date_format("queried_at", "yyyy-MM") == "2026-10"
+    target = d.where(~october | (F.col("hotel_id") != "hotel_3"))
+    made_up = d.where(october & (F.col("hotel_id") == "hotel_4")).withColumn("hotel_id", F.lit("hotel_x"))
+    return mirror.comparison(d, target.unionByName(made_up))
+
+
+@query("SNK4_update_mirror", sql("""
+, per AS (SELECT month, count(*) AS n, count(DISTINCT natural_key) AS keys, count_if(lead_days = 1) + count(DISTINCT natural_key) FILTER (lead_days = 7) AS appended FROM mk GROUP BY 1)
+SELECT month, CASE month WHEN '2026-09' THEN 'keep' WHEN '2026-10' THEN 'rebuild' ELSE 'drop' END AS action, month = '2026-09' AS same_version,
+  CAST(CASE month WHEN '2026-09' THEN n WHEN '2026-10' THEN appended END AS BIGINT) AS rows, CAST(CASE WHEN month <> '2026-11' THEN keys END AS BIGINT) AS natural_keys
+FROM per""", _MOVED))
+def snk4(spark, sf):
+    """September's files stay, October gets new rows, November's files go."""
+    source, root = fresh_path(spark, "changing"), fresh_path(spark, "updated")
+    d = _moved(spark, sf).select(*raw_rates(spark, sf).columns)
+    history.with_day_partitions(d.where("lead_days <> 7")).write.option("ignoreNullFields", "false").partitionBy("month", "day").json(source)
+    mirror.update_mirror(spark, source, root)
+    before = mirror.current_manifest(spark, root).select("month", F.col("version").alias("first"))
+    history.append_observations(d.where("lead_days = 7"), source)
+    gone = spark._jvm.org.apache.hadoop.fs.Path(f"{source}/month=2026-11")
+    gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
+    todo = spark.createDataFrame(list(mirror.update_mirror(spark, source, root).items()), "month string, action string")
+    now = mirror.current_manifest(spark, root).select("month", "version", "rows", "natural_keys")
+    same = F.coalesce(F.col("version") == F.col("first"), F.lit(False)).alias("same_version")
+    return todo.join(now, "month", "left").join(before, "month", "left").select("month", "action", same, "rows", "natural_keys")
+
+
 @query("SNK4_SNK5_manifest", sql("""
 SELECT strftime(queried_at, '%Y-%m') AS month, CAST(count(*) AS BIGINT) AS rows, CAST(count(DISTINCT natural_key) AS BIGINT) AS natural_keys, CAST(64 AS INTEGER) AS digest_length, true AS has_bytes
 FROM k GROUP BY 1""", _KEYED))
 def snk5(spark, sf):
-    root = _mirror_root(spark, sf)
-    m = mirror.manifest(spark, mirror.current_version(spark, root).path)
+    m = mirror.current_manifest(spark, _mirror_root(spark, sf))
     return m.select("month", "rows", "natural_keys", F.length("sha256").alias("digest_length"), (F.col("bytes") > 0).alias("has_bytes"))
 
 
+@query("SNK5_content_digest", sql("""
+, leaves AS (SELECT DISTINCT month, sha256(natural_key) AS leaf FROM mk),
+l4 AS (SELECT month, substring(leaf, 1, 4) AS node, sha256(string_agg(concat(leaf, ':', leaf), chr(10) ORDER BY leaf)) AS digest FROM leaves GROUP BY 1, 2),
+l2 AS (SELECT month, substring(node, 1, 2) AS up, sha256(string_agg(concat(node, ':', digest), chr(10) ORDER BY node)) AS digest FROM l4 GROUP BY 1, 2)
+SELECT month, sha256(string_agg(concat(up, ':', digest), chr(10) ORDER BY up)) AS digest FROM l2 GROUP BY 1""", _MOVED))
+def snk5c(spark, sf):
+    return mirror.content_digest(_moved(spark, sf))
+
+
 @query("SNK5_manifest_totals", sql("SELECT CAST(count(*) AS BIGINT) AS rows, CAST(count(DISTINCT natural_key) AS BIGINT) AS natural_keys, CAST(count(DISTINCT strftime(queried_at, '%Y-%m')) AS BIGINT) AS partitions FROM k", _KEYED))
 def snk5b(spark, sf):
+    return mirror.manifest_totals(mirror.current_manifest(spark, _mirror_root(spark, sf)))
+
+
+@query("DQ8_manifest_gate", sql("""
+SELECT c AS case_name, strftime(queried_at, '%Y-%m') AS month, CAST(count(*) AS BIGINT) AS stated_rows, CAST(count_if(c = 'whole' OR lead_days <> 90) AS BIGINT) AS found_rows,
+  count(*) = count_if(c = 'whole' OR lead_days <> 90) AS agrees
+FROM rates, (VALUES ('whole'), ('short')) AS cases(c) GROUP BY 1, 2"""))
+def dq8(spark, sf):
+    """The manifest against the whole mirror, and against one that lost rows."""
     root = _mirror_root(spark, sf)
-    return mirror.manifest_totals(mirror.manifest(spark, mirror.current_version(spark, root).path))
+    rows, m = mirror.read_mirror(spark, root), mirror.current_manifest(spark, root)
+    whole = quality.manifest_gate(rows, m).withColumn("case_name", F.lit("whole"))
+    return whole.unionByName(quality.manifest_gate(rows.where("lead_days <> 90"), m).withColumn("case_name", F.lit("short")))
 
 
 @query("SNK6_published_details", sql("""
@@ -253,6 +331,25 @@ def snk7(spark, sf):
     return shards.groupBy("hotel_id", "day").agg(F.sum("observations").alias("observations"), F.bool_and(fits).alias("bounded"))
 
 
+@query("SNK7_shard_numbers", sql("""
+, q AS (
+  SELECT hotel_id, day, row_number() OVER (PARTITION BY hotel_id, day ORDER BY queried_at DESC, observation_id DESC) AS rn,
+    length(concat('{"hotel_id":"', hotel_id, '","observation_id":"', observation_id, '","queried_at":"', strftime(queried_at, '%Y-%m-%dT%H:%M:%S'), '.000Z","room_type_code":"', room_type_code, '"}')) + 1 AS bytes
+  FROM published),
+walk AS (
+  SELECT hotel_id, day, rn, bytes, bytes AS used, 1 AS shard FROM q WHERE rn = 1
+  UNION ALL
+  SELECT q.hotel_id, q.day, q.rn, q.bytes, CASE WHEN used + q.bytes > 1000 THEN q.bytes ELSE used + q.bytes END, shard + CASE WHEN used + q.bytes > 1000 THEN 1 ELSE 0 END
+  FROM walk JOIN q ON q.hotel_id = walk.hotel_id AND q.day = walk.day AND q.rn = walk.rn + 1)
+SELECT hotel_id, strftime(day, '%Y-%m-%d') AS day, CAST(shard AS INTEGER) AS shard, CAST(count(*) AS BIGINT) AS observations, CAST(sum(bytes) AS BIGINT) AS bytes
+FROM walk GROUP BY ALL""", SQL_PRICED, SQL_DEDUP).replace("WITH ", "WITH RECURSIVE ", 1))
+def snk7b(spark, sf):
+    """Every shard of every day, with a bound that a busy day exceeds many times over."""
+    rows = published(spark, sf).select("hotel_id", "observation_id", "queried_at", "room_type_code")
+    shards = publish.shard_index(publish.bounded_shards(rows, 1_000, span=2))
+    return shards.select("hotel_id", "day", "shard", "observations", "bytes")
+
+
 @query("SNK8_partition_index", sql("""
 SELECT strftime(queried_at, '%Y-%m') AS month, hotel_id, concat('Hotel ', substr(hotel_id, 7)) AS hotel_name, CAST(count(*) AS BIGINT) AS observations,
    CAST(count(*) AS BIGINT) AS listed FROM published GROUP BY ALL""", SQL_PRICED, SQL_DEDUP))

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ratelens.operators import dedup, health, market, matchquality, parity, planning, quality, rooms, stats
+from ratelens.operators.containment import contained_labels
 from ratelens.operators.parity import with_comparison, with_terms
 from ratelens.session import cut_lineage
 
@@ -324,3 +325,36 @@ def test_plan_fills_the_defaults_of_a_hotel_record(spark):
     requests, failures = planning.collection_plan(hotels, (7, 14), F.lit("2026-10-08 01:00:00").cast("timestamp"), F.lit("r"))
     assert rows_of(requests, "hotel_id", "lead_days") == [("h1", 7), ("h1", 14), ("h2", 14)]
     assert rows_of(failures, "hotel_id") == [("h3",)]
+
+
+def test_contained_labels(spark):
+    """One text of 5,000 characters and labels of 1,000 lengths, against brute force."""
+    rng = random.Random(3)
+    text = "".join(rng.choice("abcdé房") for _ in range(5000))
+    labels = {text[i * 3 : i * 3 + i] for i in range(1, 1001)} | {"".join(rng.choice("abcdé房") for _ in range(n)) for n in range(1, 60)} | {"", "xyz", "a", "ab"}
+    texts = [("h", text), ("h", "abc"), ("h", "a"), ("h", ""), ("h", None), (None, "abc"), ("g", "abcab"), ("h", "abc")]
+    filed = [("h", x) for x in labels] + [("g", "ca"), ("g", None), (None, "a"), ("h", "ab")]
+    got = contained_labels(spark.createDataFrame(texts, "hotel string, t string"), spark.createDataFrame(filed, "hotel string, x string"), ["hotel"], "t", "x")
+    want = {(h, t, x) for h, t in texts for g, x in filed if h and h == g and t and x and x in t}
+    rows = [tuple(r) for r in got.collect()]
+    assert len(rows) == len(want) and set(rows) == want
+
+
+def test_rollups_in_one_scan(spark, make):
+    days = [("h1", "2026-10-01", 1, 9000, 50), ("h1", "2026-10-01", 7, 11000, 50), ("h1", "2026-10-02", 1, 9000, 30), ("h2", "2026-10-02", None, 7000, None)]
+    d = make(*({"hotel_id": h, "queried_at": f"{q}T01:00:00Z", "lead_days": n, "total_price": p, "room_size_sqm": s} for h, q, n, p, s in days), price=True)
+    got = {(r.grain, r.hotel_id, str(r.day), r.lead_days): (r.observations, r.median_twd, r.core_median_twd, r.days) for r in market.history_rollups(d).collect()}
+    assert got == {
+        ("daily", "h1", "2026-10-01", None): (2, 10000.0, 10000.0, None), ("daily", "h1", "2026-10-02", None): (1, 9000.0, None, None), ("daily", "h2", "2026-10-02", None): (1, 7000.0, None, None),
+        ("hotel", "h1", "None", None): (3, 9000.0, 10000.0, 2), ("hotel", "h2", "None", None): (1, 7000.0, None, 1),
+        ("lead", "h1", "None", 1): (2, 9000.0, 9000.0, None), ("lead", "h1", "None", 7): (1, 11000.0, 11000.0, None),
+    }
+    # Two days' cubes add up to the cube of both.
+    cubes = [market.history_cube(d.where(F.to_date("queried_at") == x), ["day", "lead_days"]) for x in ("2026-10-01", "2026-10-02")]
+    assert sorted(map(str, market.rollups_of_cube(cubes[0].unionByName(cubes[1])).collect())) == sorted(map(str, market.history_rollups(d).collect()))
+    path = spark.conf.get("spark.sql.warehouse.dir") + "/rollup-scan-" + uuid.uuid4().hex
+    d.write.parquet(path)
+    out = market.history_rollups(spark.read.parquet(path))
+    assert len(out.collect()) == 7
+    final = out._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0]
+    assert final.count("FileScan") == 1 and "ReusedExchange" in final

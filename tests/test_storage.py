@@ -1,15 +1,19 @@
 """Sources, sinks and streams on temporary folders."""
 
+import hashlib
 import json
+import os
+import random
+import shutil
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from ratelens.operators.parity import with_terms
-from ratelens.operators import health
+from ratelens.operators import health, quality
 from ratelens.session import shared_folder
-from ratelens.sinks import history, mirror, publish
+from ratelens.sinks import history, mirror, packing, publish
 from ratelens.sources import observations as src
 from ratelens.sources.payloads import availability_observations
 from ratelens.sources.snapshots import validate_snapshots
@@ -66,7 +70,7 @@ def test_mirror_is_verified_and_published(spark, make, tmp_path):
     assert back.count() == 2 and {str(r.month) for r in back.collect()} == {"2026-09", "2026-10"}
     assert back.where("observation_id = 'o0'").first().breakfast_included is True
     assert back.where("observation_id = 'o1'").first().nightly_adr_twd == 4500.0
-    assert mirror.current_version(spark, root).rows == 2
+    assert mirror.current_version(spark, root).rows == 2 and mirror.current_version(spark, root).bytes > 0
     mirror.build_mirror(d.where("observation_id = 'o0'"), root)
     assert {str(r.month) for r in mirror.read_mirror(spark, root).collect()} == {"2026-10"}
     with pytest.raises(ValueError, match="verification failed"):
@@ -137,8 +141,9 @@ def test_unsafe_id_aborts(make, tmp_path):
 def test_csv_is_spreadsheet_safe(spark, make, tmp_path):
     d = make({"hotel_name": '=HYPERLINK("x")', "room_type_name": None, "breakfast_included": True}).select("hotel_name", "room_type_name", "breakfast_included", "adults")
     publish.write_csv(d, str(tmp_path / "c"))
-    text = next((tmp_path / "c").glob("part-*")).read_bytes().decode()
-    assert text == '"hotel_name","room_type_name","breakfast_included","adults"\r\n"\'=HYPERLINK(""x"")","","true","2"\r\n'
+    parts = [p.read_bytes().decode() for p in (tmp_path / "c").glob("part-*")]
+    assert len(parts) == 1, parts
+    assert parts[0] == '"hotel_name","room_type_name","breakfast_included","adults"\r\n"\'=HYPERLINK(""x"")","","true","2"\r\n'
 
 
 def test_asset_manifest_normalises_line_ends(spark, tmp_path):
@@ -264,3 +269,128 @@ def test_intermediates_of_two_calls_do_not_meet(spark):
     one, two = cut_lineage(spark.range(3), "same-name"), cut_lineage(spark.range(5), "same-name")
     assert (one.count(), two.count()) == (3, 5)
     assert callable(release)
+
+
+def greedy(sizes, limit):
+    out, used, shard = [], 0, 0
+    for n in sizes:
+        if not out or used + n > limit:
+            shard, used = shard + 1, 0
+        used += n
+        out.append(shard)
+    return out
+
+
+@pytest.mark.parametrize("partitions", [1, 7, 200])
+def test_shards_do_not_depend_on_partitions(spark, partitions):
+    """Many blocks a group, rows above the limit and above a block, one tiny group."""
+    rng = random.Random(4)
+    sizes = {"a": [rng.choice([3, 40, 99, 100, 101]) for _ in range(120)], "b": [5, 7000, 1, 1, 100, 250, 3, 900, 50], "c": [1000], "d": [60] * 9}
+    rows = [(g, i, n) for g, some in sizes.items() for i, n in enumerate(some)]
+    rng.shuffle(rows)
+    d = spark.createDataFrame(rows, "g string, i int, bytes int").repartition(partitions)
+    conf = {"spark.sql.shuffle.partitions": str(partitions), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        got = {span: {(r.g, r.i): r.shard for r in packing.with_shards(d, ["g"], [F.col("i")], 100, span).collect()} for span in ([2, 64] if partitions < 200 else [2])}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    want = {(g, i): s for g, some in sizes.items() for i, s in enumerate(greedy(some, 100))}
+    assert all(x == want for x in got.values())
+
+
+def test_rows_out_of_shards(make):
+    d = make({"queried_at": None}, {"hotel_id": None}, {}).select("observation_id", "hotel_id", "queried_at")
+    assert [r.observation_id for r in publish.bounded_shards(d).collect()] == ["o2"]
+
+
+def _month_files(path, month):
+    return sorted(path.glob(f"month={month}/**/part-*.json"))
+
+
+def test_mirror_update_reads_changed_months_only(spark, make, tmp_path):
+    source, root = tmp_path / "history", str(tmp_path / "w")
+    stamp = {"o0": "2026-09-08", "o1": "2026-10-08", "o2": "2026-11-08"}
+    d = make(*({"queried_at": f"{day}T01:00:00Z", "hotel_id": o} for o, day in stamp.items()))
+    history.append_observations(d, str(source))
+    assert mirror.update_mirror(spark, str(source), root) == dict.fromkeys(["2026-09", "2026-10", "2026-11"], "rebuild")
+    first = {r.month: r.version for r in mirror.current_manifest(spark, root).collect()}
+    kept = _month_files(source, "2026-09")[0]
+    stat, size = kept.stat(), len(kept.read_bytes())
+    kept.write_bytes(b"x" * size)  # unreadable, but to size and time the same file
+    os.utime(kept, ns=(stat.st_atime_ns, stat.st_mtime_ns))
+    history.append_observations(make({"queried_at": "2026-10-09T01:00:00Z", "hotel_id": "new"}), str(source))
+    shutil.rmtree(source / "month=2026-11")
+    assert mirror.update_mirror(spark, str(source), root) == {"2026-09": "keep", "2026-10": "rebuild", "2026-11": "drop"}
+    now = {r.month: (r.version == first[r.month], r.rows) for r in mirror.current_manifest(spark, root).collect()}
+    assert now == {"2026-09": (True, 1), "2026-10": (False, 2)}
+    assert sorted(r.hotel_id for r in mirror.read_mirror(spark, root).collect()) == ["new", "o0", "o1"]
+    assert set(mirror.update_mirror(spark, str(source), root).values()) == {"keep"}
+
+
+def test_an_unfinished_manifest_counts_for_nothing(spark, make, tmp_path):
+    root = str(tmp_path / "w")
+    mirror.build_mirror(make({}), root)
+    half = tmp_path / "w" / "manifests" / "0000000009-half"
+    half.mkdir()
+    (half / "part-0.json").write_text("{")
+    assert mirror.current_version(spark, root).rows == 1
+    mirror.build_mirror(make({}, {"hotel_id": "h2"}), root)
+    assert mirror.current_version(spark, root).rows == 2
+
+
+def test_mirror_of_no_rows(spark, make, tmp_path):
+    mirror.build_mirror(make({}).where("hotel_id = 'none'"), str(tmp_path / "w"))
+    assert mirror.current_version(spark, str(tmp_path / "w")).rows == 0
+    with pytest.raises(ValueError, match="holds no month"):
+        mirror.read_mirror(spark, str(tmp_path / "w"))
+
+
+def test_mirror_finds_lost_rows(spark, make, tmp_path, monkeypatch):
+    d = make({}, {"hotel_id": "h2"}, {"hotel_id": "h3", "queried_at": "2026-09-01T00:00:00Z"}, {"queried_at": None})
+    monkeypatch.setattr(mirror, "mirror_columns", lambda x: x.where("hotel_id <> 'h2'"))
+    with pytest.raises(ValueError, match="month='2026-10', source_rows=2, target_rows=1, missing_keys=1"):
+        mirror.build_mirror(d, str(tmp_path / "w"))
+    assert mirror.current_manifest(spark, str(tmp_path / "w")) is None
+
+
+def test_mirror_layout(spark, make, tmp_path):
+    rows = [{"hotel_id": f"h{i}", "queried_at": f"2026-10-08T{i % 24:02d}:00:00Z"} for i in range(60)]
+    path = mirror.write_version(make(*rows), str(tmp_path / "w"), row_group=10, file_rows=25)
+    files = mirror.layout(spark, path).collect()
+    assert all(f.codec == "ZSTD" and f.largest_group <= 10 and f.rows <= 25 and f.in_order == f.rows for f in files)
+    assert sum(f.rows for f in files) == 60 and len(files) >= 3
+
+
+def test_merkle_is_of_the_set(spark):
+    leaves = [(m, hashlib.sha256(f"{m}{i}".encode()).hexdigest()) for m in "ab" for i in range(40)]
+
+    def up(nodes, n):
+        groups = {}
+        for node, digest in nodes:
+            groups.setdefault(node[:n], []).append(f"{node}:{digest}")
+        return [(k, hashlib.sha256("\n".join(sorted(v)).encode()).hexdigest()) for k, v in groups.items()]
+
+    want = {}
+    for m in "ab":
+        nodes = [(x, x) for y, x in leaves if y == m]
+        for n in (4, 2, 0):
+            nodes = up(nodes, n)
+        want[m] = nodes[0][1]
+    d = spark.createDataFrame(leaves, "m string, leaf string")
+    for some in (d, d.repartition(7)):
+        assert {r.m: r.digest for r in mirror.merkle(some, ["m"], "leaf").collect()} == want
+
+
+def test_manifest_gate(spark, make, tmp_path):
+    root = str(tmp_path / "w")
+    mirror.build_mirror(make({}, {"hotel_id": "h2"}, {"queried_at": "2026-09-01T00:00:00Z"}), root)
+    rows, m = mirror.read_mirror(spark, root), mirror.current_manifest(spark, root)
+    assert quality.assert_manifest(rows, m) == 3
+    with pytest.raises(ValueError, match="2026-10: manifest=2, parquet=1"):
+        quality.assert_manifest(rows.where("hotel_id <> 'h2'"), m)
+    with pytest.raises(ValueError, match="2026-09: manifest=0, parquet=1"):
+        quality.assert_manifest(rows, m.where("month <> '2026-09'"))
