@@ -26,9 +26,9 @@ from ratelens.llm.textblocks import BYTE_A, U64, as_long, blocks, lowered, mix,
 from ratelens.session import cut_lineage
 
 #: A part of a stratum holds about as many distinct terms of documents, and documents.
-PART_TERMS, PART_DOCS = 1 << 17, 1 << 10
-#: Items and their distinct terms in a block; a block travels to all tasks.
-BLOCK_ITEMS, BLOCK_TERMS = 1 << 12, 1 << 18
+PART_TERMS, PART_DOCS = 1 << 17, 1 << 9
+#: Items and their terms in a block, which travels to all tasks, and in a slice of it.
+BLOCK_ITEMS, BLOCK_TERMS, SLICE_TERMS = 1 << 12, 1 << 18, 1 << 14
 #: Documents in the strata that are visited first, for each result that is wanted.
 FIRST = 20
 
@@ -124,19 +124,53 @@ class Block:
         self.terms = np.array(sorted(weights), np.int64)
         self.weights = np.array([weights[t] for t in self.terms.tolist()], np.int64)
         self.of = [(np.searchsorted(self.terms, np.array(r.terms, np.int64)), np.array(r.times, np.int64)) for r in rows]
+        # Slices of the items, and which terms they have: what a task adds up at once.
+        ends = np.cumsum([len(of) for of, _ in self.of])
+        self.slices = []
+        for own in np.split(np.arange(len(rows)), np.flatnonzero(np.diff(ends // SLICE_TERMS)) + 1) if len(rows) else []:
+            has = np.zeros(len(self.terms), bool)
+            has[np.concatenate([self.of[i][0] for i in own])] = True
+            self.slices.append((own.tolist(), has))
 
 
-def _dictionary(wanted: np.ndarray):
-    """Of each part, for the wanted terms: documents and largest tf."""
+def _frequencies(wanted: np.ndarray):
+    """In how many documents of a task's parts the wanted terms occur."""
 
     def job(batches):
+        found = np.zeros(len(wanted), np.int64)
         for batch in batches:
-            for m, terms, firsts, times, starts in zip(*(batch.column(c) for c in ("m", "terms", "firsts", "times", "starts")), strict=True):
-                terms, firsts, times, starts = (x.values.to_numpy() for x in (terms, firsts, times, starts))
+            for terms, firsts, starts in zip(*(batch.column(c) for c in ("terms", "firsts", "starts")), strict=True):
+                terms, firsts, starts = (x.values.to_numpy() for x in (terms, firsts, starts))
                 at = np.searchsorted(terms, wanted)
-                at = at[(at < len(terms)) & (terms[np.minimum(at, len(terms) - 1)] == wanted)]
-                df, most = starts[firsts[at + 1]] - starts[firsts[at]], times[firsts[at + 1] - 1]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), m.as_py())), pa.array(terms[at]), pa.array(df, pa.int64()), pa.array(most, pa.int64())], ["m", "term", "df", "most"])
+                held = np.flatnonzero((at < len(terms)) & (terms[np.minimum(at, len(terms) - 1)] == wanted))
+                found[held] += starts[firsts[at[held] + 1]] - starts[firsts[at[held]]]
+        held = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(wanted[held]), pa.array(found[held])], ["term", "df"])
+
+    return job
+
+
+def _tops(block: Block, m: int, terms: np.ndarray, firsts: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which terms of the block a part holds, where, and what each scores there at most."""
+    at = np.searchsorted(terms, block.terms)
+    held = np.flatnonzero((at < len(terms)) & (terms[np.minimum(at, len(terms) - 1)] == block.terms))
+    at = at[held]
+    top = np.zeros(len(block.terms), np.int64)
+    top[held] = impact(times[firsts[at + 1] - 1].astype(np.int64), m) * block.weights[held]
+    return held, at, top
+
+
+def _bounds(block: Block):
+    """What each part can score for each item at most, where that is above 0."""
+
+    def job(batches):
+        for batch in batches:
+            for m, part, docs, terms, firsts, times in zip(*(batch.column(c) for c in ("m", "part", "docs", "terms", "firsts", "times")), strict=True):
+                _, _, top = _tops(block, m.as_py(), *(x.values.to_numpy() for x in (terms, firsts, times)))
+                bound = np.array([int((top[of] * count).sum()) for of, count in block.of], np.int64)
+                item = np.flatnonzero(bound)
+                fixed = [pa.array(np.full(len(item), x), pa.int64()) for x in (m.as_py(), part.as_py(), len(docs))]
+                yield pa.RecordBatch.from_arrays([pa.array(item, pa.int32()), *fixed, pa.array(bound[item])], ["item", "m", "part", "size", "bound"])
 
     return job
 
@@ -152,35 +186,34 @@ def _scored(block: Block, k: int, thresholds: np.ndarray):
             columns = (batch.column(c) for c in ("docs", "terms", "firsts", "times", "starts", "places"))
             for m, items, *arrays in zip(batch.column("m"), chosen, *columns, strict=True):
                 m, (docs, terms, firsts, times, starts, places) = m.as_py(), (x.values.to_numpy() for x in arrays)
-                at = np.searchsorted(terms, block.terms)
-                held = np.flatnonzero((at < len(terms)) & (terms[np.minimum(at, len(terms) - 1)] == block.terms))
-                at = at[held]
-                a, b = firsts[at], firsts[at + 1]
+                held, at, bound = _tops(block, m, terms, firsts, times)
                 scores = impact(times.astype(np.int64), m)  # once for each run of equal tf
-                row = np.full(len(block.terms) + 1, len(held), np.int64)  # terms that the part lacks score 0
-                row[held] = np.arange(len(held))
-                table = np.zeros((len(held) + 1, len(docs)), np.int64)
-                n = starts[b] - starts[a]
-                cells = np.arange(int(n.sum())) + np.repeat(starts[a] - np.concatenate(([0], np.cumsum(n)[:-1])), n) if len(held) else np.zeros(0, np.int64)
-                which = np.repeat(np.arange(len(held)), n)
-                run = np.searchsorted(starts, cells, side="right") - 1
-                table[which, places[cells]] = scores[run] * block.weights[held][which]
-                top = np.append(scores[b - 1] * block.weights[held], 0)  # by the largest tf
-                out = [(np.zeros(0, np.int64),) * 3]
-                for i in range(len(block.items)) if items is None else items.as_py():
-                    of, count = block.of[i]
-                    of = row[of]
-                    if int((top[of] * count).sum()) < max(1, least[i]):
+                out, chosen_items = [(np.zeros(0, np.int64),) * 3], None if items is None else set(items.as_py())
+                for own, of_slice in block.slices:
+                    todo = [i for i in own if (chosen_items is None or i in chosen_items) and int((bound[block.of[i][0]] * block.of[i][1]).sum()) >= max(1, least[i])]
+                    if not todo:
                         continue
-                    total = (table[of] * count[:, None]).sum(axis=0)
-                    keep = np.flatnonzero(total >= max(1, least[i]))
-                    if len(keep) > k:
-                        keep = keep[np.lexsort((docs[keep], -total[keep]))[:k]]
-                    if len(keep):
-                        best[i] = np.sort(np.concatenate((best[i], total[keep])))[-k:]
-                        if len(best[i]) == k:
-                            least[i] = max(least[i], int(best[i][0]))
-                        out.append((np.full(len(keep), block.items[i], np.int64), docs[keep], total[keep]))
+                    here = np.flatnonzero(of_slice[held])
+                    a, b = firsts[at[here]], firsts[at[here] + 1]
+                    row = np.full(len(block.terms), len(here), np.int64)  # terms that the part lacks score 0
+                    row[held[here]] = np.arange(len(here))
+                    table = np.zeros((len(here) + 1, len(docs)), np.int64)
+                    n = starts[b] - starts[a]
+                    cells = np.arange(int(n.sum())) + np.repeat(starts[a] - np.cumsum(n) + n, n)
+                    which = np.repeat(np.arange(len(here)), n)
+                    run = np.searchsorted(starts, cells, side="right") - 1
+                    table[which, places[cells]] = scores[run] * block.weights[held[here]][which]
+                    for i in todo:
+                        of, count = block.of[i]
+                        total = (table[row[of]] * count[:, None]).sum(axis=0)
+                        keep = np.flatnonzero(total >= max(1, least[i]))
+                        if len(keep) > k:
+                            keep = keep[np.lexsort((docs[keep], -total[keep]))[:k]]
+                        if len(keep):
+                            best[i] = np.sort(np.concatenate((best[i], total[keep])))[-k:]
+                            if len(best[i]) == k:
+                                least[i] = max(least[i], int(best[i][0]))
+                            out.append((np.full(len(keep), block.items[i], np.int64), docs[keep], total[keep]))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["item", "doc", "score"])
 
     return job
@@ -238,21 +271,17 @@ class Index:
     def _search_block(self, items: DataFrame, k: int) -> DataFrame:
         rows = items.collect()  # a block: BLOCK_ITEMS items or BLOCK_TERMS terms, about
         wanted = np.array(sorted({t for r in rows for t in r.terms}), np.int64)
-        known = cut_lineage(self.parts.select("m", "terms", "firsts", "times", "starts").mapInArrow(_dictionary(wanted), "m long, term long, df long, most long"), "dictionary")
+        known = self.parts.select("terms", "firsts", "starts").mapInArrow(_frequencies(wanted), "term long, df long")
         weight = F.floor(1000 * F.log((2 * F.lit(self.n) + 2) / (2 * F.sum("df") + 1)))
-        weights = cut_lineage(known.groupBy("term").agg(weight.alias("weight")), "weights")
-        block = Block(rows, {t: 0 for t in wanted.tolist()} | {r.term: r.weight for r in weights.collect()})  # the terms of the block
-        bounds = known.groupBy("m", "term").agg(F.max("most").alias("most")).join(weights, "term")
-        bounds = bounds.withColumn("top", F.col("weight") * _whole(1_000_000_000 * F.col("most"), 1000 * F.col("most") + 8 * F.col("m")))
-        flat = items.select("item", F.explode(F.arrays_zip("terms", "times")).alias("t")).select("item", F.col("t.terms").alias("term"), F.col("t.times").alias("times"))
-        bounds = flat.join(bounds, "term").groupBy("item", "m").agg(F.sum(F.col("top") * F.col("times")).alias("bound")).join(self.strata.select("m", "size"), "m")
-        w = Window.partitionBy("item").orderBy(F.col("bound").desc(), "m")
+        weights = known.groupBy("term").agg(weight.alias("weight")).collect()  # the terms of the block
+        block = Block(rows, {t: 0 for t in wanted.tolist()} | {r.term: r.weight for r in weights})
+        bounds = self.parts.select("m", "part", "docs", "terms", "firsts", "times").mapInArrow(_bounds(block), "item int, m long, part long, size long, bound long")
+        w = Window.partitionBy("item").orderBy(F.col("bound").desc(), "m", "part")
         before = F.coalesce(F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        numbers = F.array_position(F.lit(block.items), F.col("item")) - 1
-        first = bounds.withColumn("before", before).where(F.col("before") < FIRST * k).groupBy("m").agg(F.collect_list(numbers.cast("int")).alias("items"))
+        first = bounds.withColumn("before", before).where(F.col("before") < FIRST * k).groupBy("m", "part").agg(F.collect_list("item").alias("items"))
         columns = ["m", "docs", "terms", "firsts", "times", "starts", "places"]
         none = np.zeros(len(rows), np.int64)
-        tried = self.parts.select(*columns).join(first, "m").mapInArrow(_scored(block, k, none), "item long, doc long, score long")
+        tried = self.parts.select("part", *columns).join(first, ["m", "part"]).mapInArrow(_scored(block, k, none), "item long, doc long, score long")
         reached = {r.item: r.least for r in _best(tried, k).groupBy("item").agg(F.min("score").alias("least"), F.count("*").alias("n")).where(F.col("n") == k).collect()}
         thresholds = np.array([reached.get(i, 0) for i in block.items], np.int64)
         return self.parts.select(*columns).mapInArrow(_scored(block, k, thresholds), "item long, doc long, score long")
