@@ -279,6 +279,7 @@ class Index:
         w = Window.partitionBy("item").orderBy(F.col("bound").desc(), "m", "part")
         before = F.coalesce(F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         first = bounds.withColumn("before", before).where(F.col("before") < FIRST * k).groupBy("m", "part").agg(F.collect_list("item").alias("items"))
+        first = cut_lineage(first.coalesce(1), "first")  # of a known size: the index need not move to meet it
         columns = ["m", "docs", "terms", "firsts", "times", "starts", "places"]
         none = np.zeros(len(rows), np.int64)
         tried = self.parts.select("part", *columns).join(first, ["m", "part"]).mapInArrow(_scored(block, k, none), "item long, doc long, score long")
