@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
 from ratelens.functions.pricing import as_col
 from ratelens.operators.dedup import KEY_COLUMNS, dedup_counts, deduplicate, with_natural_key
 from ratelens.schema import LEGACY_DEFAULTS, RATE_SCHEMA, conform
-from ratelens.sources.observations import RAW_SCHEMA
+from ratelens.sinks import versions
+from ratelens.sources.observations import RAW_SCHEMA, read_months, source_ledger
 
 
 def with_day_partitions(df: DataFrame) -> DataFrame:
@@ -121,12 +123,67 @@ def assert_backfill(df: DataFrame) -> DataFrame:
 
 
 def deduplicate_history(source: DataFrame, target: str) -> DataFrame:
-    """Write the deduplicated history next to the source; report before and after."""
+    """Write the deduplicated history next to the source, to a place that doesn't exist
+    yet; report before and after. To rewrite a history in place see ``rewrite_history``."""
     spark = source.sparkSession
+    if _exists(spark, target):
+        raise RuntimeError(f"Refusing to mix histories: {target} exists")
     with_day_partitions(deduplicate(source)).write.mode("overwrite").option("ignoreNullFields", "false").partitionBy("month", "day").json(target)
     return dedup_counts(source)
 
 
+_REWRITTEN = "month string, path string, rows_before long, rows_after long, records string"
+
+
+def _records(df: DataFrame) -> list[Column]:
+    """Rows and an order-independent fingerprint of whole records."""
+    names = sorted(RATE_SCHEMA.names)
+    record = F.xxhash64(F.to_json(F.struct(*names), {"ignoreNullFields": "false"}))
+    return [F.count("*").alias("rows"), F.coalesce(F.sum(record.cast("decimal(20,0)")).cast("decimal(38,0)").cast("string"), F.lit("0")).alias("records")]
+
+
+def rewrite_history(spark: SparkSession, source: str, root: str, job: str, change: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Rewrite a JSON history month by month by ``change``, and make the result current
+    under ``root`` once all months are done. Returns (month, path, rows_before,
+    rows_after, records).
+
+    Each month is read once, written to a place of its own in day folders, and read back
+    to compare its records with what went in. A finished month leaves a progress note
+    named after the digest of its source files, so a run that follows a broken one goes on
+    with the first month that has none, and months whose files have changed since are
+    done again. ``change`` must not move rows between months."""
+    done = []
+    for m in sorted(source_ledger(spark, source).collect(), key=lambda r: r.month):  # one row a month
+        name = f"{job}/{m.month}-{m.digest[:16]}"
+        note, place = f"{root}/progress/{name}", f"{root}/versions/{name}"
+        if not versions.finished(spark, note):
+            before, after = Observation(uuid.uuid4().hex), Observation(uuid.uuid4().hex)
+            rows = change(read_months(spark, source, [m.month]).observe(before, F.count("*").alias("n")))
+            rows = conform(rows, RATE_SCHEMA)
+            out = with_day_partitions(rows.observe(after, *_records(rows))).drop("month")
+            out.write.mode("overwrite").option("ignoreNullFields", "false").partitionBy("day").json(place)
+            back = conform(spark.read.schema(RAW_SCHEMA).option("recursiveFileLookup", "true").json(place), RATE_SCHEMA)
+            found = back.agg(*_records(back)).first()
+            if (found.rows, found.records) != (after.get["rows"], after.get["records"]):
+                raise RuntimeError(f"Rewrite verification failed: {m.month} has {found}, expected {after.get}")
+            row = (m.month, place, before.get["n"], found.rows, found.records)
+            spark.createDataFrame([row], _REWRITTEN).coalesce(1).write.mode("overwrite").json(note)
+        done.append(note)
+    report = spark.read.schema(_REWRITTEN).json(done) if done else spark.createDataFrame([], _REWRITTEN)
+    versions.commit(spark, root, report)
+    return report
+
+
+def read_rewritten(spark: SparkSession, root: str) -> DataFrame:
+    """The history that the last finished ``rewrite_history`` made current."""
+    now = versions.current(spark, root, _REWRITTEN)
+    paths = [r.path for r in now.collect()] if now is not None else []
+    if not paths:
+        return spark.createDataFrame([], RATE_SCHEMA)
+    # Days are folders of each month's own place, so they are not read as partitions.
+    return conform(spark.read.schema(RAW_SCHEMA).option("recursiveFileLookup", "true").json(paths), RATE_SCHEMA)
+
+
 def split_run(df: DataFrame, run_id: str, strict: bool = True) -> tuple[DataFrame, DataFrame]:
     """(rows of the run, all other rows)."""
     mine = df.where(F.col("run_id") == run_id)
@@ -137,6 +194,6 @@ def split_run(df: DataFrame, run_id: str, strict: bool = True) -> tuple[DataFram
 
 __all__ = [
     "append_observations", "assert_backfill", "backfill_counts", "backfill_legacy", "deduplicate_history",
-    "key_collisions", "multiset_difference", "new_observations", "read_history", "record_digest", "split_run",
+    "key_collisions", "multiset_difference", "new_observations", "read_history", "read_rewritten", "record_digest", "rewrite_history", "split_run",
     "to_daily_partitions", "with_day_partitions",
 ]

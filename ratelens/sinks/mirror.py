@@ -21,7 +21,9 @@ from ratelens.functions.meals import with_breakfast
 from ratelens.functions.pricing import mirror_nightly_adr_twd, stay_nights
 from ratelens.functions.tax import mirror_tax_inclusion
 from ratelens.operators.dedup import KEY_COLUMNS, with_natural_key
-from ratelens.sources.observations import SHARD_PATH, month_of, read_months
+from ratelens.operators.digests import merkle
+from ratelens.sinks import versions
+from ratelens.sources.observations import month_of, read_months, source_ledger
 
 
 def mirror_columns(df: DataFrame) -> DataFrame:
@@ -118,18 +120,6 @@ def verify(source: DataFrame, target: DataFrame) -> None:
         raise ValueError(f"Mirror verification failed: {bad}")
 
 
-def merkle(leaves: DataFrame, by: list[str], leaf: str, levels: tuple[int, ...] = (4, 2, 0)) -> DataFrame:
-    """(by, digest): one digest over the hexadecimal ``leaf`` digests of a group, in any
-    order. Leaves with the same first digits are one node, whose digest is that of its
-    sorted leaves; nodes are joined in the same way by fewer digits, the root by none. So
-    a node holds a small share of a large group."""
-    d = leaves.select(*by, F.col(leaf).alias("node"), F.col(leaf).alias("digest"))
-    for n in levels:
-        joined = F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat("node", F.lit(":"), "digest"))), "\n"), 256)
-        d = d.groupBy(*by, F.substring("node", 1, n).alias("_up")).agg(joined.alias("digest")).withColumnRenamed("_up", "node")
-    return d.select(*by, "digest")
-
-
 def layout(spark: SparkSession, path: str) -> DataFrame:
     """Per file of a version (month, codec, rows, row groups, largest group, rows that
     aren't before their predecessor), read from the file itself in the tasks."""
@@ -195,29 +185,13 @@ MANIFEST = (
 )
 
 
-def _manifests(spark: SparkSession, root: str) -> list[str]:
-    """Manifests in order; one without ``_SUCCESS`` was never finished and counts for
-    nothing."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/manifests")
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return []
-    found = [f.getPath() for f in fs.listStatus(path)]
-    done = [p.getName() for p in found if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-    return sorted(done)
-
-
 def publish(spark: SparkSession, root: str, m: DataFrame) -> str:
     """Make ``m`` the current manifest; a reader sees the old one or all of the new one."""
-    last = _manifests(spark, root)
-    path = f"{root}/manifests/{int(last[-1].split('-')[0]) + 1 if last else 0:010d}-{uuid.uuid4().hex}"
-    m.select(*[c.split()[0] for c in MANIFEST.split(", ")]).coalesce(1).write.json(path)
-    return path
+    return versions.commit(spark, root, m.select(*[c.split()[0] for c in MANIFEST.split(", ")]))
 
 
 def current_manifest(spark: SparkSession, root: str) -> DataFrame | None:
-    done = _manifests(spark, root)
-    return spark.read.schema(MANIFEST).json(f"{root}/manifests/{done[-1]}") if done else None
+    return versions.current(spark, root, MANIFEST)
 
 
 def current_version(spark: SparkSession, root: str) -> Row:
@@ -242,8 +216,7 @@ def _written(source: DataFrame, root: str, digests: DataFrame | None = None, kep
     seen = Observation("mirror-" + uuid.uuid4().hex)
     watched = key_digest(source).observe(seen, *_print()).drop("key_hi", "key_lo")
     path = write_version(mirror_columns(watched), root)
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/month=*")
-    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(folder):
+    if versions.holds_files(spark, f"{path}/month=*"):
         made = manifest(spark, path, digests).collect()  # one row a month
         sums = {c: sum(int(m[c]) for m in made) for c in ("rows", "key_hi", "key_lo")}
         if any(sums[c] != int(seen.get[c]) for c in sums):
@@ -263,17 +236,6 @@ def build_mirror(source: DataFrame, root: str) -> str:
     return _written(source, root)
 
 
-def source_ledger(spark: SparkSession, source_path: str) -> DataFrame:
-    """Per month (month, files, bytes, digest) of a history: which files it has, by path,
-    size and time of change. No file is opened."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json*").load(source_path)
-    name = F.substring_index("path", source_path.rstrip("/") + "/", -1)
-    leaf = F.sha2(F.concat_ws("|", name, F.col("length"), F.unix_millis("modificationTime")), 256)
-    found = files.where(F.col("path").rlike(SHARD_PATH)).select(F.regexp_extract(name, r"(\d{4}-\d{2})", 1).alias("month"), "length", leaf.alias("leaf"))
-    totals = found.groupBy("month").agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
-    return totals.join(merkle(found, ["month"], "leaf"), "month")
-
-
 def months_to_do(ledger: DataFrame, current: DataFrame | None) -> DataFrame:
     """(month, action): ``rebuild`` where the source files are new or changed, ``keep``
     where they are those of the manifest, ``drop`` where the source has none left."""

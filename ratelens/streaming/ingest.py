@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ratelens.operators.dedup import KEY_COLUMNS, with_natural_key
+from ratelens.operators.dedup import KEY_COLUMNS, deduplicate, with_natural_key
+from ratelens.sinks import versions
 from ratelens.sinks.history import append_observations
 
 
@@ -35,3 +36,63 @@ def split_late(df: DataFrame, newest: Column, late: str = "1 day") -> tuple[Data
     """(in time, late) against the newest time seen; late rows take the batch path."""
     limit = newest - F.expr(f"INTERVAL {late}")
     return df.where(F.col("queried_at") >= limit), df.where(F.col("queried_at") < limit)
+
+
+_LATEST = "day string, path string, rows long, newest timestamp, late_rows long, epoch long"
+
+
+def _merged(batch: DataFrame, root: str, epoch: int, late: str) -> None:
+    spark = batch.sparkSession
+    now = versions.current(spark, root, _LATEST)
+    days = {r.day: r for r in now.collect()} if now is not None else {}  # one row a day
+    if any(r.epoch >= epoch for r in days.values()):
+        return  # a replay of what has been committed
+    staged = f"{root}/staged/epoch={epoch}"
+    dated = batch.withColumn("day", F.coalesce(F.date_format("queried_at", "yyyy-MM-dd"), F.lit("undated")))
+    dated.write.mode("overwrite").parquet(staged)
+    fresh = spark.read.schema(dated.schema).parquet(staged)
+    mark = max((r.newest for r in days.values() if r.newest is not None), default=None)
+    limit = F.lit(mark).cast("timestamp") - F.expr(f"INTERVAL {late}")
+    came = fresh.groupBy("day").agg(F.max("queried_at").alias("newest"), F.count_if(F.coalesce(F.col("queried_at") < limit, F.lit(False))).alias("late_rows"))
+    came = {r.day: r for r in came.collect()}
+    if not came:
+        return
+    touched = [days[d].path for d in came if d in days]
+    rows = fresh
+    if touched:
+        old = spark.read.schema(batch.schema).option("basePath", f"{root}/versions").parquet(*touched)
+        rows = old.select(*batch.columns).withColumn("day", F.coalesce(F.date_format("queried_at", "yyyy-MM-dd"), F.lit("undated"))).unionByName(fresh)
+    path = f"{root}/versions/epoch={epoch}"
+    deduplicate(rows).hint("rebalance", "day").write.mode("overwrite").partitionBy("day").parquet(path)
+    sizes = {r.day: r.n for r in spark.read.parquet(path).groupBy(F.col("day").cast("string").alias("day")).agg(F.count("*").alias("n")).collect()}
+    for d, r in came.items():
+        newest = max((x for x in (r.newest, days[d].newest if d in days else None) if x is not None), default=None)
+        days[d] = (d, f"{path}/day={d}", sizes[d], newest, r.late_rows + (days[d].late_rows if d in days else 0), epoch)
+    versions.commit(spark, root, spark.createDataFrame([tuple(r) for r in days.values()], _LATEST))
+
+
+def start_latest(stream: DataFrame, root: str, checkpoint: str, late: str = "1 day", **trigger) -> StreamingQuery:
+    """Keep the newest row of every natural key, in whatever order rows arrive.
+
+    A commit remembers the newest time seen so far. Rows more than ``late`` behind it,
+    which a watermark would drop, take the way of the batch job with the others: the days
+    that a micro-batch touches are merged with their stored rows and written anew, all
+    other days stay where they are. How many of a day's rows were late is kept."""
+    return (
+        stream.writeStream.foreachBatch(lambda batch, epoch: _merged(batch, root, epoch, late))
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )
+
+
+def latest_days(spark: SparkSession, root: str) -> DataFrame:
+    """Per day: rows, newest time, late rows and the micro-batch that wrote it."""
+    now = versions.current(spark, root, _LATEST)
+    return spark.createDataFrame([], _LATEST) if now is None else now
+
+
+def read_latest(spark: SparkSession, root: str, like: DataFrame) -> DataFrame:
+    """The rows that ``start_latest`` keeps, with the columns of ``like``."""
+    paths = [r.path for r in latest_days(spark, root).collect()]
+    return spark.read.schema(like.schema).parquet(*paths) if paths else spark.createDataFrame([], like.schema)

@@ -14,11 +14,12 @@ from ratelens.operators import health
 from ratelens.operators.dedup import KEY_COLUMNS, with_natural_key
 from ratelens.session import shared_folder
 from ratelens.streaming.health import daily_health_stream, health_stream
-from ratelens.streaming.ingest import deduplicated_stream, split_late
-from ratelens.streaming.market import collection_sessions, windowed_market
+from ratelens.streaming.ingest import deduplicated_stream, latest_days, read_latest, split_late, start_latest
+from ratelens.streaming.market import collection_sessions, session_stream, windowed_market
+from ratelens.streaming.medians import median_stream
 from registered.batches import _KEYED
 from registered.book import day, query, r, ts
-from registered.view import SQL_PRICED, observations, sql, table
+from registered.view import SQL_PRICED, observations, rates, sql, table
 
 
 def shape_attempts(events: DataFrame) -> DataFrame:
@@ -113,20 +114,62 @@ def observation_stream(spark: SparkSession, sf: str) -> DataFrame:
     return spark.readStream.schema(mirror.schema).parquet(path)
 
 
-@query("STR2_health_state_stream", _A + _STATE.format(extra=""))
-def str2s(spark, sf):
+def rocksdb(spark: SparkSession, job):
+    """Run ``job`` with the state store that keyed state needs."""
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key)
     spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        out = drain(spark, health_stream(shape_attempts(event_stream(spark, sf))), "update")
+        return job()
     finally:
         spark.conf.set(key, before)
+
+
+def in_batches(spark: SparkSession, parts: list[DataFrame], start) -> str:
+    """Let a stream meet ``parts`` one after another, each as one micro-batch.
+    ``start(stream, base)`` begins a query that goes on from its checkpoint."""
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    for part in parts:
+        part.write.mode("append").parquet(f"{base}/in")
+        start(spark.readStream.schema(part.schema).parquet(f"{base}/in"), base).awaitTermination()
+    return base
+
+
+def newest_output(spark: SparkSession, parts: list[DataFrame], build, keys: list[str]) -> DataFrame:
+    """The last row that an updating stream wrote for each key, over all ``parts``."""
+
+    def start(stream, base):
+        def write(batch: DataFrame, epoch: int) -> None:
+            batch.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{base}/out/batch={epoch}")
+
+        return build(stream).writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+
+    out = spark.read.parquet(f"{in_batches(spark, parts, start)}/out")
+    rest = [c for c in out.columns if c not in (*keys, "epoch", "batch")]
+    return out.groupBy(*keys).agg(F.max_by(F.struct(*rest), "epoch").alias("s")).select(*keys, "s.*")
+
+
+@query("STR2_health_state_stream", _A + _STATE.format(extra=""))
+def str2s(spark, sf):
+    out = rocksdb(spark, lambda: drain(spark, health_stream(shape_attempts(event_stream(spark, sf))), "update"))
     # The newest state of a pair wins.
     last = out.groupBy("hotel_id").agg(F.max_by(F.struct(*[c for c in out.columns if c != "hotel_id"]), "epoch").alias("s")).select("hotel_id", "s.*")
     return last.select(*_STATE_COLS, *[ts(c).alias(c) for c in _STATE_TIMES])
 
 
+@query("STR2_hot_pair_in_batches", _A.replace("CAST(user_id AS VARCHAR) AS hotel_id", "CASE WHEN user_id % 3 = 0 THEN 'hot' ELSE CAST(user_id AS VARCHAR) END AS hotel_id") + _STATE.format(extra=""))
+def str2h(spark, sf):
+    """One pair holds a third of all attempts; four micro-batches in time order."""
+    events = table(spark, sf, "events")
+    a = shape_attempts(events).withColumn("hotel_id", F.when(F.col("hotel_id").cast("long") % 3 == 0, F.lit("hot")).otherwise(F.col("hotel_id")))
+    first, last = a.agg(F.min("ts"), F.max("ts")).first()
+    cuts = [first + (last - first) * i / 4 for i in range(1, 4)]
+    quarter = sum((F.col("ts") > F.lit(c)).cast("int") for c in cuts)
+    parts = [a.where(quarter == i) for i in range(4)]
+    out = rocksdb(spark, lambda: newest_output(spark, parts, health_stream, ["adapter", "hotel_id"]))
+    return out.select(*_STATE_COLS, *[ts(c).alias(c) for c in _STATE_TIMES])
+
+
 @query("STR3_daily_health_stream", _A + """
 SELECT hotel_id, strftime(ts, '%Y-%m-%d') AS day, CAST(count(*) AS BIGINT) AS attempts, CAST(count_if(NOT bad AND NOT empty) AS BIGINT) AS successes, CAST(count_if(bad) AS BIGINT) AS failures,
   CAST(count_if(blocked) AS BIGINT) AS blocked_count FROM a GROUP BY ALL""")
@@ -152,6 +195,17 @@ def str4(spark, sf):
     return last.select(day("window_start").alias("day"), "hotel_id", "s.observations", r("s.low", 4).alias("low"), r("s.high", 4).alias("high"))
 
 
+@query("STR4_median_stream", sql("""
+SELECT strftime(day, '%Y-%m-%d') AS day, hotel_id, CAST(count(*) AS BIGINT) AS observations, round(median(nightly), 4) AS median_twd FROM official GROUP BY ALL""", SQL_PRICED))
+def str4m(spark, sf):
+    """Four micro-batches that each touch every day and hotel."""
+    d = observations(spark, sf)
+    part = F.pmod(F.xxhash64("observation_id"), F.lit(4))
+    parts = [d.where(part == i) for i in range(4)]
+    out = rocksdb(spark, lambda: newest_output(spark, parts, lambda s: median_stream(s, late="90 days"), ["hotel_id", "window_start"]))
+    return out.select(day("window_start").alias("day"), "hotel_id", "observations", r("median_twd", 4).alias("median_twd"))
+
+
 @query("STR4_sliding_week", sql("""
 , w AS (SELECT hotel_id, nightly, unnest(generate_series(day - INTERVAL 6 DAY, CAST(day AS TIMESTAMP), INTERVAL 1 DAY)) AS ws FROM official)
 SELECT strftime(ws, '%Y-%m-%d') AS window_start, hotel_id, CAST(count(*) AS BIGINT) AS observations, round(min(nightly), 4) AS low, round(max(nightly), 4) AS high FROM w GROUP BY ALL""", SQL_PRICED))
@@ -173,6 +227,46 @@ def str5(spark, sf):
     return collection_sessions(d, "12 hours").select("source_platform", "hotel_id", ts("session_start").alias("session_start"), "observations")
 
 
+@query("STR5_session_stream", """
+WITH e AS (SELECT CAST(user_id % 3 AS VARCHAR) AS hotel_id, 'web' AS source_platform, ts FROM events),
+f AS (SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS start FROM e WINDOW w AS (PARTITION BY hotel_id ORDER BY ts)),
+g AS (SELECT *, sum(start) OVER (PARTITION BY hotel_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM f)
+SELECT hotel_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS session_start, strftime(max(ts) + INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M:%S') AS session_end, CAST(count(*) AS BIGINT) AS observations
+FROM g GROUP BY hotel_id, s""")
+def str5s(spark, sf):
+    """Three micro-batches of interleaved rows, and a last one that ends all sessions."""
+    d = table(spark, sf, "events").select(
+        (F.col("user_id") % 3).cast("string").alias("hotel_id"), F.lit("web").alias("source_platform"), F.col("ts").cast("timestamp").alias("queried_at"),
+        F.lit(None).cast("string").alias("run_id"), "event_id",
+    )
+    end = d.agg(F.max("queried_at").alias("t")).select(F.lit("end").alias("hotel_id"), F.lit("web").alias("source_platform"), (F.col("t") + F.expr("INTERVAL 400 DAYS")).alias("queried_at"), F.lit(None).cast("string").alias("run_id"), F.lit(-1).cast("long").alias("event_id"))
+    parts = [d.where(F.col("event_id") % 3 == i).withColumn("event_id", F.col("event_id").cast("long")) for i in range(3)]
+
+    def start(stream, base):
+        return session_stream(stream, "30 minutes", late="300 days").writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").outputMode("append").trigger(availableNow=True).start()
+
+    out = spark.read.parquet(f"{in_batches(spark, [*parts, end], start)}/out")
+    return out.where("hotel_id <> 'end'").select("hotel_id", ts("session_start").alias("session_start"), ts("session_end").alias("session_end"), "observations")
+
+
+@query("STR6_late_stream", sql("""
+, m AS (SELECT max(queried_at) AS mark FROM rates WHERE lead_days <> 7),
+k2 AS (SELECT *, row_number() OVER (PARTITION BY natural_key ORDER BY queried_at DESC, observation_id DESC, total_price DESC) AS rn FROM k),
+m2 AS (SELECT max(queried_at) AS mark FROM rates WHERE lead_days > 30 OR observation_id = (SELECT observation_id FROM rates WHERE lead_days <> 7 ORDER BY queried_at DESC, observation_id LIMIT 1)),
+late AS (SELECT strftime(queried_at, '%Y-%m-%d') AS day, count_if(lead_days < 60 AND queried_at < CASE WHEN lead_days = 7 THEN m.mark ELSE m2.mark END - INTERVAL 1 DAY) AS n FROM rates, m, m2 GROUP BY 1)
+SELECT observation_id, strftime(queried_at, '%Y-%m-%d %H:%M:%S') AS queried_at, CAST(n AS BIGINT) AS late_rows_of_day FROM k2 JOIN late ON day = strftime(queried_at, '%Y-%m-%d') WHERE rn = 1""", _KEYED))
+def str6s(spark, sf):
+    """The newest time comes first; most rows of the later micro-batches are late for it."""
+    d = rates(spark, sf)
+    parts = [d.where("lead_days > 30"), d.where("lead_days in (1, 14, 30)"), d.where("lead_days = 7")]
+    newest = d.where("lead_days <> 7").orderBy(F.col("queried_at").desc(), "observation_id").limit(1)
+    parts[0] = parts[0].unionByName(newest)  # again among its own part: the same natural key
+    base = in_batches(spark, parts, lambda stream, base: start_latest(stream, f"{base}/latest", f"{base}/state"))
+    days = latest_days(spark, f"{base}/latest").select("day", F.col("late_rows").alias("late_rows_of_day"))
+    rows = read_latest(spark, f"{base}/latest", d).select("observation_id", ts("queried_at").alias("queried_at"), day("queried_at").alias("day"))
+    return rows.join(days, "day").drop("day")
+
+
 @query("STR6_late_rows", sql("""
 SELECT queried_at < (SELECT max(queried_at) FROM rates) - INTERVAL 1 DAY AS late, CAST(count(*) AS BIGINT) AS rows FROM rates GROUP BY 1"""))
 def str6(spark, sf):

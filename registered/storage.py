@@ -11,6 +11,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ratelens.operators import quality
+from ratelens.operators.dedup import deduplicate
 from ratelens.operators.parity import with_comparison
 from ratelens.schema import conform
 from ratelens.session import shared_folder
@@ -408,6 +409,37 @@ def snk12(spark, sf):
     return src.read_observations(spark, path).groupBy(day("queried_at").alias("day")).agg(F.count("*").alias("rows"))
 
 
+def _history_of_months(spark, sf) -> str:
+    """The moved view as a JSON history of three months, written once per application."""
+    key = (spark.sparkContext.applicationId, sf + "#months")
+    if key not in _written:
+        path = fresh_path(spark, "months")
+        d = history.with_day_partitions(_moved(spark, sf).select(*raw_rates(spark, sf).columns))
+        d.write.option("ignoreNullFields", "false").partitionBy("month", "day").json(path)
+        _written[key] = path
+    return _written[key]
+
+
+@query("SNK12_rewrite_by_month", sql("""
+SELECT month, strftime(queried_at, '%Y-%m-%d') AS day, CAST(count(*) AS BIGINT) AS rows, CAST(count(DISTINCT observation_id) AS BIGINT) AS observations FROM mk GROUP BY ALL""", _MOVED))
+def snk12b(spark, sf):
+    root = fresh_path(spark, "rewritten")
+    history.rewrite_history(spark, _history_of_months(spark, sf), root, "daily", lambda d: d)
+    d = history.read_rewritten(spark, root)
+    return d.groupBy(F.date_format("queried_at", "yyyy-MM").alias("month"), day("queried_at").alias("day")).agg(F.count("*").alias("rows"), F.countDistinct("observation_id").alias("observations"))
+
+
+@query("SNK14_deduplicated_history", sql("""
+, best AS (SELECT *, row_number() OVER (PARTITION BY natural_key ORDER BY queried_at DESC, observation_id DESC, total_price DESC) AS rn FROM mk),
+n AS (SELECT month, count(*) AS rows_before, count(DISTINCT natural_key) AS rows_after FROM mk GROUP BY 1)
+SELECT best.month, observation_id, CAST(rows_before AS BIGINT) AS rows_before, CAST(rows_after AS BIGINT) AS rows_after FROM best JOIN n USING (month) WHERE rn = 1""", _MOVED))
+def snk14b(spark, sf):
+    root = fresh_path(spark, "deduplicated")
+    report = history.rewrite_history(spark, _history_of_months(spark, sf), root, "latest", deduplicate)
+    d = history.read_rewritten(spark, root).select(F.date_format("queried_at", "yyyy-MM").alias("month"), "observation_id")
+    return d.join(report.select("month", "rows_before", "rows_after"), "month")
+
+
 @query("U3_multiset_difference", sql("SELECT CAST(count(*) AS BIGINT) AS digests, CAST(-count(*) AS BIGINT) AS surplus FROM rates WHERE lead_days = 7"))
 def u3(spark, sf):
     d = rates(spark, sf)
