@@ -5,6 +5,7 @@ import json
 import os
 import random
 import shutil
+import statistics
 from datetime import datetime, timedelta
 
 import pytest
@@ -18,8 +19,10 @@ from ratelens.sources import observations as src
 from ratelens.sources.payloads import availability_observations
 from ratelens.sources.snapshots import validate_snapshots
 from ratelens.streaming.health import health_stream
-from ratelens.streaming.ingest import start_ingest
-from ratelens.streaming.market import start_rollups
+from ratelens.streaming import ingest
+from ratelens.streaming.ingest import latest_days, read_latest, start_ingest, start_latest
+from ratelens.streaming.market import collection_sessions, start_rollups
+from ratelens.streaming.medians import median_stream
 
 
 def write_shards(root, shards):
@@ -394,3 +397,79 @@ def test_manifest_gate(spark, make, tmp_path):
         quality.assert_manifest(rows.where("hotel_id <> 'h2'"), m)
     with pytest.raises(ValueError, match="2026-09: manifest=0, parquet=1"):
         quality.assert_manifest(rows, m.where("month <> '2026-09'"))
+
+
+def test_rewrite_goes_on_where_it_stopped(spark, make, tmp_path):
+    source, root = tmp_path / "history", str(tmp_path / "w")
+    d = make(*({"queried_at": f"2026-{m}-08T0{i}:00:00Z", "hotel_id": f"h{i % 2}"} for m in ("09", "10", "11") for i in range(4)))
+    history.with_day_partitions(d).write.option("ignoreNullFields", "false").partitionBy("month", "day").json(str(source))
+    seen = []
+
+    def broken(rows):
+        seen.append(len(seen))
+        if len(seen) == 2:
+            raise RuntimeError("driver lost")
+        return history.deduplicate(rows)
+
+    with pytest.raises(RuntimeError, match="driver lost"):
+        history.rewrite_history(spark, str(source), root, "latest", broken)
+    assert history.read_rewritten(spark, root).count() == 0  # nothing is current yet
+    first = _month_files(source, "2026-09")[0]
+    stat, size = first.stat(), len(first.read_bytes())
+    first.write_bytes(b"x" * size)  # the finished month isn't opened again
+    os.utime(first, ns=(stat.st_atime_ns, stat.st_mtime_ns))
+    report = history.rewrite_history(spark, str(source), root, "latest", broken)
+    assert [(r.month, r.rows_before, r.rows_after) for r in report.orderBy("month").collect()] == [(m, 4, 2) for m in ("2026-09", "2026-10", "2026-11")]
+    assert len(seen) == 4
+    back = history.read_rewritten(spark, root)
+    assert sorted(str(r.queried_at) for r in back.collect()) == sorted(f"2026-{m}-08 0{i}:00:00" for m in ("09", "10", "11") for i in (2, 3))
+    with pytest.raises(RuntimeError, match="Refusing"):
+        history.deduplicate_history(back, str(source))
+
+
+def test_sessions_across_hours(spark, make):
+    times = ["00:10", "00:40", "00:59", "01:00", "01:31", "02:01", "03:00", "03:00", "05:00"]
+    d = make(*({"queried_at": f"2026-10-08T{t}:00Z", "run_id": None, "hotel_id": "h"} for t in times), {"run_id": "r"})
+    got = [(str(r.session_start)[11:16], str(r.session_end)[11:16], r.observations) for r in collection_sessions(d).orderBy("session_start").collect()]
+    assert got == [("00:10", "01:30", 4), ("01:31", "02:31", 2), ("03:00", "03:30", 2), ("05:00", "05:30", 1)]
+    native = d.where("run_id is null").groupBy(F.session_window("queried_at", "30 minutes")).count().orderBy("session_window")
+    assert [(str(r.session_window.start)[11:16], str(r.session_window.end)[11:16], r["count"]) for r in native.collect()] == got
+
+
+def test_median_stream_over_micro_batches(spark, make, tmp_path):
+    rng = random.Random(12)
+    rows = [{"queried_at": f"2026-10-{8 + i % 2:02d}T0{i % 7}:00:00Z", "hotel_id": f"h{i % 5 // 2}", "total_price": rng.choice([5000, 7000.5, 7000.75, rng.randrange(4000, 90000)])} for i in range(90)]
+    d = make(*rows, price=True)
+    key = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    got = []
+    for part in range(3):
+        d.where(F.pmod(F.xxhash64("observation_id"), F.lit(3)) == part).write.mode("append").parquet(str(tmp_path / "in"))
+        out = median_stream(spark.readStream.schema(d.schema).parquet(str(tmp_path / "in")), late="5 days")
+        out.writeStream.foreachBatch(lambda b, e: got.extend(b.collect())).outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    last = {(r.hotel_id, str(r.window_start)[:10]): (r.observations, r.median_twd) for r in got}
+    prices = {}
+    for r in d.collect():
+        prices.setdefault((r.hotel_id, str(r.queried_at)[:10]), []).append(float(r.nightly_adr_twd))
+    assert last == {k: (len(v), pytest.approx(statistics.median(v))) for k, v in prices.items()}
+
+
+def test_late_rows_are_merged(spark, make, tmp_path):
+    """A newest row, then older versions and newer ones of old days; a replay changes nothing."""
+    base = {"hotel_id": "h", "rate_plan_code": "p"}
+    parts = [
+        [{**base, "queried_at": "2026-10-08T05:00:00Z"}, {**base, "queried_at": "2026-10-01T05:00:00Z"}],
+        [{**base, "queried_at": "2026-10-01T09:00:00Z"}, {**base, "queried_at": "2026-10-08T01:00:00Z"}],
+        [{**base, "queried_at": "2026-10-01T07:00:00Z"}, {**base, "queried_at": "2026-10-09T00:00:00Z"}],
+    ]
+    frames = [make(*p) for p in parts]
+    for d in frames:
+        d.write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(d.schema).parquet(str(tmp_path / "in"))
+        start_latest(stream, str(tmp_path / "latest"), str(tmp_path / "cp")).awaitTermination()
+    rows = read_latest(spark, str(tmp_path / "latest"), frames[0])
+    assert sorted(str(r.queried_at) for r in rows.collect()) == ["2026-10-01 09:00:00", "2026-10-08 05:00:00", "2026-10-09 00:00:00"]
+    days = {r.day: (r.rows, r.late_rows, r.epoch) for r in latest_days(spark, str(tmp_path / "latest")).collect()}
+    assert days == {"2026-10-01": (1, 2, 2), "2026-10-08": (1, 0, 1), "2026-10-09": (1, 0, 2)}
+    ingest._merged(frames[2], str(tmp_path / "latest"), 2, "1 day")
+    assert {r.day: r.rows for r in latest_days(spark, str(tmp_path / "latest")).collect()} == {d: n for d, (n, _, _) in days.items()}
