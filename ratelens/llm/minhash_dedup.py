@@ -9,13 +9,18 @@ Steps: (1) equal shingle sets become one class, represented by its smallest id;
 (2) in every bucket of a band each class is tried against the bucket's leader, the member
 that shares most buckets with others, which is the text that copies were made from if
 they were made from one; the links that hold join components; (3) of what shares a bucket and is still in
-different components, each pair is tried once. So a group of thousands of near copies
+different components, each pair that may be near is tried once. So a group of thousands of near copies
 costs one test for each copy and bucket at most, no link between different texts is
 lost that the bands can show, and pairs inside a component are never made. A pair at the
 threshold of 0.8 escapes all bands with a probability of 3e-6. Before a pair is tested on
 its full sets, sizes and one bit of each of 128 coordinates must agree well enough, and
 in step 3 one byte of each of all 512, of which the bands use the first 160; a pair at
-the threshold fails these with probabilities of 2e-11 and 4e-6.
+the threshold fails these with probabilities of 2e-11 and 4e-6. A last filter loses
+nothing: every set is also a bitmap of ``MAP_BITS``, and two sets have no more shingles
+in common than their bitmaps have bits, and the one with fewer such shingles that found
+their bit taken. Copies of one text that are almost, but not quite near each other, of
+which a group may hold as many pairs as it likes, are told apart by it before a pair is
+made of them.
 """
 
 from __future__ import annotations
@@ -33,9 +38,9 @@ from ratelens.llm.textblocks import U64, as_long, blocks, mix, text_buffer, word
 from ratelens.session import cut_lineage
 
 BANDS, ROWS, HASHES = 32, 5, 512
-SKETCH, MOST_BITS = 128, 42
+SKETCH, MOST_BITS, MAP_BITS = 128, 42, 4096
 _WEIGHTS = mix(np.arange(1, 65, dtype=U64)) | U64(1)
-_SIGNATURE = "doc long, size long, f0 long, f1 long, s0 long, s1 long, bytes array<long>, bands array<long>"
+_SIGNATURE = "doc long, size long, f0 long, f1 long, s0 long, s1 long, bytes array<long>, bands array<long>, taken long, map array<long>"
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
@@ -102,11 +107,15 @@ def _signed(k: int):
                 low = np.zeros((len(sets), HASHES), np.uint8)
                 low[full] = mix(sig) & U64(255)
                 low = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * (HASHES // 8), pa.int32()), pa.array(low.view(np.int64).ravel()))
+                bits = np.zeros((len(sets), MAP_BITS), bool)
+                bits[np.repeat(np.arange(len(sets)), [len(s) for s in sets]), (np.concatenate(sets) & U64(MAP_BITS - 1)).astype(np.int64)] = True
+                taken = np.array([len(s) for s in sets]) - bits.sum(axis=1)
+                bits = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * (MAP_BITS // 64), pa.int32()), pa.array(np.packbits(bits, axis=1).view(np.int64).ravel()))
                 ends = np.zeros(len(sets) + 1, np.int32)
                 ends[np.array(full, np.int64) + 1] = BANDS
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc").slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), as_long(prints[:, 0]), as_long(prints[:, 1]), as_long(sketch[:, 0]), as_long(sketch[:, 1]), low, pa.ListArray.from_arrays(pa.array(np.cumsum(ends), pa.int32()), as_long(bands.ravel()))],
-                    ["doc", "size", "f0", "f1", "s0", "s1", "bytes", "bands"],
+                    [batch.column("doc").slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), as_long(prints[:, 0]), as_long(prints[:, 1]), as_long(sketch[:, 0]), as_long(sketch[:, 1]), low, pa.ListArray.from_arrays(pa.array(np.cumsum(ends), pa.int32()), as_long(bands.ravel())), pa.array(taken, pa.int64()), bits],
+                    ["doc", "size", "f0", "f1", "s0", "s1", "bytes", "bands", "taken", "map"],
                 )
 
     return job
@@ -136,6 +145,13 @@ def _agreeing(x: str, y: str) -> Column:
     return HASHES - F.aggregate(F.zip_with(x, y, differing), F.lit(0), lambda t, n: t + n)
 
 
+def _may_share(percent: int) -> Column:
+    """Whether the most that the sets of a and b can have in common is enough."""
+    common = [F.bit_count(F.get("a_map", F.lit(i)).bitwiseAND(F.get("b_map", F.lit(i)))) for i in range(MAP_BITS // 64)]
+    most = sum(common[1:], common[0]) + F.least("a_taken", "b_taken")
+    return 100 * most >= percent * (F.col("a_size") + F.col("b_size") - most)
+
+
 def _tested(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets overlap enough."""
     pairs = cut_lineage(pairs, "pairs")
@@ -167,7 +183,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
     classes = cut_lineage(full.groupBy("f0", "f1").agg(F.min("doc").alias("rep")), "classes")
     reps = full.join(classes.withColumnRenamed("rep", "doc"), ["f0", "f1", "doc"]).dropDuplicates(["doc"])
-    reps = cut_lineage(reps.select("doc", "size", "s0", "s1", "bytes", "bands"), "representatives")
+    reps = cut_lineage(reps.select("doc", "size", "s0", "s1", "bytes", "bands", "taken", "map"), "representatives")
     buckets = reps.select("doc", F.explode("bands").alias("band"))
     shared = cut_lineage(buckets.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
     members = cut_lineage(buckets.join(shared, "band"), "members")
@@ -177,27 +193,26 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     leaders = cut_lineage(members.groupBy("band").agg(F.max_by("doc", F.struct("popularity", -F.col("doc"))).alias("leader")), "leaders")
     shared_members = cut_lineage(members.select("band", "doc").join(leaders, "band"), "led")
 
-    outline = reps.select("doc", "size", "s0", "s1")
-    left, right = outline.toDF("a", "a_size", "a0", "a1"), outline.toDF("b", "b_size", "b0", "b1")
+    outline = reps.select("doc", "size", "s0", "s1", "taken", "map")
+    left, right = outline.toDF("a", "a_size", "a0", "a1", "a_taken", "a_map"), outline.toDF("b", "b_size", "b0", "b1", "b_taken", "b_map")
     near = (F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))) + F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))) <= MOST_BITS) & (
         100 * F.least("a_size", "b_size") >= percent * F.greatest("a_size", "b_size")
     )
     first = shared_members.where("doc != leader").select(F.least("leader", "doc").alias("a"), F.greatest("leader", "doc").alias("b")).distinct()
-    first = cut_lineage(first.join(left, "a").join(right, "b").where(near).select("a", "b"), "first-pairs")
+    first = cut_lineage(first.join(left, "a").join(right, "b").where(near & _may_share(percent)).select("a", "b"), "first-pairs")
     links = cut_lineage(_tested(first, texts, k, percent), "tested")
 
     joined = cut_lineage(components(links), "joined")
     placed = shared_members.join(joined.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     placed = cut_lineage(placed, "placed")
     mixed = placed.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("band")
-    open_ = cut_lineage(placed.join(mixed, "band").join(reps, "doc").select("band", "component", "doc", "size", "s0", "s1", "bytes", "bands"), "open")
+    open_ = cut_lineage(placed.join(mixed, "band").join(reps, "doc").select("band", "component", "doc", "size", "s0", "s1", "bytes", "taken", "map"), "open")
     p = percent / 100
     enough = int(HASHES * p - 4.5 * math.sqrt(HASHES * p * (1 - p)))
-    x = open_.toDF("band", "a_component", "a", "a_size", "a0", "a1", "x", "x_bands")
-    y = open_.toDF("band", "b_component", "b", "b_size", "b0", "b1", "y", "y_bands")
-    once = F.array_min(F.array_intersect("x_bands", "y_bands")) == F.col("band")  # in one of the buckets that a pair shares
-    rest = x.join(y, "band").where((F.col("a") < F.col("b")) & (F.col("a_component") != F.col("b_component")) & near & once & (_agreeing("x", "y") >= enough))
-    links = links.unionByName(_tested(rest.select("a", "b").join(first, ["a", "b"], "left_anti"), texts, k, percent))
+    x = open_.toDF("band", "a_component", "a", "a_size", "a0", "a1", "x", "a_taken", "a_map")
+    y = open_.toDF("band", "b_component", "b", "b_size", "b0", "b1", "y", "b_taken", "b_map")
+    rest = x.join(y, "band").where((F.col("a") < F.col("b")) & (F.col("a_component") != F.col("b_component")) & near & _may_share(percent) & (_agreeing("x", "y") >= enough))
+    links = links.unionByName(_tested(rest.select("a", "b").distinct().join(first, ["a", "b"], "left_anti"), texts, k, percent))
     joined = cut_lineage(components(links), "joined").withColumnRenamed("node", "rep")
 
     found = classes.join(joined, "rep", "left").select("f0", "f1", F.coalesce("component", "rep").alias("component_id"))
