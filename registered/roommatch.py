@@ -153,6 +153,28 @@ def dq13b(spark, sf):
     return rooms.evidence_quality(p).select("kind", "problems")
 
 
+@query("DQ13_evidence_with_defects", sql("""
+SELECT 'source-code conflicts' AS kind, (SELECT CAST(count(*) AS BIGINT) FROM (SELECT 1 FROM dims WHERE coded AND length(name) % 2 = 1 GROUP BY hotel_id, code HAVING count(DISTINCT stable_id) > 1)) AS problems
+UNION ALL SELECT 'matchable-label conflicts', (SELECT CAST(count(*) AS BIGINT) FROM (SELECT 1 FROM dims GROUP BY hotel_id, length(name) % 3 HAVING count(DISTINCT stable_id) > 1))
+UNION ALL SELECT 'incomplete code-only aliases', (SELECT CAST(count(*) AS BIGINT) FROM dims WHERE coded AND length(name) % 2 = 0)""", *_BASE))
+def dq13d(spark, sf):
+    """Rooms share labels, and every second code-only alias has lost its source."""
+    no = F.lit(None).cast("string")
+
+    def spoiled(room):
+        n = F.length(room["name_en"])
+        shared = F.struct(
+            F.concat(F.lit("Shared "), n % 3).alias("label"), no.alias("language"), no.alias("source_type"), no.alias("source_platform"), no.alias("room_type_code"),
+            F.lit("https://example.test/rooms").alias("source_url"), F.lit("2026-09-01").alias("observed_at"), F.lit(True).alias("label_match"),
+        )
+        own = F.transform(room["aliases"], lambda a: a.withField("source_url", F.when(n % 2 == 0, F.lit("")).otherwise(a["source_url"])))
+        return room.withField("aliases", F.concat(own, F.array(shared)))
+
+    rooms_of = F.transform("room_snapshot.rooms", spoiled)
+    p = profiles(spark, sf).withColumn("room_snapshot", F.col("room_snapshot").withField("rooms", rooms_of))
+    return rooms.evidence_quality(p).select("kind", "problems")
+
+
 @query("DQ14_alias_evidence", sql("""
 , a AS (SELECT hotel_id, name, CASE length(name) % 5 WHEN 0 THEN 'http://plain.test' ELSE 'https://ok.test' END AS url,
           CASE length(name) % 3 WHEN 0 THEN '2026-09' ELSE '2026-09-01' END AS observed, length(name) % 2 = 0 AS code_only FROM seen)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from ratelens.operators import quality
 from ratelens.operators.dedup import deduplicate
@@ -322,6 +322,18 @@ def snk6(spark, sf):
     return d.groupBy(F.col("month").cast("string").alias("month"), "hotel_id").agg(F.count("*").alias("rows"))
 
 
+@query("SNK6_newest_first", sql("""
+SELECT strftime(queried_at, '%Y-%m') AS month, hotel_id, CAST(count(*) AS BIGINT) AS rows, CAST(count(*) AS BIGINT) AS rows_in_order FROM published GROUP BY ALL""", SQL_PRICED, SQL_DEDUP))
+def snk6b(spark, sf):
+    """Lines that are not newer than the line before them in their file."""
+    path = fresh_path(spark, "ordered-details")
+    publish.write_details(publish.dashboard_rows(published(spark, sf)), path)
+    lines = spark.read.schema("value string, month string, hotel_id string").text(path)
+    lines = lines.select("month", "hotel_id", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line"), F.get_json_object("value", "$.queried_at").alias("at"))
+    before = F.lag("at").over(Window.partitionBy("file").orderBy("line"))
+    return lines.withColumn("kept", F.coalesce(F.col("at") <= before, F.lit(True))).groupBy("month", "hotel_id").agg(F.count("*").alias("rows"), F.count_if("kept").alias("rows_in_order"))
+
+
 @query("SNK7_bounded_shards", sql("""
 SELECT hotel_id, strftime(day, '%Y-%m-%d') AS day, CAST(count(*) AS BIGINT) AS observations, true AS bounded FROM published GROUP BY ALL""", SQL_PRICED, SQL_DEDUP))
 def snk7(spark, sf):
