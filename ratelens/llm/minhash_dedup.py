@@ -13,9 +13,8 @@ different components, each pair that may be near is tried once. So a group of th
 costs one test for each copy and bucket at most, no link between different texts is
 lost that the bands can show, and pairs inside a component are never made. A pair at the
 threshold of 0.8 escapes all bands with a probability of 3e-6. Before a pair is tested on
-its full sets, sizes and one bit of each of 128 coordinates must agree well enough, and
-in step 3 one byte of each of all 512, of which the bands use the first 160; a pair at
-the threshold fails these with probabilities of 2e-11 and 4e-6. A last filter loses
+its full sets, sizes and one bit of each of 128 coordinates must agree well enough, which
+a pair at the threshold fails with a probability of 2e-11. The last filter loses
 nothing: every set is also a bitmap of ``MAP_BITS``, and two sets have no more shingles
 in common than their bitmaps have bits, and the one with fewer such shingles that found
 their bit taken. Copies of one text that are almost, but not quite near each other, of
@@ -26,7 +25,6 @@ made of them.
 from __future__ import annotations
 
 import hashlib
-import math
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +35,10 @@ from ratelens.llm.tables import keyed
 from ratelens.llm.textblocks import U64, as_long, blocks, mix, text_buffer, words
 from ratelens.session import cut_lineage
 
-BANDS, ROWS, HASHES = 32, 5, 512
+BANDS, ROWS, HASHES = 32, 5, 160
 SKETCH, MOST_BITS, MAP_BITS = 128, 42, 4096
 _WEIGHTS = mix(np.arange(1, 65, dtype=U64)) | U64(1)
-_SIGNATURE = "doc long, size long, f0 long, f1 long, s0 long, s1 long, bytes array<long>, bands array<long>, taken long, map array<long>"
+_SIGNATURE = "doc long, size long, f0 long, f1 long, s0 long, s1 long, bands array<long>, taken long, map array<long>"
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
@@ -104,9 +102,6 @@ def _signed(k: int):
                     bands[:, band] = h
                 for bit in range(SKETCH):
                     sketch[full, bit // 64] |= (mix(sig[:, bit]) & U64(1)) << U64(bit % 64)
-                low = np.zeros((len(sets), HASHES), np.uint8)
-                low[full] = mix(sig) & U64(255)
-                low = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * (HASHES // 8), pa.int32()), pa.array(low.view(np.int64).ravel()))
                 bits = np.zeros((len(sets), MAP_BITS), bool)
                 bits[np.repeat(np.arange(len(sets)), [len(s) for s in sets]), (np.concatenate(sets) & U64(MAP_BITS - 1)).astype(np.int64)] = True
                 taken = np.array([len(s) for s in sets]) - bits.sum(axis=1)
@@ -114,8 +109,8 @@ def _signed(k: int):
                 ends = np.zeros(len(sets) + 1, np.int32)
                 ends[np.array(full, np.int64) + 1] = BANDS
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc").slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), as_long(prints[:, 0]), as_long(prints[:, 1]), as_long(sketch[:, 0]), as_long(sketch[:, 1]), low, pa.ListArray.from_arrays(pa.array(np.cumsum(ends), pa.int32()), as_long(bands.ravel())), pa.array(taken, pa.int64()), bits],
-                    ["doc", "size", "f0", "f1", "s0", "s1", "bytes", "bands", "taken", "map"],
+                    [batch.column("doc").slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), as_long(prints[:, 0]), as_long(prints[:, 1]), as_long(sketch[:, 0]), as_long(sketch[:, 1]), pa.ListArray.from_arrays(pa.array(np.cumsum(ends), pa.int32()), as_long(bands.ravel())), pa.array(taken, pa.int64()), bits],
+                    ["doc", "size", "f0", "f1", "s0", "s1", "bands", "taken", "map"],
                 )
 
     return job
@@ -133,18 +128,6 @@ def _sets(k: int):
     return job
 
 
-def _agreeing(x: str, y: str) -> Column:
-    """In how many coordinates two signatures agree, as far as one byte of each shows."""
-
-    def differing(p: Column, q: Column) -> Column:
-        d = p.bitwiseXOR(q)
-        for n in (1, 2, 4):  # bring the bits of a byte together in its lowest one
-            d = d.bitwiseOR(F.shiftrightunsigned(d, n))
-        return F.bit_count(d.bitwiseAND(F.lit(0x0101010101010101)))
-
-    return HASHES - F.aggregate(F.zip_with(x, y, differing), F.lit(0), lambda t, n: t + n)
-
-
 def _may_share(percent: int) -> Column:
     """Whether the most that the sets of a and b can have in common is enough."""
     common = [F.bit_count(F.get("a_map", F.lit(i)).bitwiseAND(F.get("b_map", F.lit(i)))) for i in range(MAP_BITS // 64)]
@@ -183,7 +166,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
     classes = cut_lineage(full.groupBy("f0", "f1").agg(F.min("doc").alias("rep")), "classes")
     reps = full.join(classes.withColumnRenamed("rep", "doc"), ["f0", "f1", "doc"]).dropDuplicates(["doc"])
-    reps = cut_lineage(reps.select("doc", "size", "s0", "s1", "bytes", "bands", "taken", "map"), "representatives")
+    reps = cut_lineage(reps.select("doc", "size", "s0", "s1", "bands", "taken", "map"), "representatives")
     buckets = reps.select("doc", F.explode("bands").alias("band"))
     shared = cut_lineage(buckets.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
     members = cut_lineage(buckets.join(shared, "band"), "members")
@@ -206,12 +189,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     placed = shared_members.join(joined.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     placed = cut_lineage(placed, "placed")
     mixed = placed.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("band")
-    open_ = cut_lineage(placed.join(mixed, "band").join(reps, "doc").select("band", "component", "doc", "size", "s0", "s1", "bytes", "taken", "map"), "open")
-    p = percent / 100
-    enough = int(HASHES * p - 4.5 * math.sqrt(HASHES * p * (1 - p)))
-    x = open_.toDF("band", "a_component", "a", "a_size", "a0", "a1", "x", "a_taken", "a_map")
-    y = open_.toDF("band", "b_component", "b", "b_size", "b0", "b1", "y", "b_taken", "b_map")
-    rest = x.join(y, "band").where((F.col("a") < F.col("b")) & (F.col("a_component") != F.col("b_component")) & near & _may_share(percent) & (_agreeing("x", "y") >= enough))
+    open_ = cut_lineage(placed.join(mixed, "band").join(reps, "doc").select("band", "component", "doc", "size", "s0", "s1", "taken", "map"), "open")
+    x = open_.toDF("band", "a_component", "a", "a_size", "a0", "a1", "a_taken", "a_map")
+    y = open_.toDF("band", "b_component", "b", "b_size", "b0", "b1", "b_taken", "b_map")
+    rest = x.join(y, "band").where((F.col("a") < F.col("b")) & (F.col("a_component") != F.col("b_component")) & near & _may_share(percent))
     links = links.unionByName(_tested(rest.select("a", "b").distinct().join(first, ["a", "b"], "left_anti"), texts, k, percent))
     joined = cut_lineage(components(links), "joined").withColumnRenamed("node", "rep")
 
