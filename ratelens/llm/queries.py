@@ -150,9 +150,17 @@ SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_remo
     "op8_line_dedup": f"""
 WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS n FROM documents),
 sym AS (SELECT doc_id, n, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS j, trim(line, chr(32) || chr(9) || chr(13)) AS s FROM l WHERE trim(line, chr(32) || chr(9) || chr(13)) <> ''),
-win AS (SELECT *, md5(s || chr(10) || lead(s, 1) OVER w || chr(10) || lead(s, 2) OVER w) AS h FROM sym WINDOW w AS (PARTITION BY doc_id ORDER BY j)),
-ranked AS (SELECT *, CASE WHEN h IS NULL THEN 0 ELSE row_number() OVER (PARTITION BY h ORDER BY doc_id, j) END AS r FROM win),
-{_COVER.format(later="r > 1", back=2)},
+counted AS (SELECT *, len({_WORDS.format("s")}) AS w, count(*) OVER (PARTITION BY doc_id) AS n_all FROM sym),
+ahead AS (SELECT *, lead(s, 1) OVER o AS s1, lead(s, 2) OVER o AS s2, lead(w, 1) OVER o AS w1 FROM counted WINDOW o AS (PARTITION BY doc_id ORDER BY j)),
+stretches AS (
+  SELECT doc_id, j, 3 AS m, 3 AS kind, s || chr(10) || s1 || chr(10) || s2 AS h FROM ahead WHERE s2 IS NOT NULL
+  UNION ALL SELECT doc_id, j, 2, 2, s || chr(10) || s1 FROM ahead WHERE w + w1 >= 50
+  UNION ALL SELECT doc_id, j, 1, 1, s FROM ahead WHERE w >= 50
+  UNION ALL SELECT doc_id, j, n_all, 0, s || coalesce(chr(10) || s1, '') FROM ahead WHERE j = 1 AND n_all < 3),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY kind, md5(h) ORDER BY doc_id, j) AS r FROM stretches),
+hits AS (SELECT DISTINCT doc_id, unnest(range(j, j + m)) AS j FROM ranked WHERE r > 1),
+covered AS (SELECT sym.doc_id, n, sym.j, CASE WHEN hits.j IS NULL THEN 0 ELSE 1 END AS c FROM sym LEFT JOIN hits ON hits.doc_id = sym.doc_id AND hits.j = sym.j),
+marked AS (SELECT *, CASE WHEN c = 1 AND coalesce(lag(c) OVER (PARTITION BY doc_id ORDER BY j), 0) = 0 THEN 1 ELSE 0 END AS b FROM covered),
 k AS (SELECT l.doc_id, string_agg(line, chr(10) ORDER BY l.n) AS kept FROM l LEFT JOIN marked m ON m.doc_id = l.doc_id AND m.n = l.n WHERE coalesce(m.c, 0) = 0 GROUP BY 1),
 g AS (SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(sum(c) AS BIGINT) AS n_removed, CAST(sum(b) AS BIGINT) AS n_runs FROM marked GROUP BY 1)
 SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(n_runs, 0) AS n_runs, sha256(coalesce(kept, '')) AS kept_sha256

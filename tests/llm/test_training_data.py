@@ -82,9 +82,37 @@ def test_words_that_repeat(docs, corpus):
         assert (got[i].kept, got[i].n_removed, got[i].n_words) == (kept, sum(want[i]), len(want[i])), i
 
 
-def test_lines_that_repeat(docs, corpus):
-    numbered = {i: [(n, x.strip(" \t\r")) for n, x in enumerate((t or "").split("\n")) if x.strip(" \t\r")] for i, t in corpus}
-    want = cover([(i, [x for _, x in numbered[i]]) for i, _ in corpus], 3, across=False)
+def cover_lines(sequences, run=3, long_words=50):
+    """For (id, lines): which lines lie in runs that count and also start earlier; all
+    runs of any length are tried."""
+    seen, out = set(), {}
+    for i, s in sequences:
+        mask, new = [False] * len(s), []
+        for p in range(len(s)):
+            for q in range(p + 1, len(s) + 1):
+                kinds = [True] * (q - p == len(s)) + [False] * (q - p >= run or sum(len(WORDS.findall(x)) for x in s[p:q]) >= long_words)
+                for key in ((whole, tuple(s[p:q])) for whole in kinds):
+                    if key in seen:
+                        mask[p:q] = [True] * (q - p)
+                    new.append(key)
+            seen.update(new)  # runs that start at p are earlier than those at p + 1
+            new = []
+        out[i] = mask
+    return out
+
+
+def full_lines(text):
+    return [(n, x.strip(" \t\r")) for n, x in enumerate((text or "").split("\n")) if x.strip(" \t\r")]
+
+
+def test_lines_that_repeat(spark, corpus):
+    rng = random.Random(3)
+    two, far = prose(rng, 30), prose(rng, 55)
+    more = [far, f"short\n{far} ", f"short\n{far}", f"{two}\n{two}x", f"before\n\n{two}\n \t\n{two}x\nafter", f"{far}\n\n{far}", "ONE", "few words\nhere", "few words \n\n\there", "few words\nhere\nand more", "\x0b", "\x0b"]
+    corpus = [*corpus, *enumerate(more, 5000)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in corpus], SCHEMA).repartition(5)
+    numbered = {i: full_lines(t) for i, t in corpus}
+    want = cover_lines([(i, [x for _, x in numbered[i]]) for i, _ in corpus])
     got = {r.row.doc_id: r for r in line_dedup(docs).collect()}
     for i, t in corpus:
         gone = {n for (n, _), m in zip(numbered[i], want[i], strict=True) if m}
@@ -381,7 +409,7 @@ def test_pipeline(spark, corpus, tmp_path):
     before, after = seen["quality_classifier"]
     assert not set(after) & {i for i, _ in junk} and {i for i, _ in corpus[:30]} <= set(after)
     before, after = seen["line_dedup"]
-    want = cover([(i, [x.strip(" \t\r") for x in (before[i].text or "").split("\n") if x.strip(" \t\r")]) for i in sorted(before)], 3, across=False)
+    want = cover_lines([(i, [x for _, x in full_lines(before[i].text)]) for i in sorted(before)])
     assert set(before) - set(after) == {i for i, m in want.items() if m and all(m)}
     assert all((after[i].text == (before[i].text or "")) == (not any(want[i])) and (not any(want[i]) or after[i].n_chars == len(after[i].text)) for i in after)
     before, after = seen["minhash_near_dedup"]
