@@ -5,9 +5,11 @@ share of an item's word shingles that a document contains. Items are partitioned
 number of their shingles, each partition holding sizes up to a power of two. Within a
 partition an item is indexed by its MinHash sketch, the smallest hashes of its shingles,
 as many as an item of the partition's largest size may miss at the threshold, and one
-more. A document that contains enough of an item therefore meets its sketch for certain,
-and candidates are found by one equality join on single hashes. Each candidate is then
-verified on the shingles themselves. Items too short for a shingle are looked up whole,
+more. Shingles that fewer items share come before others, so that a stock phrase of many
+items is in a sketch only where nothing else is left. A document that contains enough of
+an item therefore meets its sketch for certain, whichever shingles it has, and candidates
+are found by one equality join on single hashes. Each candidate is then verified on the
+shingles themselves. Items too short for a shingle are looked up whole,
 among the documents' runs of as many words; where there are none, no run is made.
 
 Everything is column expressions. The sketches are joined by Catalyst's own choice: a
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ratelens.llm.tables import without
 from ratelens.session import cut_lineage
 
 
@@ -42,8 +45,13 @@ def shingle_texts(w: Column, k: int) -> Column:
 
 
 def sketches(items: DataFrame, k: int, percent: int) -> DataFrame:
-    """(item_id, hash): the sketch of each item (item_id, w)."""
-    sized = items.select("item_id", F.array_sort(F.array_distinct(shingle_hashes(F.col("w"), k))).alias("hashes")).where("size(hashes) > 0")
+    """(item_id, hash): the sketch of each item (item_id, w). Counts are of texts, so that
+    copies of an item make none of its shingles common."""
+    hashed = items.select("item_id", F.array_sort(F.array_distinct(shingle_hashes(F.col("w"), k))).alias("hashes")).where("size(hashes) > 0")
+    texts = hashed.select("hashes").distinct().select(F.explode("hashes").alias("hash")).groupBy("hash").agg(F.count("*").alias("n_texts"))
+    ranked = hashed.select("item_id", F.xxhash64("hashes").alias("text"), F.explode("hashes").alias("hash")).join(texts, "hash")
+    # rows that repeat an id with another text are sketched apart; a sketch is as long as a benchmark item at most
+    sized = ranked.groupBy("item_id", "text").agg(F.array_sort(F.collect_set(F.struct("n_texts", "hash"))).alias("hashes")).select("item_id", F.col("hashes.hash").alias("hashes"))
     partition = F.ceil(F.log2(F.size("hashes"))).cast("int")  # holds sizes up to 2 to this power
     most_missed = F.floor(F.pow(F.lit(2.0), partition) * (100 - percent) / 100).cast("int")
     return sized.select("item_id", F.explode(F.slice("hashes", F.lit(1), most_missed + 1)).alias("hash"))
@@ -56,8 +64,9 @@ def contained(docs: DataFrame, items: DataFrame, k: int = 5, percent: int = 80,
     punctuation and spacing make no difference.
 
     An item of fewer than k words is one shingle, of all its words. Items without words
-    match nothing, nor do null or empty texts. Rows without an id, on either side, take no part. Rows that repeat an id
-    count once; where their texts differ, the best of them counts.
+    match nothing, nor do null or empty texts; very long texts are searched whole. Rows
+    without an id, on either side, take no part. Rows that repeat an id count once; where
+    their texts differ, the best of them counts. Other columns are not looked at.
     """
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), words(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("w")).where("doc_id is not null")
     items = items.select(F.col(f"`{item_col}`").cast("long").alias("item_id"), words(F.coalesce(F.col(f"`{item_text_col}`"), F.lit(""))).alias("w")).where("item_id is not null")
@@ -73,11 +82,11 @@ def contained(docs: DataFrame, items: DataFrame, k: int = 5, percent: int = 80,
         whole = docs.select("doc_id", F.explode(held).alias("phrase")).join(few, "phrase")
         pairs = pairs.unionByName(whole.select("doc_id", "item_id", F.lit(1).alias("n_shingles"), F.lit(1).alias("n_found")))
     best = pairs.where(F.col("n_found") * 100 >= F.col("n_shingles") * percent).groupBy("doc_id", "item_id")
-    best = best.agg(F.max_by("n_shingles", F.col("n_found") / F.col("n_shingles")).alias("n_shingles"), F.max_by("n_found", F.col("n_found") / F.col("n_shingles")).alias("n_found"))
-    return best.withColumn("containment", F.col("n_found") / F.col("n_shingles"))
+    best = best.agg(F.max(F.struct((F.col("n_found") / F.col("n_shingles")).alias("containment"), "n_shingles", "n_found")).alias("best"))
+    return best.select("doc_id", "item_id", "best.n_shingles", "best.n_found", "best.containment")
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs``, as they are, that contain no test item. See ``contained``."""
-    hit = cut_lineage(contained(docs, items, id_col=id_col, **options).select(F.col("doc_id").alias("_hit")).distinct(), "contaminated")
-    return docs.join(hit, F.col(f"`{id_col}`").cast("long") == F.col("_hit"), "left_anti")
+    """The rows of ``docs``, as they are, that contain no test item; rows without an id
+    stay. Columns of any name pass through. See ``contained``."""
+    return without(docs, cut_lineage(contained(docs, items, id_col=id_col, **options).select("doc_id").distinct(), "contaminated"), id_col)

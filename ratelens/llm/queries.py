@@ -96,8 +96,10 @@ SQL = {
     "op1_decontamination": r"""
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents WHERE doc_id IS NOT NULL),
 i AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark WHERE item_id IS NOT NULL),
-ds AS (SELECT doc_id, array_to_string(w[p:p + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS p FROM d)),
-its AS (SELECT DISTINCT item_id, array_to_string(w[p:p + 4], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS p FROM i)),
+ds AS (SELECT doc_id, array_to_string(w[p:p + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS p FROM d)
+  UNION ALL SELECT doc_id, array_to_string(w[p:p + n - 1], ' ') FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, (SELECT DISTINCT len(w) AS n FROM i WHERE len(w) BETWEEN 1 AND 4))),
+its AS (SELECT DISTINCT item_id, array_to_string(w[p:p + 4], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS p FROM i)
+  UNION SELECT item_id, array_to_string(w, ' ') FROM i WHERE len(w) BETWEEN 1 AND 4),
 n AS (SELECT item_id, CAST(count(*) AS INTEGER) AS n_shingles FROM its GROUP BY 1),
 f AS (SELECT doc_id, item_id, CAST(count(DISTINCT s) AS INTEGER) AS n_found FROM ds JOIN its USING (s) GROUP BY 1, 2)
 SELECT doc_id, item_id, n_shingles, n_found, CAST(n_found AS DOUBLE) / n_shingles AS containment

@@ -28,3 +28,10 @@ def result_schema(rows: DataFrame, **columns: DataType) -> StructType:
 def restored(result: DataFrame, like: DataFrame, **replaced) -> DataFrame:
     """The columns of ``like``, in their order, some of them replaced."""
     return result.select(*(replaced[c].alias(c) if c in replaced else F.col(f"row.`{c}`").alias(c) for c in like.columns))
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs``, as they are, whose id is not among ``gone``, a table of one
+    column. The rows are one struct in the join, so that their names clash with nothing."""
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{id_col}`").cast("long").alias("key"))
+    return rows.join(gone.toDF("key"), "key", "left_anti").select("row.*")

@@ -354,7 +354,7 @@ def test_tokens_add_up(docs, corpus):
 
 
 AWKWARD = [(None, None, None, None, None, 1), (1, None, "en", None, None, 2), (1, "a b c", None, "s", 5, 3), (1, "a b c", None, "s", 5, 3), (None, "a b c", None, "s", 5, 3), (2, "a b c", "en", "s", 5, None)]
-CLASH = ", doc long, row string, kept string, spans string, size long, slot long, source2 string"
+CLASH = ", doc long, row string, kept string, spans string, size long, slot long, source2 string, _hit string, gone string, mix_slot string, key string"
 
 
 def single(spark):
@@ -379,12 +379,43 @@ def test_awkward_tables(spark, name):
     """Nulls anywhere, repeated rows and ids, very long texts, clashing columns, no rows."""
     job = single(spark)[name]
     long = "ab " * 400_000 + "x" * 300_000
-    rows = [(*r, "row", "kept", "spans", 1, 2, "z") for r in AWKWARD] + [(7, long, "en", "s", 1, 1, "row", "kept", "spans", 1, 2, "z")]
+    rows = [(*r, "row", "kept", "spans", 1, 2, "z", "h", "g", "m", "k") for r in AWKWARD] + [(7, long, "en", "s", 1, 1, "row", "kept", "spans", 1, 2, "z", "h", "g", "m", "k")]
     df = spark.createDataFrame(rows, SCHEMA + CLASH)
     assert job(df).count() == len(rows)
     assert job(df.limit(0)).count() == 0
 
 
+def test_stock_phrases_make_no_candidates(spark, monkeypatch):
+    """Items and documents that share one stock phrase meet only by their other words."""
+    rng, stock = random.Random(12), "which of the following is"
+    items = [(i, f"{stock} {prose(rng, 12, 10**6)}") for i in range(60)]
+    texts = [(i, f"{prose(rng, 30, 10**6)} {stock} {prose(rng, 30, 10**6)}") for i in range(60)] + [(100, f"x {items[7][1]} y")]
+    made = []
+    monkeypatch.setattr(decontaminate, "cut_lineage", lambda df, name: made.append(df.count()) or df)
+    got = decontaminate.contained(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert [(r.doc_id, r.item_id) for r in got] == [(100, 7)] and made == [1]
+
+
+def test_pipeline_on_awkward_tables(spark, tmp_path):
+    """Nulls, repeated ids, clashing names and no rows at all, in every stage."""
+    long = "ab " * 100_000 + "cd"
+    rows = [(*r, "row", "kept", "spans", 1, 2, "z", "h", "g", "m", "k") for r in [*AWKWARD, (7, long, "en", "s", 1, 1)]]
+    spark.createDataFrame([(1, 1, 0), (None, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(9, "p q r s t u"), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame(rows, SCHEMA + CLASH)
+    for n, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+        out = stage(spark, docs, str(tmp_path))
+        if n < 4:
+            assert out.schema.simpleString() == docs.schema.simpleString()
+        out.write.parquet(f"{tmp_path}/{n}")
+        docs = spark.read.parquet(f"{tmp_path}/{n}")
+    # of the copies, 1 stays in both its rows, 2 goes with the line stage; rows without an id stay
+    got = sorted(((r.doc_id is None, r.doc_id or 0, r.text) for r in docs.collect()), key=str)
+    assert got == sorted([(True, 0, ""), (True, 0, "a b c"), (False, 1, ""), (False, 1, "a b c"), (False, 1, "a b c"), (False, 7, long)], key=str)
+    assert docs.columns.count("mix_slot") == 1
+
+
 def test_pipeline(spark, corpus, tmp_path):
     """Every stage against brute force on its own input, then all of them."""
     rng = random.Random(9)
