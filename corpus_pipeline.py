@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept;
 what it returns is written as Parquet and read again for the next one.
+
+Null text counts as empty and leaves the first stage so; very long texts are taken whole.
+Rows without an id are scored and mixed like others; the stages that compare documents
+leave them as they are. Rows that repeat an id go or stay together, but for the first
+stage, which scores each. Other columns pass through, whatever their names. No rows give
+no rows.
 """
 
 from __future__ import annotations
@@ -13,7 +19,7 @@ from ratelens.llm.line_dedup import line_dedup
 from ratelens.llm.minhash_dedup import near_duplicates
 from ratelens.llm.mixing import mixed
 from ratelens.llm.quality import fit, score
-from ratelens.llm.tables import restored, table
+from ratelens.llm.tables import restored, table, without
 from ratelens.session import cut_lineage
 
 
@@ -25,16 +31,16 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Delete later copies of runs of lines from the texts; ``n_chars`` follows. Documents
-    of which no line is left go."""
+    """Delete later copies of runs of lines from the texts: three or more lines, 50 or more
+    words, or whole documents; ``n_chars`` follows. Documents of which no line is left go."""
     found = line_dedup(docs).where("n_removed = 0 or n_removed < n_lines")
     return restored(found, docs, text=F.col("kept"), n_chars=F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("row.n_chars")))
 
 
 def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates, the document with the smallest id stays."""
-    gone = near_duplicates(docs.select("doc_id", "text")).where("not kept").select(F.col("row.doc_id").alias("gone"))
-    return docs.join(cut_lineage(gone.distinct(), "near-duplicates"), F.col("doc_id") == F.col("gone"), "left_anti")
+    gone = near_duplicates(docs.select("doc_id", "text")).where("not kept").select("row.doc_id")
+    return without(docs, cut_lineage(gone.distinct(), "near-duplicates"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,8 +49,11 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with its place in the mix: sources by the root of their sizes."""
-    return mixed(docs).select("row.*", F.col("block").alias("mix_block"), F.col("slot").alias("mix_slot"), F.col("place").alias("mix_place"))
+    """Every document with its place in the mix: sources by the root of their sizes. The
+    columns ``mix_block``, ``mix_slot`` and ``mix_place`` take the place of columns of
+    these names that ``docs`` already has."""
+    others = (F.col(f"row.`{c}`") for c in docs.columns if c.lower() not in ("mix_block", "mix_slot", "mix_place"))
+    return mixed(docs).select(*others, F.col("block").alias("mix_block"), F.col("slot").alias("mix_slot"), F.col("place").alias("mix_place"))
 
 
 STAGES = [
