@@ -95,7 +95,8 @@ def _learn(table: pa.Table) -> pa.Table:
             n[i] += step * step
     w = weights(np.arange(SIZE))
     used = np.flatnonzero(w)
-    return pa.table({"number": pa.array(used, pa.int32()), "weight": pa.array(w[used])})
+    # one more number than there are weights counts the learners
+    return pa.table({"number": pa.array(np.append(used, SIZE), pa.int32()), "weight": pa.array(np.append(w[used], 1.0))})
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 16384, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> np.ndarray:
@@ -112,10 +113,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 16384, id_col: str =
     rows = rows.select("text", "good", turn.alias("turn"), F.pmod(turn, F.lit(SHARDS)).cast("int").alias("shard"))
     features = rows.mapInArrow(_features, "shard int, turn long, good double, numbers array<int>, values array<float>")
     learnt = features.groupBy("shard").applyInArrow(_learn, "number int, weight double")
-    mean = learnt.groupBy("number").agg((F.sum("weight") / SHARDS).alias("weight")).toArrow()
-    model = np.zeros(SIZE)
-    model[mean.column("number").to_numpy()] = mean.column("weight").to_numpy()
-    return model
+    sums = learnt.groupBy("number").agg(F.sum("weight").alias("weight")).toArrow()
+    model = np.zeros(SIZE + 1)
+    model[sums.column("number").to_numpy()] = sums.column("weight").to_numpy()
+    return model[:SIZE] / max(1.0, model[SIZE])
 
 
 def _scorer(shared, keep_text):
