@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 
@@ -203,6 +204,40 @@ def test_mix_keeps_to_the_weights(spark):
         assert all(p + n == q for (p, n), (q, _) in zip(places, places[1:], strict=False))
 
 
+def test_period_is_earliest_deadline_first(spark, monkeypatch):
+    """Halved down to groups of 4, in chunks of 7 slots, against a queue in plain Python."""
+    monkeypatch.setattr(mixing, "LEAF", 4)
+    monkeypatch.setattr(mixing, "SLOT_CHUNK", 7)
+    rng = random.Random(4)
+    for shares in ({"a": 1}, {"a": 5, "b": 3, "c": 1, "": 2}, {f"s{i}": rng.choice([1, 1, 2, 40]) for i in range(15)}):
+        total, done, want = sum(shares.values()), dict.fromkeys(shares, 0), {}
+        for t in range(total):
+            ready = [(-(-(done[s] + 1) * total // a), s) for s, a in shares.items() if done[s] * total // a <= t]
+            due, s = min(ready)
+            assert t < due
+            want[s, done[s]] = t
+            done[s] += 1
+        got = mixing.period(spark.createDataFrame(list(shares.items()), "source string, share long")).collect()
+        assert {(r.source, r.k): r.slot for r in got} == want and len(got) == total
+        assert all((r.share, r.total) == (shares[r.source], total) for r in got)
+    assert mixing.period(spark.createDataFrame([], "source string, share long")).count() == 0
+
+
+def test_mix_of_many_sources_and_rows_without_id(spark):
+    """More sources than one task could schedule by hand; rows without an id are spread."""
+    n = 5000
+    ids = F.when(F.col("id") < n, F.col("id"))
+    docs = spark.range(2 * n).select(ids.alias("doc_id"), F.concat(F.lit("t"), F.col("id")).alias("text"), F.when(F.col("id") < n, F.concat(F.lit("s"), F.col("id"))).otherwise("hot").alias("source"))
+    assert mixing.root_shares(docs).agg(F.sum("share")).first()[0] >= mixing.PER_SOURCE * n * 0.9
+    got = mixing.mixed(docs, block=5).select("row.*", "block", "slot", "place").collect()
+    assert len(got) == 2 * n and len({r.text for r in got}) == 2 * n
+    slots = {(r.source, r.block): r.slot for r in got}
+    assert len(set(slots.values())) == len(slots)
+    hot = sorted((r.place, len(r.text), r.text) for r in got if r.source == "hot")
+    assert all(p + size == q for (p, size, _), (q, _, _) in zip(hot, hot[1:], strict=False))
+    assert [t for _, _, t in hot] != sorted(t for _, _, t in hot)
+
+
 def test_default_shares_and_empty_sources(spark):
     docs = spark.createDataFrame([(i, "t", "big" if i else None) for i in range(101)], "doc_id long, text string, source string")
     assert {r.source: r.share for r in mixing.root_shares(docs).collect()} == {"big": 909, "": 91}
@@ -330,6 +365,59 @@ def test_quality_is_learnt(spark):
     assert np.count_nonzero(quality.fit(docs, labels.limit(0))) == 0
 
 
+def _plain_scores(texts, good, hashes):
+    """FTRL and sparse scores in plain Python; only the numbers of the n-grams come from
+    the operator, one word or pair at a time."""
+    numbers = {}
+
+    def number(gram):
+        if gram not in numbers:
+            data = np.frombuffer(gram.encode(), np.uint8)
+            numbers[gram] = int(quality.grams(data, np.array([0, len(data)]))[0][-1])
+        return numbers[gram]
+
+    def features(text):
+        w = re.findall(r"[0-9A-Za-z\x80-\U0010ffff]+|[^0-9A-Za-z\x80-\U0010ffff\x00-\x20]+", text or "")
+        grams = w + [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)]
+        return {0: 1.0, **{i: float(np.float32(n / max(1, len(grams)) ** 0.5)) for i, n in collections.Counter(map(number, grams)).items()}}
+
+    x = {i: features(t) for i, t in texts.items()}
+    learners = []
+    for shard in range(quality.SHARDS):
+        z, n = collections.defaultdict(float), collections.defaultdict(float)
+
+        def weight(i, z=z, n=n):
+            if abs(z[i]) <= quality.L1:
+                return 0.0
+            return ((quality.L1 if z[i] > 0 else -quality.L1) - z[i]) / ((quality.BETA + n[i] ** 0.5) / quality.ALPHA + quality.L2)
+
+        rows = sorted((i for i in good if hashes[i] % quality.SHARDS == shard), key=hashes.get)
+        for i in rows * quality.EPOCHS:
+            w = {j: weight(j) for j in x[i]}
+            error = 1 / (1 + math.exp(-sum(w[j] * v for j, v in x[i].items()))) - good[i]
+            for j, v in x[i].items():
+                step = error * v
+                z[j] += step - ((n[j] + step * step) ** 0.5 - n[j] ** 0.5) / quality.ALPHA * w[j]
+                n[j] += step * step
+        if rows:
+            learners.append({j: weight(j) for j in list(z)})
+    return {i: 1 / (1 + math.exp(-sum(v * sum(m.get(j, 0.0) for m in learners) / max(1, len(learners)) for j, v in f.items()))) for i, f in x.items()}
+
+
+@pytest.mark.parametrize("labelled", [120, 3])
+def test_quality_scores_against_plain_python(spark, labelled):
+    rng = random.Random(21)
+    texts = {i: prose(rng, rng.randrange(1, 50), 30) + rng.choice(["", " && !", "\nso so so", " 12ab"]) for i in range(160)} | {160: "", 161: None, 162: " \n\t "}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    good = {i: int(rng.random() < 0.6) for i in range(labelled)}
+    model = quality.fit(docs, spark.createDataFrame(list(good.items()), "doc_id long, quality int"))
+    got = {r.row.doc_id: r.score for r in quality.score(spark, docs, model).collect()}
+    hashes = {r.doc_id: r.h for r in docs.select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
+    want = _plain_scores(texts, good, hashes)
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-5 for i in want)
+    assert len({round(s, 3) for s in got.values()}) > 5 and got[160] == got[161] == got[162]
+
+
 def test_labels_without_a_document_take_no_place(spark):
     docs = spark.createDataFrame([(i, "good words" if i % 2 else "&&& bad &&&") for i in range(40)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(1000)], "doc_id long, quality int")
