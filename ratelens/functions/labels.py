@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ratelens.functions.distinct import null_safe
 from ratelens.functions.pricing import as_col, positive
+from ratelens.session import cut_lineage
 
 # Tokens of the room classes, strongest first.
 ROOM_CLASS_TOKENS = (
@@ -42,12 +43,12 @@ def with_normalized_label(df: DataFrame, label: str = "room_type_name", out: str
     """Add the label without case, width, punctuation and blanks; '' when absent.
 
     ASCII labels stay in the JVM. The others pass the Arrow UDF once per distinct
-    label and are joined back."""
+    label and are joined back, written first as in ``per_distinct``."""
     raw = F.coalesce(F.col(label), F.lit(""))
     ascii_only = raw.rlike(r"^[\x00-\x7F]*$")
     plain = F.regexp_replace(F.lower(raw), "[^0-9a-z]", "")
     wide = df.where(~ascii_only).select(label).distinct().withColumn("_folded", _fold_unicode(F.col(label)))
-    return null_safe(df, wide, [label]).withColumn(out, F.coalesce("_folded", plain)).drop("_folded")
+    return null_safe(df, cut_lineage(wide, "labels"), [label]).withColumn(out, F.coalesce("_folded", plain)).drop("_folded")
 
 
 def _mentions(text: Column, tokens) -> Column:

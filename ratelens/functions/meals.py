@@ -39,7 +39,7 @@ def breakfast_included(existing="breakfast_included", label="rate_plan_name") ->
     return F.coalesce(as_col(existing).try_cast("boolean"), breakfast_from_label(label))
 
 
-def with_breakfast(df: DataFrame, existing="breakfast_included", label="rate_plan_name") -> DataFrame:
-    """Fill ``existing``, reading every distinct label once."""
-    out = per_distinct(df, [label], {"_label_says": breakfast_from_label(label)})
+def with_breakfast(df: DataFrame, existing="breakfast_included", label="rate_plan_name", source: DataFrame | None = None) -> DataFrame:
+    """Fill ``existing``, reading every distinct label once (from ``source`` if given)."""
+    out = per_distinct(df, [label], {"_label_says": breakfast_from_label(label)}, source)
     return out.withColumn(existing, F.coalesce(F.col(existing).try_cast("boolean"), "_label_says")).drop("_label_says")

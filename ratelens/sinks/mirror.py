@@ -26,14 +26,14 @@ from ratelens.sinks import versions
 from ratelens.sources.observations import month_of, read_months, source_ledger
 
 
-def mirror_columns(df: DataFrame) -> DataFrame:
+def mirror_columns(df: DataFrame, source: DataFrame | None = None) -> DataFrame:
     """The mirror's own derivations: stored nights and prices win, tax by rule or
-    reconciliation, breakfast from the label."""
+    reconciliation, breakfast from the label. Labels are read from ``source`` if given."""
     d = df.withColumns(
         {"_n": stay_nights(prefer="stored"), "_adr": mirror_nightly_adr_twd(), "_tax": mirror_tax_inclusion()}
     )
     d = d.withColumns({"nights": F.col("_n"), "nightly_adr_twd": F.col("_adr"), "tax_inclusion": F.col("_tax")}).drop("_n", "_adr", "_tax")
-    return with_breakfast(d)
+    return with_breakfast(d, source=source)
 
 
 def with_month(df: DataFrame) -> DataFrame:
@@ -215,7 +215,8 @@ def _written(source: DataFrame, root: str, digests: DataFrame | None = None, kep
     spark = source.sparkSession
     seen = Observation("mirror-" + uuid.uuid4().hex)
     watched = key_digest(source).observe(seen, *_print()).drop("key_hi", "key_lo")
-    path = write_version(mirror_columns(watched), root)
+    # Labels come from the unwatched rows: only the pass that writes is fingerprinted.
+    path = write_version(mirror_columns(watched, source), root)
     if versions.holds_files(spark, f"{path}/month=*"):
         made = manifest(spark, path, digests).collect()  # one row a month
         sums = {c: sum(int(m[c]) for m in made) for c in ("rows", "key_hi", "key_lo")}

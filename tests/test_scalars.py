@@ -226,3 +226,20 @@ def test_full_width_digits(make):
     d = make({"cancellation_policy": "入住前至少 ３ 天取消", "check_in": "2026-12-10"})
     got = d.select(cancellation.cancellation_deadline().alias("x")).first().x
     assert got == "2026-12-07"
+
+
+def test_rows_of_one_text_stay_spread(spark):
+    """Also where Spark can't tell before it runs that the texts are few."""
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20k")
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    try:
+        policy, plan = F.when(F.col("id") % 9 > 0, F.lit("Free cancellation")), F.when(F.col("id") % 8 > 0, F.lit("Zimmer mit Fr\u00fchst\u00fcck"))
+        d = spark.range(0, 8000, 1, 8).select("id", policy.alias("cancellation_policy"), plan.alias("rate_plan_name"), F.lit("2026-12-01").alias("check_in"), F.lit(None).cast("boolean").alias("breakfast_included"))
+        for out in (cancellation.with_policy_terms(d), meals.with_breakfast(d), labels.with_normalized_label(d, "rate_plan_name")):
+            # All columns are used, so that none of the joins is left out.
+            tasks = out.groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n"), F.max(F.hash("*"))).collect()
+            assert sum(r.n for r in tasks) == 8000 and max(r.n for r in tasks) == 1000
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
