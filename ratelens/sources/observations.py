@@ -15,7 +15,7 @@ CORRUPT = "_malformed"
 
 # Monthly shards, month folders with daily shards, and the day folders that
 # ``append_observations`` writes.
-SHARD_PATH = r"/(.{4}-.{2}(\.jsonl|/.{4}-.{2}-.{2}\.jsonl)|month=.{4}-.{2}/day=.{4}-.{2}-.{2}/[^/]+\.json)$"
+SHARD_PATH = r"/(.{4}-.{2}(\.jsonl|/.{4}-.{2}-.{2}\.jsonl)|month=.{4}-.{2}/day=.{4}-.{2}-.{2}/[^/]+\.json(\.gz)?)$"
 
 
 def shard_filter() -> Column:

@@ -36,7 +36,7 @@ def _json_history(spark, sf) -> str:
         path = fresh_path(spark, "history")
         d = history.with_day_partitions(rates(spark, sf).select(*raw_rates(spark, sf).columns))
         # One folder per month, one text file set per day, named like the shards.
-        d.write.option("ignoreNullFields", "false").partitionBy("month", "day").json(path)
+        d.write.option("ignoreNullFields", "false").option("compression", "gzip").partitionBy("month", "day").json(path)
         _written[key] = path
     return _written[key]
 
@@ -427,7 +427,7 @@ def _history_of_months(spark, sf) -> str:
     if key not in _written:
         path = fresh_path(spark, "months")
         d = history.with_day_partitions(_moved(spark, sf).select(*raw_rates(spark, sf).columns))
-        d.write.option("ignoreNullFields", "false").partitionBy("month", "day").json(path)
+        d.write.option("ignoreNullFields", "false").option("compression", "gzip").partitionBy("month", "day").json(path)
         _written[key] = path
     return _written[key]
 

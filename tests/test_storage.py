@@ -91,6 +91,27 @@ def test_daily_migration_verifies_and_refuses(spark, make, tmp_path):
     assert history.multiset_difference(d, d.where("observation_id <> 'o1'")).first().surplus == 1
 
 
+def test_rewritten_files_are_compressed(spark, make, tmp_path, monkeypatch):
+    d = make({}, {}, {"queried_at": "2026-09-01T00:00:00Z", "city": None}, {"queried_at": "2026-10-09T01:00:00Z"})
+    daily, root = tmp_path / "daily", tmp_path / "rewritten"
+    assert history.to_daily_partitions(d, str(daily)) == 4
+    history.rewrite_history(spark, str(daily), str(root), "daily", lambda x: x)
+    for folder in (daily, root / "versions"):
+        files = list(folder.rglob("part-*"))
+        assert files and all(p.name.endswith(".json.gz") for p in files)
+    for back in (src.read_observations(spark, str(daily)), history.read_rewritten(spark, str(root))):
+        assert history.multiset_difference(d, back).count() == 0 and back.count() == 4
+    assert history.to_daily_partitions(d.where("false"), str(tmp_path / "none")) == 0
+    # A record that is lost and one that changes are found out.
+    whole = history.read_history
+    monkeypatch.setattr(history, "read_history", lambda s, path: whole(s, path).limit(3))
+    with pytest.raises(RuntimeError, match="differ"):
+        history.to_daily_partitions(d, str(tmp_path / "lost"))
+    monkeypatch.setattr(history, "read_history", lambda s, path: whole(s, path).withColumn("city", F.coalesce("city", F.lit("x"))))
+    with pytest.raises(RuntimeError, match="differ"):
+        history.to_daily_partitions(d, str(tmp_path / "changed"))
+
+
 def test_backfill_gates(make):
     ok = make({"rooms": None, "source_platform": None}, {"hotel_id": "h2"})
     filled = history.assert_backfill(ok).orderBy("observation_id").first()
