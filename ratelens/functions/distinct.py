@@ -18,13 +18,12 @@ def null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "le
     return left.join(renamed, cond, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def per_distinct(df: DataFrame, keys: list[str], derived: dict[str, Column], source: DataFrame | None = None) -> DataFrame:
+def per_distinct(df: DataFrame, keys: list[str], derived: dict[str, Column]) -> DataFrame:
     """Add ``derived`` columns, which depend on ``keys`` alone.
 
     The distinct texts are found with a map-side combine and written, so that Spark knows
     their size before it plans the join: few texts are broadcast and the rows stay where
     they are, many are joined by shuffle with skewed texts split by AQE. Left to be found
-    out while running, few texts would get their rows dealt out by text, a task for each.
-    ``source`` is where the texts are read, if not ``df``; it has all texts of ``df``."""
-    texts = cut_lineage((df if source is None else source).select(*keys).distinct(), "texts")
+    out while running, few texts would get their rows dealt out by text, a task for each."""
+    texts = cut_lineage(df.select(*keys).distinct(), "texts")
     return null_safe(df, texts.withColumns(derived), keys)

@@ -1,7 +1,7 @@
 """The columnar mirror: versioned write, verification, manifest, publication.
 
-A version is written once and verified where it lies. The rows are fingerprinted on their
-way into the writer, so the source is read once; the fingerprint of what was written comes
+A version is written once and verified where it lies. The rows are fingerprinted before
+anything is derived, in the pass that finds their distinct labels; the fingerprint of what was written comes
 from the scan that counts its keys. Only if the two differ are keys compared one by one.
 Publishing adds a manifest, which counts from the moment its ``_SUCCESS`` is there.
 Nothing is copied and readers never see half a version.
@@ -26,14 +26,14 @@ from ratelens.sinks import versions
 from ratelens.sources.observations import month_of, read_months, source_ledger
 
 
-def mirror_columns(df: DataFrame, source: DataFrame | None = None) -> DataFrame:
+def mirror_columns(df: DataFrame) -> DataFrame:
     """The mirror's own derivations: stored nights and prices win, tax by rule or
-    reconciliation, breakfast from the label. Labels are read from ``source`` if given."""
+    reconciliation, breakfast from the label."""
     d = df.withColumns(
         {"_n": stay_nights(prefer="stored"), "_adr": mirror_nightly_adr_twd(), "_tax": mirror_tax_inclusion()}
     )
     d = d.withColumns({"nights": F.col("_n"), "nightly_adr_twd": F.col("_adr"), "tax_inclusion": F.col("_tax")}).drop("_n", "_adr", "_tax")
-    return with_breakfast(d, source=source)
+    return with_breakfast(d)
 
 
 def with_month(df: DataFrame) -> DataFrame:
@@ -215,8 +215,7 @@ def _written(source: DataFrame, root: str, digests: DataFrame | None = None, kep
     spark = source.sparkSession
     seen = Observation("mirror-" + uuid.uuid4().hex)
     watched = key_digest(source).observe(seen, *_print()).drop("key_hi", "key_lo")
-    # Labels come from the unwatched rows: only the pass that writes is fingerprinted.
-    path = write_version(mirror_columns(watched, source), root)
+    path = write_version(mirror_columns(watched), root)
     if versions.holds_files(spark, f"{path}/month=*"):
         made = manifest(spark, path, digests).collect()  # one row a month
         sums = {c: sum(int(m[c]) for m in made) for c in ("rows", "key_hi", "key_lo")}
@@ -233,7 +232,8 @@ def _written(source: DataFrame, root: str, digests: DataFrame | None = None, kep
 
 
 def build_mirror(source: DataFrame, root: str) -> str:
-    """Write, verify against the source, then publish. The source is read once."""
+    """Write, verify against the source, then publish. The source is read twice, for its
+    distinct labels and for its rows."""
     return _written(source, root)
 
 
