@@ -66,11 +66,12 @@ def deduplicate(df: DataFrame, keep: str = "latest") -> DataFrame:
         raise ValueError("keep must be 'first' or 'latest'")
     order = ["queried_at", *_tie_break(df)]
     by = [F.col(c).desc_nulls_last() if keep == "latest" else F.col(c).asc_nulls_last() for c in order]
-    # The digest leads the sort so that eleven text columns are rarely compared; the
-    # key itself still decides.
-    w = Window.partitionBy("_digest", *KEY_COLUMNS).orderBy(*by)
-    keyed = with_natural_key(df).withColumn("_digest", F.xxhash64(*KEY_COLUMNS))
-    return keyed.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "_digest", *KEY_COLUMNS)
+    # Rows are sorted and shuffled with the SHA-256 of the key instead of its eleven texts,
+    # which are wider than most rows. JSON keeps the parts, and null from empty, apart.
+    key = F.struct(*[e.alias(c) for c, e in key_expressions().items()])
+    w = Window.partitionBy("_digest").orderBy(*by)
+    keyed = df.withColumn("_digest", F.unhex(F.sha2(F.to_json(key), 256)))
+    return keyed.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "_digest")
 
 
 def dedup_counts(df: DataFrame, keep: str = "latest") -> DataFrame:

@@ -70,6 +70,20 @@ def test_copies_of_one_key_are_cut_before_the_shuffle(make):
     assert "WindowGroupLimit" in plan and "Partial" in plan
 
 
+def test_dedup_moves_a_digest_of_the_key_and_not_its_texts(make):
+    plan = dedup.deduplicate(make({}))._jdf.queryExecution().toString()
+    moved = [line for line in plan.splitlines() if "hashpartitioning(" in line]
+    assert moved and all("_digest" in line and "key_hotel" not in line for line in moved)
+
+
+def test_dedup_tells_key_parts_apart(make):
+    d = make(
+        {"hotel_id": "a", "room_type_code": "b|c"}, {"hotel_id": "a|b", "room_type_code": "c"}, {"hotel_id": 'a","key_room":"', "room_type_code": "c"},
+        {"hotel_id": None}, {"hotel_id": ""}, {"hotel_id": None},
+    )
+    assert rows_of(dedup.deduplicate(d), "observation_id") == [("o0",), ("o1",), ("o2",), ("o5",)]
+
+
 def test_latest_batch_rules(make):
     d = make(
         {"hotel_id": "w", "queried_at": "2026-09-07T03:31:00Z"}, {"hotel_id": "w", "queried_at": "2026-09-07T22:09:00Z"}, {"hotel_id": "w", "queried_at": "2026-09-07T22:11:00Z"},
