@@ -14,11 +14,14 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
+# Rates take some 20 times their Parquet size in memory: a task that sorts the rows of one
+# split, as deduplication does, would need gigabytes at Spark's default of 128 MB.
+RATES_CONF = {**RUNTIME_CONF, "spark.sql.files.maxPartitionBytes": "32m"}
 
 
-def configure(spark: SparkSession) -> SparkSession:
+def configure(spark: SparkSession, conf: dict[str, str] = RUNTIME_CONF) -> SparkSession:
     """Apply the runtime settings; a no-op where they already hold."""
-    for key, value in RUNTIME_CONF.items():
+    for key, value in conf.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
     return spark
@@ -28,9 +31,9 @@ def build_session(app: str = "ratelens", master: str | None = None, **conf: str)
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**RUNTIME_CONF, **{k: str(v) for k, v in conf.items()}}.items():
+    for key, value in {**RATES_CONF, **{k: str(v) for k, v in conf.items()}}.items():
         builder = builder.config(key, value)
-    return configure(builder.getOrCreate())
+    return configure(builder.getOrCreate(), RATES_CONF)
 
 
 def shared_folder(spark: SparkSession) -> str:

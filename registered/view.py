@@ -13,7 +13,7 @@ from ratelens.functions.pricing import priced, publishable
 from ratelens.operators.dedup import deduplicate
 from ratelens.schema import conform
 from ratelens.operators.parity import with_terms
-from ratelens.session import configure, cut_lineage
+from ratelens.session import RATES_CONF, configure, cut_lineage
 
 _VIEW = """
 base AS (
@@ -139,7 +139,7 @@ def sql(body: str, *ctes: str) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    configure(spark)
+    configure(spark, RATES_CONF)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -8,6 +8,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from registered import view
 from ratelens.operators import dedup, health, market, matchquality, parity, planning, quality, rooms, stats
 from ratelens.operators.containment import contained_labels
 from ratelens.operators.parity import with_comparison, with_terms
@@ -84,6 +85,19 @@ def test_dedup_tells_key_parts_apart(make):
     assert rows_of(dedup.deduplicate(d), "observation_id") == [("o0",), ("o1",), ("o2",), ("o5",)]
 
 
+def test_rates_are_read_in_small_splits(spark, tmp_path):
+    """The rows of a split are sorted by one task, some 20 times their size in the file."""
+    name = "spark.sql.files.maxPartitionBytes"
+    was = spark.conf.get(name)
+    spark.range(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    try:
+        spark.conf.set(name, "134217728b")
+        view.table(spark, str(tmp_path), "lineitem")
+        assert spark.conf.get(name) == "32m"
+    finally:
+        spark.conf.set(name, was)
+
+
 def test_latest_batch_rules(make):
     d = make(
         {"hotel_id": "w", "queried_at": "2026-09-07T03:31:00Z"}, {"hotel_id": "w", "queried_at": "2026-09-07T22:09:00Z"}, {"hotel_id": "w", "queried_at": "2026-09-07T22:11:00Z"},
