@@ -153,7 +153,8 @@ def match_rooms(df: DataFrame, dimension: DataFrame) -> DataFrame:
     Matching runs once per distinct (hotel, source, code, name, size) and is joined
     back by a 128-bit digest of these, taken in the pass over the rows, so the cost follows the variety of labels and not the number of rows. The
     distinct subjects and both indexes are written once, because every tier reads
-    them: the rows are scanned twice in all."""
+    them: the rows are scanned twice in all. The verdicts are written too, as the texts of
+    ``per_distinct`` are: few are broadcast and the rows stay where they are."""
     labels = cut_lineage(label_index(dimension), "room-labels")
     codes = cut_lineage(code_index(dimension), "room-codes")
     subjects = with_normalized_label(df.select(*SUBJECT).distinct())
@@ -209,6 +210,7 @@ def match_rooms(df: DataFrame, dimension: DataFrame) -> DataFrame:
         status.alias("room_match_status"),
         *[F.when(one, F.col(c)).alias(c) for c in ("stable_room_type_id", "normalized_room_family", "room_class")],
     )
+    found = cut_lineage(found, "room-verdicts")
     clean = df.drop("room_match_status", "stable_room_type_id", "normalized_room_family", "room_class")
     return clean.withColumn("_subject", _subject()).join(found, "_subject", "left").drop("_subject")
 

@@ -253,6 +253,32 @@ def test_room_match_cases(spark, make):
     assert got == [c[3:] for c in cases]
 
 
+@pytest.fixture
+def few_broadcast(spark):
+    """Small broadcasts and many shuffle partitions, as with tables of many GB."""
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20k")
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    yield
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
+def _stays_spread(df):
+    """Each task has the rows of one input split, and no join was planned that deals them out."""
+    tasks = df.groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n"), F.max(F.hash("*"))).collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return sum(r.n for r in tasks) == 8000 and max(r.n for r in tasks) == 1000 and "SortMergeJoin" not in plan
+
+
+def test_rows_of_one_room_stay_spread(spark, few_broadcast):
+    dim = _dimension(spark, ("a", "rt_king", "room:55", "room", None, "Deluxe Room", None, [], 55.0, 55.0))
+    d = spark.range(0, 8000, 1, 8).select("id", F.lit("a").alias("hotel_id"), F.lit("official").alias("source_platform"), F.lit("K").alias("room_type_code"), F.lit("deluxe room").alias("room_type_name"), F.lit(55.0).alias("room_size_sqm"))
+    out = rooms.match_rooms(d, dim)
+    assert out.where("stable_room_type_id = 'rt_king'").count() == 8000
+    assert _stays_spread(out)
+
+
 def _profile(spark, alias):
     schema = f"hotel_id string, room_snapshot struct<observed_at:string,source_type:string,source_url:string,rooms:array<{rooms.ROOM}>>"
     room = ("精緻套房", "Junior Suite", None, 65.0, None, None, None, None, [alias])
