@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ratelens.functions.pricing import as_date, currency_code, source_key, source_of
 from ratelens.schema import LEGACY_DEFAULTS
+from ratelens.session import cut_lineage
 
 KEY_COLUMNS = (
     "key_hotel", "key_source", "key_check_in", "key_check_out", "key_rooms", "key_adults",
@@ -89,13 +90,16 @@ def latest_batches(df: DataFrame, window_minutes: int = 30, strict_legacy: bool
     The newest row decides: with a run id the batch is that run, without one it is
     the rows of the last ``window_minutes``. ``strict_legacy`` additionally asks
     that those rows carry no run id themselves. The newest row per stream is a
-    map-side combined aggregate, so a hot stream is never sorted in one task."""
+    map-side combined aggregate, so a hot stream is never sorted in one task. It is
+    written before the rows are joined to it, as the texts of ``per_distinct`` are: few
+    streams are broadcast, and their rows are not dealt out by stream."""
     src, hotel = source_of(), F.coalesce(F.col("hotel_id"), F.lit(""))
     stamped = df.where(F.col("queried_at").isNotNull()).withColumns({"_src": src, "_hotel": hotel})
     order = F.struct("queried_at", *_tie_break(df))
     newest = stamped.groupBy("_src", "_hotel").agg(
         F.max_by(F.col("run_id"), order).alias("_run"), F.max("queried_at").alias("_top")
     ).withColumn("_run", F.when(F.col("_run") != "", F.col("_run")))
+    newest = cut_lineage(newest, "newest")
     recent = F.col("queried_at") >= F.col("_top") - F.expr(f"INTERVAL {int(window_minutes)} MINUTES")
     if strict_legacy:
         recent = recent & (F.col("run_id").isNull() | (F.col("run_id") == ""))

@@ -279,6 +279,11 @@ def test_rows_of_one_room_stay_spread(spark, few_broadcast):
     assert _stays_spread(out)
 
 
+def test_rows_of_one_stream_stay_spread(spark, few_broadcast):
+    d = spark.range(0, 8000, 1, 8).select(F.col("id").cast("string").alias("observation_id"), F.when(F.col("id") >= 0, F.lit("a")).alias("hotel_id"), F.lit("official").alias("source_platform"), F.lit("run").alias("run_id"), F.timestamp_seconds("id").alias("queried_at"))
+    assert _stays_spread(dedup.latest_batches(d))
+
+
 def _profile(spark, alias):
     schema = f"hotel_id string, room_snapshot struct<observed_at:string,source_type:string,source_url:string,rooms:array<{rooms.ROOM}>>"
     room = ("精緻套房", "Junior Suite", None, 65.0, None, None, None, None, [alias])
