@@ -16,7 +16,9 @@ not where the document starts. Then, by shuffles of one row for each phrase:
 2. The distinct phrases of the rest form a dictionary with the first place of each.
    Every later occurrence of a phrase is repeated as a whole.
 3. Only where one owner has several different phrases, that is where copies begin, end
-   or differ, are single windows compared; each distinct phrase takes part once.
+   or differ, can single windows repeat; each distinct phrase takes part once. Its windows
+   are first judged by the part that neighbours have in common, their *core*: equal windows
+   have equal cores, so only windows whose core occurs again are compared one by one.
 
 Groups are only counted and reduced to their first member; no pairs are made and no
 group is collected, so copies by the thousand, or a passage in a third of all documents,
@@ -38,6 +40,7 @@ from ratelens.session import cut_lineage
 _LOW = U64(0xFFFFFFFF)
 _HIGH = U64(0xFFFFFFFF00000000)
 CHUNK = 1 << 18
+BLOCKS = 4
 
 #: Two symbol values for each symbol of some rows, and the rows' bounds in symbols.
 Symbols = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
@@ -61,12 +64,12 @@ def line_symbols(data, offsets):
 
 def phrases(a: np.ndarray, b: np.ndarray, bounds: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...]:
     """For each phrase of some rows: its row, first window, number of windows, the hash
-    of its owner, and a hash of the whole phrase."""
+    of its owner, a hash of the whole phrase, and how far its owner is from its start."""
     parts = []
     for at in range(0, max(0, len(a) - length + 1), CHUNK):
         parts.append(_phrases(a[at : at + CHUNK + length - 1], b[at : at + CHUNK + length - 1], bounds, at, length, k))
     if not parts:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, U64, U64))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, U64, U64, np.int64))
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
@@ -97,7 +100,7 @@ def _phrases(a, b, bounds, at, length, k):
     shape = ((owner - start).astype(U64) << U64(32)) | count.astype(U64)
     whole = mix(span_hash(prefix_hash(b), start, start + count - 1 + length) ^ mix(shape))
     rows = np.searchsorted(bounds, start + at, side="right") - 1
-    return rows, start + at - bounds[rows], count, rank[owner], whole
+    return rows, start + at - bounds[rows], count, rank[owner], whole, owner - start
 
 
 def _found(batch: pa.RecordBatch, symbols: Symbols, length: int, k: int) -> Iterator[tuple[np.ndarray, ...]]:
@@ -121,8 +124,44 @@ def _occurrences(symbols, length, k):
     def job(batches):
         for batch in batches:
             ids = batch.column("doc").to_numpy(zero_copy_only=False)
-            for rows, lo, n, g, t in _found(batch, symbols, length, k):
-                yield pa.RecordBatch.from_arrays([as_long(g), as_long(t), pa.array(ids[rows], pa.int64()), pa.array(lo, pa.int64()), pa.array(n, pa.int32())], ["g", "t", "doc", "lo", "n"])
+            for rows, lo, n, g, t, o in _found(batch, symbols, length, k):
+                yield pa.RecordBatch.from_arrays([as_long(g), as_long(t), pa.array(ids[rows], pa.int64()), pa.array(lo, pa.int64()), pa.array(n, pa.int32()), pa.array(o, pa.int32())], ["g", "t", "doc", "lo", "n", "o"])
+
+    return job
+
+
+def _cores(symbols, length, k):
+    """Windows of given phrases in blocks, by how far the owner is from their start, with a
+    hash of the owner, of the block, and of the symbols that all windows of a block hold."""
+    width = length - k + 1
+    step = -(-width // BLOCKS)
+
+    def job(batches):
+        for batch in batches:
+            ids = batch.column("doc").to_numpy(zero_copy_only=False)
+            data, offsets = text_buffer(batch.column("text"))
+            wanted = batch.column("wanted")
+            for i, j in blocks(offsets):
+                _, b, bounds = symbols(data, offsets[i : j + 1])
+                prefix = prefix_hash(b)
+                for row in range(i, j):
+                    items = wanted[row].as_py()
+                    base, end = bounds[row - i], bounds[row - i + 1]
+                    lo, n, o, g = (np.array([x[c] for x in items], np.int64) for c in ("lo", "n", "o", "g"))
+                    least, most = (o - n + 1) // step, o // step
+                    count = most - least + 1
+                    item = np.repeat(np.arange(len(items)), count)
+                    q = np.arange(len(item)) - np.repeat(np.cumsum(count) - count, count) + least[item]
+                    lo, n, o, g = lo[item], n[item], o[item], g[item]
+                    far, near = np.minimum(o, (q + 1) * step - 1), np.maximum(o - n + 1, q * step)
+                    core = lo + o - q * step, lo + o + length - np.minimum((q + 1) * step, width) + 1
+                    held = (core[0] >= 0) & (core[1] <= end - base)  # texts may differ that repeat an id
+                    lo, n, o, g, q, far, near = (x[held] for x in (lo, n, o, g, q, far, near))
+                    c = mix(span_hash(prefix, base + core[0][held], base + core[1][held]) ^ mix(g.astype(U64) + q.astype(U64)))
+                    yield pa.RecordBatch.from_arrays(
+                        [as_long(c), pa.array(g), pa.array(np.full(len(g), ids[row]), pa.int64()), pa.array(lo + o - far), pa.array((far - near + 1).astype(np.int32))],
+                        ["c", "g", "doc", "lo", "n"],
+                    )
 
     return job
 
@@ -160,7 +199,7 @@ def later_spans(docs: DataFrame, symbols: Symbols, length: int, k: int, across:
     docs = docs.where(F.col("doc").isNotNull())
     seen = docs.select("text").mapInArrow(_owners(symbols, length, k), "g long, n long")
     shared = cut_lineage(seen.groupBy("g").agg(F.sum("n").alias("n")).where("n > 1").select("g"), "owners")
-    occurrences = docs.select("doc", "text").mapInArrow(_occurrences(symbols, length, k), "g long, t long, doc long, lo long, n int")
+    occurrences = docs.select("doc", "text").mapInArrow(_occurrences(symbols, length, k), "g long, t long, doc long, lo long, n int, o int")
     occurrences = cut_lineage(occurrences.join(shared, "g"), "occurrences")
 
     first = occurrences.groupBy("g", "t").agg(F.min(F.struct("doc", "lo")).alias("first"))
@@ -169,7 +208,12 @@ def later_spans(docs: DataFrame, symbols: Symbols, length: int, k: int, across:
     judged = occurrences.join(dictionary, ["g", "t"]).withColumn("later", later)
 
     varied = cut_lineage(dictionary.groupBy("g").count().where("count > 1").select("g"), "varied")
-    open_ = judged.where("not later").join(varied, "g").groupBy("doc").agg(F.collect_list(F.struct("lo", "n", "g")).alias("wanted"))
+    open_ = judged.where("not later").join(varied, "g").groupBy("doc").agg(F.collect_list(F.struct("lo", "n", "g", "o")).alias("wanted"))
+    if length - k >= BLOCKS:  # else a core is a window
+        cores = docs.join(open_, "doc").select("doc", "text", "wanted").mapInArrow(_cores(symbols, length, k), "c long, g long, doc long, lo long, n int")
+        cores = cut_lineage(cores, "cores")
+        again = cores.groupBy("c").count().where("count > 1").select("c")
+        open_ = cores.join(again, "c").groupBy("doc").agg(F.collect_list(F.struct("lo", "n", "g")).alias("wanted"))
     windows = docs.join(open_, "doc").select("doc", "text", "wanted").mapInArrow(_windows(symbols, length), "g long, h long, doc long, at long")
     windows = cut_lineage(windows, "windows")
     first = windows.groupBy("g", "h").agg(F.min(F.struct("doc", "at")).alias("first"), F.count("*").alias("n")).where("n > 1")

@@ -19,6 +19,7 @@ from ratelens.llm.neighbours import neighbours
 from ratelens.llm.queries import RULES
 from ratelens.llm.substring_dedup import substring_dedup
 from ratelens.llm.suffix_dedup import suffix_dedup
+from ratelens.session import cut_lineage
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -541,3 +542,34 @@ def test_pipeline(spark, corpus, tmp_path):
     final = corpus_pipeline.run(spark, str(tmp_path))
     assert {(r.doc_id, hashlib.md5((r.text or "").encode()).hexdigest(), r.mix_slot) for r in final.collect()} == {(i, hashlib.md5((r.text or "").encode()).hexdigest(), r.mix_slot) for i, r in after.items()}
     assert final.where(F.col("mix_block") < 0).count() == 0
+
+
+def test_only_windows_with_a_repeated_core_are_compared(spark, monkeypatch):
+    from ratelens.llm import repeats
+
+    rnd = random.Random(4)
+    word = lambda n: "".join(rnd.choice("abcdefghij ") for _ in range(n))
+    shared, long = [word(50) for _ in range(8)], word(400)
+    short = [(i, word(150) + shared[i % 8] + word(150)) for i in range(40)]
+    edited = [(100 + i, word(60) + long[:90 + 9 * i] + "#" + long[90 + 9 * i:] + word(30)) for i in range(20)]
+    written = {}
+
+    def counted(df, name):
+        out = cut_lineage(df, name)
+        written[name] = out.count()
+        return out
+
+    monkeypatch.setattr(repeats, "cut_lineage", counted)
+    got = {r.row.doc_id: r for r in suffix_dedup(spark.createDataFrame(short, "doc_id long, text string")).collect()}
+    assert all(r.n_removed == 0 for r in got.values()) and written["dictionary"] > written["varied"] > 0
+    assert written["windows"] == 0  # 50 bytes are no window of 100, nor the core of one
+    got = {r.row.doc_id: r for r in suffix_dedup(spark.createDataFrame(edited, "doc_id long, text string")).collect()}
+    assert written["windows"] > 0
+    seen = set()
+    for i, text in edited:
+        gone = set()
+        for at in range(len(text) - 99):
+            if text[at : at + 100] in seen:
+                gone.update(range(at, at + 100))
+            seen.add(text[at : at + 100])
+        assert bytes(got[i].kept) == "".join(c for j, c in enumerate(text) if j not in gone).encode()
