@@ -226,8 +226,9 @@ def later_spans(docs: DataFrame, symbols: Symbols, length: int, k: int, across:
 
 
 def with_spans(rows: DataFrame, spans: DataFrame) -> DataFrame:
-    """``rows`` (doc, ...) with the spans of their document, or null."""
-    return rows.join(spans, "doc", "left")
+    """``rows`` (doc, ...) with the spans of their document, or null. The spans are written
+    first, so that what finds them and the texts are not on disk as shuffles together."""
+    return rows.join(cut_lineage(spans, "spans"), "doc", "left")
 
 
 def covered(spans: list | None, n: int) -> np.ndarray:

@@ -7,6 +7,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -19,7 +20,7 @@ from ratelens.llm.neighbours import neighbours
 from ratelens.llm.queries import RULES
 from ratelens.llm.substring_dedup import substring_dedup
 from ratelens.llm.suffix_dedup import suffix_dedup
-from ratelens.session import cut_lineage
+from ratelens.session import configure, cut_lineage
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -573,3 +574,22 @@ def test_only_windows_with_a_repeated_core_are_compared(spark, monkeypatch):
                 gone.update(range(at, at + 100))
             seen.add(text[at : at + 100])
         assert bytes(got[i].kept) == "".join(c for j, c in enumerate(text) if j not in gone).encode()
+
+
+def test_spans_are_written_before_the_texts_are_joined_to_them(spark):
+    docs = spark.createDataFrame([(1, "abcdefghij" * 30), (2, "abcdefghij" * 30), (3, "short")], "doc_id long, text string")
+    found = suffix_dedup(docs)
+    read = {f.split("/")[-2].rsplit("-", 1)[0] for f in found.inputFiles()}
+    assert read == {"spans"}
+    assert {r.row.doc_id: r.n_removed for r in found.collect()} == {1: 290, 2: 300, 3: 0}
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes], pa.int64())], ["n"])
+
+    configure(spark)
+    texts = spark.range(0, 24, 1, 1).select(F.repeat(F.lit("x"), 1 << 20).alias("text"))
+    found = [r.n for r in texts.mapInArrow(sizes, "n long").collect()]
+    assert sum(found) >= 24 << 20 and max(found) <= 10 << 20

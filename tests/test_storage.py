@@ -6,6 +6,7 @@ import os
 import random
 import shutil
 import statistics
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ratelens.operators.parity import with_terms
 from ratelens.operators import health, quality
-from ratelens.session import shared_folder
+from ratelens.session import cut_lineage, shared_folder
 from ratelens.sinks import history, mirror, packing, publish
 from ratelens.sources import observations as src
 from ratelens.sources.payloads import availability_observations
@@ -494,3 +495,21 @@ def test_late_rows_are_merged(spark, make, tmp_path):
     assert days == {"2026-10-01": (1, 2, 2), "2026-10-08": (1, 0, 1), "2026-10-09": (1, 0, 2)}
     ingest._merged(frames[2], str(tmp_path / "latest"), 2, "1 day")
     assert {r.day: r.rows for r in latest_days(spark, str(tmp_path / "latest")).collect()} == {d: n for d, (n, _, _) in days.items()}
+
+
+def shuffle_files(spark):
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+    return sum(blocks.apply(i).name().startswith("shuffle_") for i in range(blocks.size()))
+
+
+def test_a_written_intermediate_leaves_no_shuffle_files(spark):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, setting = shuffle_files(spark), spark.conf.get(key, None)
+    df = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.sum("id").alias("s"))
+    written = cut_lineage(df, "sums")
+    until = time.time() + 20
+    while shuffle_files(spark) > before and time.time() < until:  # they go in the background
+        time.sleep(0.2)
+    assert shuffle_files(spark) <= before
+    assert spark.conf.get(key, None) == setting
+    assert sorted(df.collect()) == sorted(written.collect()) == sorted(cut_lineage(df, "again").collect())
