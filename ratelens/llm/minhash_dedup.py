@@ -19,7 +19,9 @@ nothing: every set is also a bitmap of ``MAP_BITS``, and two sets have no more s
 in common than their bitmaps have bits, and the one with fewer such shingles that found
 their bit taken. Copies of one text that are almost, but not quite near each other, of
 which a group may hold as many pairs as it likes, are told apart by it before a pair is
-made of them.
+made of them. What is still open in a bucket is compared in numpy, in tiles of two parts of
+the bucket: no row is made of a pair that the filters reject, nor of two members of one
+component, a task holds one tile, and a large bucket is many tiles.
 """
 
 from __future__ import annotations
@@ -37,6 +39,8 @@ from ratelens.session import cut_lineage
 
 BANDS, ROWS, HASHES = 32, 5, 160
 SKETCH, MOST_BITS, MAP_BITS = 128, 42, 4096
+#: Members of a part of a bucket, about, and pairs that are compared at once.
+PART, AT_ONCE = 8192, 1 << 17
 _WEIGHTS = mix(np.arange(1, 65, dtype=U64)) | U64(1)
 _SIGNATURE = "doc long, size long, f0 long, f1 long, s0 long, s1 long, bands array<long>, taken long, map array<long>"
 
@@ -135,6 +139,73 @@ def _may_share(percent: int) -> Column:
     return 100 * most >= percent * (F.col("a_size") + F.col("b_size") - most)
 
 
+def _ends(changed: np.ndarray) -> np.ndarray:
+    """For each row, the end of its run; ``changed`` says which rows after the first begin one."""
+    cuts = np.flatnonzero(changed) + 1
+    return np.append(cuts, len(changed) + 1)[np.searchsorted(cuts, np.arange(len(changed) + 1), "right")]
+
+
+def near_in_tiles(c: dict[str, np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (a, b) of members of different components that may be near. The rows are in
+    the order of band, i, j, part, component; a tile (band, i, j) is part i of a bucket
+    against part j, or against itself."""
+    n = len(c["doc"])
+    other = np.zeros(max(0, n - 1), bool)
+    ends = []
+    for names in (("band", "i", "j"), ("part",), ("component",)):
+        for name in names:
+            other = other | (c[name][1:] != c[name][:-1])
+        ends.append(_ends(other) if n else np.zeros(0, np.int64))
+    tile, part, component = ends
+    # what a row is compared with lies behind it, up to the end of its tile
+    start = np.where(c["i"] == c["j"], component, np.where(c["part"] == c["i"], part, tile))
+    before = np.concatenate(([0], np.cumsum(tile - start)))
+    found, row = [], 0
+    while row < n:
+        last = max(row + 1, int(np.searchsorted(before, before[row] + AT_ONCE, "right")) - 1)
+        many = (tile - start)[row:last]
+        a = np.repeat(np.arange(row, last), many)
+        b = np.arange(len(a)) - np.repeat(before[row:last] - before[row] - start[row:last], many)
+        ok = (c["component"][a] != c["component"][b]) & (100 * np.minimum(c["size"][a], c["size"][b]) >= percent * np.maximum(c["size"][a], c["size"][b]))
+        a, b = a[ok], b[ok]
+        ok = np.bitwise_count(c["s0"][a] ^ c["s0"][b]).astype(np.int64) + np.bitwise_count(c["s1"][a] ^ c["s1"][b]) <= MOST_BITS
+        a, b = a[ok], b[ok]
+        for x in range(0, len(a), 1 << 13):
+            u, v = a[x : x + (1 << 13)], b[x : x + (1 << 13)]
+            most = np.bitwise_count(c["map"][u] & c["map"][v]).sum(axis=1, dtype=np.int64) + np.minimum(c["taken"][u], c["taken"][v])
+            ok = 100 * most >= percent * (c["size"][u] + c["size"][v] - most)
+            found.append((c["doc"][u[ok]], c["doc"][v[ok]]))
+        row = last
+    a, b = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+    return np.minimum(a, b), np.maximum(a, b)
+
+
+def _in_tiles(percent: int):
+    def rows(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+        c = {name: batch.column(name).to_numpy() for name in ("band", "i", "j", "part", "component", "doc", "size", "s0", "s1", "taken")}
+        c |= {name: c[name].view(U64) for name in ("s0", "s1")}
+        return c | {"map": batch.column("map").flatten().to_numpy().view(U64).reshape(-1, MAP_BITS // 64)}
+
+    def pairs(c: dict[str, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in near_in_tiles(c, percent)], ["a", "b"])
+
+    def job(batches):
+        kept = None  # the tile that the last batch ended in
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = rows(batch)
+            kept = new if kept is None else {name: np.concatenate((kept[name], new[name])) for name in new}
+            last = np.flatnonzero((kept["band"] != kept["band"][-1]) | (kept["i"] != kept["i"][-1]) | (kept["j"] != kept["j"][-1]))
+            if len(last):
+                yield pairs({name: x[: last[-1] + 1] for name, x in kept.items()})
+                kept = {name: x[last[-1] + 1 :] for name, x in kept.items()}
+        if kept is not None:
+            yield pairs(kept)
+
+    return job
+
+
 def _tested(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets overlap enough."""
     pairs = cut_lineage(pairs, "pairs")
@@ -188,12 +259,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     joined = cut_lineage(components(links), "joined")
     placed = shared_members.join(joined.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     placed = cut_lineage(placed, "placed")
-    mixed = placed.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("band")
-    open_ = cut_lineage(placed.join(mixed, "band").join(reps, "doc").select("band", "component", "doc", "size", "s0", "s1", "taken", "map"), "open")
-    x = open_.toDF("band", "a_component", "a", "a_size", "a0", "a1", "a_taken", "a_map")
-    y = open_.toDF("band", "b_component", "b", "b_size", "b0", "b1", "b_taken", "b_map")
-    rest = x.join(y, "band").where((F.col("a") < F.col("b")) & (F.col("a_component") != F.col("b_component")) & near & _may_share(percent))
-    links = links.unionByName(_tested(rest.select("a", "b").distinct().join(first, ["a", "b"], "left_anti"), texts, k, percent))
+    parts = F.ceil(F.count("*") / F.lit(PART)).cast("int")
+    mixed = placed.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"), parts.alias("parts")).where("x < y").select("band", "parts")
+    open_ = placed.join(mixed, "band").select("band", "component", "doc", F.pmod(F.xxhash64("doc"), "parts").cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("with"))
+    open_ = cut_lineage(open_.select("band", F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"), "part", "component", "doc"), "open")
+    tiles = open_.join(outline, "doc").select(*open_.columns, "size", "s0", "s1", "taken", "map")
+    tiles = tiles.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "part", "component")
+    rest = tiles.mapInArrow(_in_tiles(percent), "a long, b long")
+    links = links.unionByName(_tested(rest.distinct().join(first, ["a", "b"], "left_anti"), texts, k, percent))
     joined = cut_lineage(components(links), "joined").withColumnRenamed("node", "rep")
 
     found = classes.join(joined, "rep", "left").select("f0", "f1", F.coalesce("component", "rep").alias("component_id"))

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ratelens.llm import decontaminate, mixing, quality, token_counts, url_filter
+from ratelens.llm import decontaminate, minhash_dedup, mixing, quality, token_counts, url_filter
 from ratelens.llm.components import components
 from ratelens.llm.line_dedup import line_dedup
 from ratelens.llm.minhash_dedup import near_duplicates
@@ -155,6 +155,36 @@ def test_a_chain_of_copies_is_one_group(spark):
     assert {r.component_id for r in got.collect()} == {0}
 
 
+@pytest.mark.parametrize("part", [2, 7, 64])
+def test_open_buckets_are_compared_in_tiles(docs, corpus, monkeypatch, part):
+    """However a bucket is cut, each pair of different components is met once, and no row
+    is made of a pair in Spark."""
+    rng = np.random.default_rng(part)
+    n = 60
+    doc, component = np.arange(n), rng.integers(0, 12, n)
+    bits = rng.integers(0, 2**63, (1, 64)).astype(np.uint64).repeat(n, 0)
+    bits[::3] ^= rng.integers(0, 2**63, (20, 64)).astype(np.uint64)  # every third is far from all
+    ones = np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+    parts = -(-n // part)
+    rows = [(0, min(d % parts, w), max(d % parts, w), d % parts, component[d], d) for d in doc for w in range(parts)]
+    rows = np.array(sorted(map(tuple, rows)), np.int64)
+    c = dict(zip(["band", "i", "j", "part", "component", "doc"], rows.T, strict=True))
+    at = c["doc"]
+    c |= {"size": ones[at], "taken": np.zeros(len(at), np.int64), "s0": np.zeros(len(at), np.uint64), "s1": np.zeros(len(at), np.uint64), "map": bits[at]}
+    monkeypatch.setattr(minhash_dedup, "AT_ONCE", 50)
+    cuts = [0, *(np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(axis=1)) + 1), len(rows)]
+    got = [pair for k, e in zip(cuts[:-1], cuts[1:], strict=True) for pair in zip(*(x.tolist() for x in minhash_dedup.near_in_tiles({name: x[k:e] for name, x in c.items()}, 80)), strict=True)]
+    assert sorted(got) == sorted(zip(*(x.tolist() for x in minhash_dedup.near_in_tiles(c, 80)), strict=True))
+    common = np.bitwise_count(bits[:, None] & bits[None]).sum(axis=2, dtype=np.int64)
+    want = [(a, b) for a in range(n) for b in range(a + 1, n) if component[a] != component[b] and 100 * common[a, b] >= 80 * (ones[a] + ones[b] - common[a, b])]
+    assert sorted(got) == want and want
+
+    if part == 2:
+        monkeypatch.setattr(minhash_dedup, "PART", part)
+        sets, root = similar(corpus, 4)
+        assert {r.row.doc_id: r.component_id for r in near_duplicates(docs, k=4).collect()} == {i: root[i] for i in sets}
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(60)] + [(100, 200), (200, 100), (300, 300), (None, 5), (7, None)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
