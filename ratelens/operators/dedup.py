@@ -60,19 +60,28 @@ def _tie_break(df: DataFrame) -> list[str]:
     return [c for c in ("observation_id", "total_price") if c in df.columns]
 
 
+def with_key_digest(df: DataFrame) -> DataFrame:
+    """``df`` with the SHA-256 of the natural key as ``_digest``: rows are sorted and shuffled
+    with it instead of the key's eleven texts, which are wider than most rows. JSON keeps
+    the parts, and null from empty, apart."""
+    key = F.struct(*[e.alias(c) for c, e in key_expressions().items()])
+    return df.withColumn("_digest", F.unhex(F.sha2(F.to_json(key), 256)))
+
+
 def deduplicate(df: DataFrame, keep: str = "latest") -> DataFrame:
     """One row per natural key. Ties on ``queried_at`` are settled by
     ``observation_id`` and ``total_price`` so that reruns agree."""
+    return one_per_digest(with_key_digest(df), keep).drop("_digest")
+
+
+def one_per_digest(keyed: DataFrame, keep: str = "latest") -> DataFrame:
+    """``deduplicate`` of rows with their ``_digest``, which stays."""
     if keep not in ("first", "latest"):
         raise ValueError("keep must be 'first' or 'latest'")
-    order = ["queried_at", *_tie_break(df)]
+    order = ["queried_at", *_tie_break(keyed)]
     by = [F.col(c).desc_nulls_last() if keep == "latest" else F.col(c).asc_nulls_last() for c in order]
-    # Rows are sorted and shuffled with the SHA-256 of the key instead of its eleven texts,
-    # which are wider than most rows. JSON keeps the parts, and null from empty, apart.
-    key = F.struct(*[e.alias(c) for c, e in key_expressions().items()])
     w = Window.partitionBy("_digest").orderBy(*by)
-    keyed = df.withColumn("_digest", F.unhex(F.sha2(F.to_json(key), 256)))
-    return keyed.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "_digest")
+    return keyed.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
 def dedup_counts(df: DataFrame, keep: str = "latest") -> DataFrame:

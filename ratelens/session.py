@@ -60,7 +60,7 @@ _lock = threading.Lock()
 
 
 @contextmanager
-def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
     """Executions inside remove their shuffle files. The setting is restored when the last
     of several threads leaves."""
     key = str(spark._jsparkSession.sessionUUID())
@@ -88,7 +88,7 @@ def cut_lineage(df: DataFrame, name: str) -> DataFrame:
     all of them. A write is planned anew and shares no shuffle with other executions, so
     its shuffle files are removed as soon as the table is written."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    with _shuffles_removed(df.sparkSession):
+    with shuffles_removed(df.sparkSession):
         df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -8,8 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
 from ratelens.functions.pricing import as_col
-from ratelens.operators.dedup import KEY_COLUMNS, dedup_counts, deduplicate, with_natural_key
+from ratelens.operators.dedup import KEY_COLUMNS, dedup_counts, deduplicate, one_per_digest, with_key_digest, with_natural_key
 from ratelens.schema import LEGACY_DEFAULTS, RATE_SCHEMA, conform
+from ratelens.session import shuffles_removed
 from ratelens.sinks import versions
 from ratelens.sources.observations import RAW_SCHEMA, read_months, source_ledger
 
@@ -32,21 +33,24 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def append_observations(df: DataFrame, path: str) -> int:
+def append_observations(df: DataFrame, path: str, compression: str = "none") -> int:
     """Append rows whose natural key their day does not hold yet, the earliest of
     the batch per key; return how many were written.
 
-    Keys contain the day, so only partitions the batch touches are read."""
+    Keys contain the day, so only partitions the batch touches are read. ``compression``
+    is that of the files added, ``gzip`` or ``none``, whatever the others have. Rows are shuffled
+    once, with the digest of their key; old rows send nothing but theirs."""
     spark = df.sparkSession
-    fresh = deduplicate(df, keep="first")
+    fresh = one_per_digest(with_key_digest(df), keep="first")
     if _exists(spark, path):
         # One value per calendar day in the batch.
         days = [r.d for r in df.select(F.date_format("queried_at", "yyyy-MM-dd").alias("d")).distinct().collect()]
-        old = with_natural_key(read_history(spark, path, days)).select(*KEY_COLUMNS).distinct()
-        fresh = with_natural_key(fresh).join(old, list(KEY_COLUMNS), "left_anti").drop(*KEY_COLUMNS)
+        old = with_key_digest(read_history(spark, path, days)).select("_digest").distinct()
+        fresh = fresh.join(old, "_digest", "left_anti")
     seen = Observation("append-" + uuid.uuid4().hex)
-    out = with_day_partitions(fresh).observe(seen, F.count("*").alias("n"))
-    out.write.mode("append").option("ignoreNullFields", "false").partitionBy("month", "day").json(path)
+    out = with_day_partitions(fresh.drop("_digest")).observe(seen, F.count("*").alias("n"))
+    with shuffles_removed(spark):
+        out.write.mode("append").option("ignoreNullFields", "false").option("compression", compression).partitionBy("month", "day").json(path)
     return seen.get["n"]
 
 

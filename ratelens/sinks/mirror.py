@@ -22,8 +22,9 @@ from ratelens.functions.pricing import mirror_nightly_adr_twd, stay_nights
 from ratelens.functions.tax import mirror_tax_inclusion
 from ratelens.operators.dedup import KEY_COLUMNS, with_natural_key
 from ratelens.operators.digests import merkle
+from ratelens.session import shuffles_removed
 from ratelens.sinks import versions
-from ratelens.sources.observations import month_of, read_months, source_ledger
+from ratelens.sources.observations import month_of, read_shards, source_ledger, source_portions
 
 
 def mirror_columns(df: DataFrame) -> DataFrame:
@@ -45,18 +46,21 @@ def with_month(df: DataFrame) -> DataFrame:
 ROW_GROUP = 10_000
 #: Rows in a file, so that the digest of a file never needs more than some hundred MB.
 FILE_ROWS = 2_000_000
+#: Bytes of source files, for each core, that an update writes at once.
+SOURCE_BYTES = 128 << 20
 
 
-def write_version(df: DataFrame, root: str, version: str | None = None, row_group: int = ROW_GROUP, file_rows: int = FILE_ROWS) -> str:
+def write_version(df: DataFrame, root: str, version: str | None = None, row_group: int = ROW_GROUP, file_rows: int = FILE_ROWS, mode: str = "errorifexists") -> str:
     """Write one ZSTD Parquet version partitioned by month, every file ordered by
-    ``queried_at, observation_id``. Rebalancing groups by day without a sampling pass
+    ``queried_at, observation_id``. The shuffle files go with the write. Rebalancing groups by day without a sampling pass
     over the source, splits a large day over tasks and merges small ones."""
     path = f"{root}/versions/version={version or uuid.uuid4().hex}"
     order = ["month", "queried_at", "observation_id"]
     d = with_month(df).withColumn("_day", F.to_date("queried_at")).hint("rebalance", "month", "_day").drop("_day")
-    w = d.sortWithinPartitions(*order).write.mode("errorifexists").option("compression", "zstd")
+    w = d.sortWithinPartitions(*order).write.mode(mode).option("compression", "zstd")
     w = w.option("parquet.block.row.count.limit", row_group).option("maxRecordsPerFile", file_rows)
-    w.partitionBy("month").parquet(path)
+    with shuffles_removed(df.sparkSession):
+        w.partitionBy("month").parquet(path)
     return path
 
 
@@ -65,6 +69,13 @@ def key_digest(df: DataFrame) -> DataFrame:
     return with_natural_key(df).withColumns({"key_hi": F.xxhash64(*KEY_COLUMNS), "key_lo": F.xxhash64(F.lit("low"), *KEY_COLUMNS)}).drop(*KEY_COLUMNS)
 
 
+def _all(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def _total(c: str) -> Column:
     return F.sum(F.col(c).cast("decimal(20,0)")).cast("decimal(38,0)").cast("string")
 
@@ -210,19 +221,23 @@ def read_mirror(spark: SparkSession, root: str) -> DataFrame:
     return d.withColumn("month", F.col("month").cast("string")).drop("version")
 
 
-def _written(source: DataFrame, root: str, digests: DataFrame | None = None, kept: DataFrame | None = None) -> str:
-    """Write ``source``, verify, and publish it beside the months ``kept``."""
-    spark = source.sparkSession
-    seen = Observation("mirror-" + uuid.uuid4().hex)
-    watched = key_digest(source).observe(seen, *_print()).drop("key_hi", "key_lo")
-    path = write_version(mirror_columns(watched), root)
+def _written(sources: list[DataFrame], root: str, digests: DataFrame | None = None, kept: DataFrame | None = None) -> str:
+    """Write ``sources``, one after another, as one version, verify, and publish it beside
+    the months ``kept``."""
+    spark, version, seen = sources[0].sparkSession, uuid.uuid4().hex, []
+    for source in sources:
+        seen.append(Observation("mirror-" + uuid.uuid4().hex))
+        watched = key_digest(source).observe(seen[-1], *_print()).drop("key_hi", "key_lo")
+        path = write_version(mirror_columns(watched), root, version, mode="append")
     if versions.holds_files(spark, f"{path}/month=*"):
-        made = manifest(spark, path, digests).collect()  # one row a month
-        sums = {c: sum(int(m[c]) for m in made) for c in ("rows", "key_hi", "key_lo")}
-        if any(sums[c] != int(seen.get[c]) for c in sums):
-            bad = comparison(source, spark.read.parquet(path)).orderBy("month").take(5)
-            raise ValueError(f"Mirror verification failed: {bad or sums}")
-    elif source.isEmpty():  # Spark reports no metrics of an empty table
+        with shuffles_removed(spark):
+            made = manifest(spark, path, digests).collect()  # one row a month
+        # Spark reports no metrics of an empty table
+        found = [o.get for o, source in zip(seen, sources, strict=True) if len(sources) == 1 or not source.isEmpty()]
+        if any(sum(int(m[c]) for m in made) != sum(int(f[c]) for f in found) for c in ("rows", "key_hi", "key_lo")):
+            bad = comparison(_all(sources), spark.read.parquet(path)).orderBy("month").take(5)
+            raise ValueError(f"Mirror verification failed: {bad or found}")
+    elif all(source.isEmpty() for source in sources):
         made = []
     else:
         raise ValueError("Mirror verification failed: nothing was written")
@@ -234,7 +249,7 @@ def _written(source: DataFrame, root: str, digests: DataFrame | None = None, kep
 def build_mirror(source: DataFrame, root: str) -> str:
     """Write, verify against the source, then publish. The source is read twice, for its
     distinct labels and for its rows."""
-    return _written(source, root)
+    return _written([source], root)
 
 
 def months_to_do(ledger: DataFrame, current: DataFrame | None) -> DataFrame:
@@ -250,14 +265,16 @@ def months_to_do(ledger: DataFrame, current: DataFrame | None) -> DataFrame:
 def update_mirror(spark: SparkSession, source_path: str, root: str) -> dict[str, str]:
     """Bring the mirror of a JSON history up to date and return what was done to each
     month. Files of months that did not change are not opened, and their part of the
-    mirror stays where it is."""
+    mirror stays where it is. They are written
+    in portions of days, so that shuffle files don't grow with the history."""
     ledger, current = source_ledger(spark, source_path).collect(), current_manifest(spark, root)  # one row a month
     ledger = spark.createDataFrame(ledger, "month string, files long, bytes long, digest string")
     todo = {r.month: r.action for r in months_to_do(ledger, current).collect()}
     changed = sorted(m for m, action in todo.items() if action == "rebuild")
     kept = None if current is None else current.where(F.col("month").isin([m for m, action in todo.items() if action == "keep"]))
     if changed:
-        _written(read_months(spark, source_path, changed), root, ledger, kept)
+        portions = source_portions(spark, source_path, changed, SOURCE_BYTES * spark.sparkContext.defaultParallelism)
+        _written([read_shards(spark, source_path, shards) for shards in portions], root, ledger, kept)
     elif "drop" in todo.values():
         publish(spark, root, kept)
     return todo

@@ -56,6 +56,33 @@ def read_months(spark: SparkSession, path: str, months: list[str]) -> DataFrame:
     return conform(_strict(raw).drop(CORRUPT))
 
 
+def _shard(path: str, of: Column) -> Column:
+    """The day (yyyy-MM-dd) of a shard under ``path``, or the month (yyyy-MM) of a monthly one."""
+    name = F.substring_index(of, path.rstrip("/") + "/", -1)
+    day = F.regexp_extract(name, r"(\d{4}-\d{2}-\d{2})", 1)
+    return F.when(day != "", day).otherwise(F.regexp_extract(name, r"(\d{4}-\d{2})", 1))
+
+
+def source_portions(spark: SparkSession, path: str, months: list[str], most: int) -> list[list[str]]:
+    """The shards of some months in runs of up to ``most`` bytes, or one day if that has
+    more (a month, if its shard is monthly), in order of time. No file is opened."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json*").load(path)
+    shards = files.where(F.col("path").rlike(SHARD_PATH)).groupBy(_shard(path, F.col("path")).alias("shard")).agg(F.sum("length").alias("bytes"))
+    out, size = [], 0
+    for r in shards.where(F.substring("shard", 1, 7).isin(months)).orderBy("shard").collect():  # one row a day
+        if not out or size + r.bytes > most:
+            out, size = [*out, []], 0
+        out[-1].append(r.shard)
+        size += r.bytes
+    return out
+
+
+def read_shards(spark: SparkSession, path: str, shards: list[str]) -> DataFrame:
+    """``read_observations`` of the shards of some days, or months; no other is opened."""
+    raw = _raw(spark, path).where(_shard(path, F.col("_metadata.file_path")).isin(shards))
+    return conform(_strict(raw).drop(CORRUPT))
+
+
 def source_ledger(spark: SparkSession, source_path: str) -> DataFrame:
     """Per month (month, files, bytes, digest) of a history: which files it has, by path,
     size and time of change. No file is opened."""

@@ -14,7 +14,7 @@ from ratelens.operators import quality
 from ratelens.operators.dedup import deduplicate
 from ratelens.operators.parity import with_comparison
 from ratelens.schema import conform
-from ratelens.session import shared_folder
+from ratelens.session import shared_folder, shuffles_removed
 from ratelens.sinks import history, mirror, publish
 from ratelens.sources import observations as src
 from ratelens.sources.payloads import availability_observations, quotation_observations
@@ -267,10 +267,11 @@ def snk4(spark, sf):
     """September's files stay, October gets new rows, November's files go."""
     source, root = fresh_path(spark, "changing"), fresh_path(spark, "updated")
     d = _moved(spark, sf).select(*raw_rates(spark, sf).columns)
-    history.with_day_partitions(d.where("lead_days <> 7")).write.option("ignoreNullFields", "false").partitionBy("month", "day").json(source)
+    with shuffles_removed(spark):
+        history.with_day_partitions(d.where("lead_days <> 7")).write.option("ignoreNullFields", "false").option("compression", "gzip").partitionBy("month", "day").json(source)
     mirror.update_mirror(spark, source, root)
     before = mirror.current_manifest(spark, root).select("month", F.col("version").alias("first"))
-    history.append_observations(d.where("lead_days = 7"), source)
+    history.append_observations(d.where("lead_days = 7"), source, "gzip")
     gone = spark._jvm.org.apache.hadoop.fs.Path(f"{source}/month=2026-11")
     gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
     todo = spark.createDataFrame(list(mirror.update_mirror(spark, source, root).items()), "month string, action string")

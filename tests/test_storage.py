@@ -356,6 +356,25 @@ def test_mirror_update_reads_changed_months_only(spark, make, tmp_path):
     assert set(mirror.update_mirror(spark, str(source), root).values()) == {"keep"}
 
 
+def test_a_mirror_update_is_written_in_portions(spark, make, tmp_path, monkeypatch):
+    """Each day is a write of its own, a monthly shard is one, and all are one version."""
+    source, root = tmp_path / "history", str(tmp_path / "w")
+    days = ["2026-09-08", "2026-09-09", "2026-10-01"]
+    history.append_observations(make(*({"queried_at": f"{d}T0{h}:00:00Z", "hotel_id": f"{d}{h}"} for d in days for h in (1, 2))), str(source), "gzip")
+    assert all(len(list(source.glob(f"month={d[:7]}/day={d}/part-*.json.gz"))) for d in days)
+    write_shards(source, {"2026-11.jsonl": [line(1, queried_at="2026-11-03T01:00:00Z"), line(2, queried_at="2026-09-08T05:00:00Z")]})
+    written = []
+    write = mirror.write_version
+    monkeypatch.setattr(mirror, "SOURCE_BYTES", 1)
+    monkeypatch.setattr(mirror, "write_version", lambda d, *a, **k: (written.append(d.count()), write(d, *a, **k))[1])
+    assert set(mirror.update_mirror(spark, str(source), root).values()) == {"rebuild"}
+    assert written == [2, 2, 2, 2]
+    now = {r.month: (r.rows, r.natural_keys) for r in mirror.current_manifest(spark, root).collect()}
+    assert now == {"2026-09": (5, 5), "2026-10": (2, 2), "2026-11": (1, 1)}
+    assert mirror.read_mirror(spark, root).count() == 8 and mirror.current_manifest(spark, root).select("version").distinct().count() == 1
+    assert set(mirror.update_mirror(spark, str(source), root).values()) == {"keep"}
+
+
 def test_an_unfinished_manifest_counts_for_nothing(spark, make, tmp_path):
     root = str(tmp_path / "w")
     mirror.build_mirror(make({}), root)
