@@ -2,19 +2,64 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ratelens.operators.dedup import KEY_COLUMNS, deduplicate, with_natural_key
+from ratelens.operators.dedup import deduplicate, with_key_digest
+from ratelens.session import shuffles_removed
 from ratelens.sinks import versions
 from ratelens.sinks.history import append_observations
 
 
 def deduplicated_stream(stream: DataFrame, late: str = "1 day") -> DataFrame:
     """First arrival per natural key. The key contains the day, so the state of a
-    key can go once the watermark has passed it."""
-    keyed = with_natural_key(stream).withWatermark("queried_at", late)
-    return keyed.dropDuplicatesWithinWatermark(list(KEY_COLUMNS)).drop(*KEY_COLUMNS)
+    key can go once the watermark has passed it. State and shuffle hold the digest of the
+    key, not its eleven texts, as in ``deduplicate``."""
+    keyed = with_key_digest(stream).withWatermark("queried_at", late)
+    return keyed.dropDuplicatesWithinWatermark(["_digest"]).drop("_digest")
+
+
+#: Bytes of Parquet, for each core, that a micro-batch of a replay reads, or one day if that has more.
+REPLAY_BYTES = 64 << 20
+
+
+def replay(rows: DataFrame, base: str, start: Callable[[DataFrame], StreamingQuery]) -> None:
+    """Let a stream meet a table in order of time, in micro-batches of whole days, so that
+    shuffle files and state are those of some days and no row comes late. ``start(stream)``
+    begins an available-now query that goes on from its checkpoint; it is run to its end for
+    each portion of days.
+
+    The rows are written once under ``base``, by day and without a shuffle of their own; a
+    day that comes is moved into the folder that the stream reads, and removed when its
+    micro-batch has ended. Rows without a time come first. Only the last portion is followed
+    by the micro-batch without data that a watermark asks for."""
+    spark = rows.sparkSession
+    days, seen, idle = f"{base}/days", f"{base}/in", "spark.sql.streaming.noDataMicroBatches.enabled"
+    path, before = spark._jvm.org.apache.hadoop.fs.Path, spark.conf.get(idle)
+    fs = path(base).getFileSystem(spark._jsc.hadoopConfiguration())
+    with shuffles_removed(spark):
+        day = F.concat(F.lit("d"), F.coalesce(F.date_format("queried_at", "yyyy-MM-dd"), F.lit("")))
+        rows.withColumn("_day", day).write.option("compression", "zstd").partitionBy("_day").parquet(days)
+        fs.mkdirs(path(seen))
+        left = sorted(f.getPath().getName() for f in fs.listStatus(path(days)) if f.isDirectory())
+        bytes_of = {name: fs.getContentSummary(path(f"{days}/{name}")).getLength() for name in left}
+        most = REPLAY_BYTES * spark.sparkContext.defaultParallelism
+        try:
+            while left:
+                now = [left.pop(0)]
+                while left and sum(bytes_of[name] for name in [*now, left[0]]) <= most:
+                    now.append(left.pop(0))
+                for name in now:
+                    if not fs.rename(path(f"{days}/{name}"), path(f"{seen}/{name}")):
+                        raise OSError(f"Can't move {name} to {seen}")
+                spark.conf.set(idle, "false" if left else before)
+                start(spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").parquet(seen)).awaitTermination()
+                for name in now:
+                    fs.delete(path(f"{seen}/{name}"), True)
+        finally:
+            spark.conf.set(idle, before)
 
 
 def start_ingest(stream: DataFrame, history: str, checkpoint: str, **trigger) -> StreamingQuery:

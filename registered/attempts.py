@@ -14,12 +14,12 @@ from ratelens.operators import health
 from ratelens.operators.dedup import KEY_COLUMNS, with_natural_key
 from ratelens.session import shared_folder
 from ratelens.streaming.health import daily_health_stream, health_stream
-from ratelens.streaming.ingest import deduplicated_stream, latest_days, read_latest, split_late, start_latest
+from ratelens.streaming.ingest import deduplicated_stream, latest_days, read_latest, replay, split_late, start_latest
 from ratelens.streaming.market import collection_sessions, session_stream, windowed_market
 from ratelens.streaming.medians import median_stream
 from registered.batches import _KEYED
 from registered.book import day, query, r, ts
-from registered.view import SQL_PRICED, observations, rates, sql, table
+from registered.view import SQL_PRICED, mirror_rows, observations, rates, sql, table
 
 
 def shape_attempts(events: DataFrame) -> DataFrame:
@@ -182,7 +182,14 @@ def str3s(spark, sf):
 
 @query("STR1_deduplicated_stream", sql("SELECT natural_key, CAST(1 AS BIGINT) AS rows FROM k GROUP BY 1", _KEYED))
 def str1(spark, sf):
-    d = drain(spark, deduplicated_stream(observation_stream(spark, sf)))
+    """The rows of the mirror arrive day by day; a copy in the order of days is all that is written of it."""
+    rows, base = mirror_rows(spark, sf), f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+
+    def start(stream):
+        return deduplicated_stream(stream).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").outputMode("append").trigger(availableNow=True).start()
+
+    replay(rows, base, start)
+    d = spark.read.schema(rows.schema).parquet(f"{base}/out")
     return with_natural_key(d).groupBy(F.concat_ws("|", *KEY_COLUMNS).alias("natural_key")).agg(F.count("*").alias("rows"))
 
 
